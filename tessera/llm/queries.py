@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat
+from tessera.llm import chat, langid, quality
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 SQL = {
+    "op2_quality_rules": quality.OP2_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }
