@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, langid, quality
+from tessera.llm import chat, langid, quality, secrets
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op10_chat_format": chat.op10_chat_format,
 }
 
