@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, langid, quality, secrets
+from tessera.llm import bpe, chat, langid, quality, secrets
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op10_chat_format": chat.op10_chat_format,
 }
 
