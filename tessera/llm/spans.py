@@ -25,15 +25,16 @@ def _cut(xs: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda b: F.slice(xs, (b * _BLOCK + 1).cast("int"), F.lit(_BLOCK)))
 
 
-def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+def matches(text: Column, pattern: str, kind: int, group: int = 0, before: int = 0) -> Column:
     """Leftmost non-overlapping matches: array<struct<start, stop, kind, hit, extra>>, stop exclusive.
 
-    hit is the match and extra its group. A running position is folded over blocks of matches, so that a text with
+    hit is the match; extra is its group, or, with before, up to so many characters between the last match and this
+    one, those next to it. A running position is folded over blocks of matches, so that a text with
     very many of them costs little more than in proportion.
     """
     between = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    extra = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    extra = F.transform(F.slice(between, F.lit(1), F.size(hits)), lambda b: F.right(b, F.lit(before))) if before else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     steps = F.zip_with(F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda b, h: F.struct(F.char_length(b).cast("bigint").alias("gap"), h.alias("hit"))), extra, lambda s, x: F.struct(s["gap"].alias("gap"), s["hit"].alias("hit"), x.alias("extra")))
 
     def step(acc: Column, s: Column) -> Column:
