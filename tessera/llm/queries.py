@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, langid, pii, quality, secrets, simhash
+from tessera.llm import bpe, chat, decontaminate, langid, licenses, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_pii": pii.op7_pii,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
