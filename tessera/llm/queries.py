@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, langid, licenses, pii, quality, secrets, simhash
+from tessera.llm import bpe, chat, decontaminate, langid, licenses, lm, pii, quality, secrets, simhash
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_lm_score": lm.op5_lm_score,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_pii": pii.op7_pii,
     "op8_license_scan": licenses.op8_license_scan,
