@@ -4,16 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import bpe, decontaminate, langid, secrets, simhash
+from tessera.llm.common import table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a letter whose language is told with some confidence stay."""
+    return langid.accept(docs, docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.deduplicate(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages stay."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts give way to a mark."""
+    return secrets.redact(docs, secrets.fit(docs))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids and the digest of what they decode to."""
+    ranks, pattern = bpe.public_ranks()
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, packed=True)
+    return bpe.digests(encoded, "doc_id", "lang", "source", "ids_le")
+
+
 #: (name, function of (spark, docs, sf_dir)); each result is written and read again as the next one's docs.
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_dedup", simhash_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("byte_bpe", byte_bpe),
+]
 
-#: Greedy tiling, trained classifiers and BPE have no SQL form; tests/llm holds run() against brute force.
+#: Greedy tiling, trained classifiers and BPE have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
