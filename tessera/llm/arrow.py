@@ -24,7 +24,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000
             begin, base = end, int(ends[end - 1])
 
 
-def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[str]], dict[str, pa.Array]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[str]], dict[str, pa.Array]], schema: str, most: int = 4_000_000) -> DataFrame:
     """df's columns with function's columns (of schema, replacing any of the same name), worked out slice by slice."""
     from pyspark.sql.types import StructType
 
@@ -35,7 +35,7 @@ def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[st
     order = [f.name for f in new.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, text, most):
             made = function(part, texts)
             own = [part.column(part.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays(own + [made[n] for n in order], names=[f.name for f in kept] + order)

@@ -8,20 +8,22 @@ leave over is encoded where it stands, once for each text. Decoding concatenates
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from tessera.llm.arrow import mapped
+from tessera.llm.arrow import mapped, sums
 from tessera.llm.common import cut, table
 
 #: Words with more bytes are merged with a heap: the fold's time grows with the square of a word's length.
@@ -29,6 +31,8 @@ LONGEST_FOLD = 256
 _WIDTH = 20
 _NONE = 1 << _WIDTH
 _FREE = 1 << 62
+#: Bytes of text that are split into words at a time.
+_SLICE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -218,98 +222,173 @@ def common_words(docs: DataFrame, pattern: str, ranks: Ranks, most: int) -> pa.T
     return counted.where(F.col("level") >= least).select("word", encode_word(F.col("word"), ranks).cast("array<int>").alias("ids")).toArrow()
 
 
-class _Known:
-    """A worker's copy of the common words: ids of each as little-endian bytes. Kept from task to task."""
+class Known:
+    """The common words in a few flat arrays, found by hash and then compared as text."""
+
+    def __init__(self, found: pa.Table) -> None:
+        words = found.column("word").to_pylist()
+        hashes = _hashes(words)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.words = pa.array(words, type=pa.string()).take(pa.array(order))
+        ids = found.column("ids").combine_chunks()
+        ids = (ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks)).take(pa.array(order)) if words else pa.array([], type=pa.list_(pa.int32()))
+        self.flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word, or -1."""
+        out = np.full(len(words), -1, dtype=np.int64)
+        if len(self.hashes) and words:
+            h = _hashes(words)
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == h)
+            same = pc.equal(self.words.take(pa.array(at[hit])), pa.array([words[i] for i in hit], type=pa.string()))
+            hit = hit[same.to_numpy(zero_copy_only=False)]
+            out[hit] = at[hit]
+        return out
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+
+
+@lru_cache(maxsize=8)
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """findall of the pattern; texts in Latin-1 alone go through Python's faster re, with the classes written out."""
+    full = regex.compile(_python(pattern)).findall
+    try:
+        quick = re.compile(_latin(pattern)).findall
+    except (re.error, ValueError):
+        return full
+
+    def find(text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return full(text)
+        return quick(text)
+
+    return find
+
+
+def _latin(pattern: str) -> str:
+    """The pattern with \\p{...} and \\s as lists of Latin-1 characters; ValueError for classes it can't write out."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        if found := re.match(r"\\(p\{\w+\}|[sS])", pattern[at:]):
+            name = found[0].replace("s", "p{White_Space}").replace("S", "p{White_Space}") if found[1] in "sS" else found[0]
+            listed = "".join(re.escape(chr(c)) for c in range(256) if regex.match(name, chr(c)))
+            if inside and found[1] == "S":
+                raise ValueError(found[0])
+            out.append(listed if inside else f"[{'^' * (found[1] == 'S')}{listed}]")
+            at += len(found[0])
+            continue
+        if pattern[at] == "\\":
+            if pattern[at + 1].isalnum():
+                raise ValueError(pattern[at : at + 2])
+            out.append(pattern[at : at + 2])
+            at += 2
+            continue
+        inside = pattern[at] == "[" or inside and pattern[at] != "]"
+        out.append(pattern[at])
+        at += 1
+    return "".join(out)
 
-    kept: tuple[object, dict[str, bytes]] = (None, {})
 
-    @classmethod
-    def of(cls, shared) -> dict[str, bytes]:
-        key, packed = shared.value
-        if cls.kept[0] != key:
-            known: dict[str, bytes] = {}
-            with pa.ipc.open_stream(packed) as stream:
-                for batch in stream:
-                    ids = batch.column("ids")
-                    flat = np.asarray(ids.values).astype("<u4").tobytes()
-                    ends = ids.offsets.to_pylist()
-                    known.update((w, flat[4 * a : 4 * b]) for w, a, b in zip(batch.column("word").to_pylist(), ends, ends[1:]))
-            cls.kept = key, known
-        return cls.kept[1]
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20, packed: bool = False) -> DataFrame:
     """docs (text, any other columns) with ids array<int>, which replaces a column of that name.
 
     Each match of pattern is encoded separately, without special tokens; a null or empty text has no ids. Words common
     to the corpus (at most `most`, a bound on what is broadcast) are folded once; each other word is folded where it
     occurs, once for a slice of a few MB of texts, so nothing but word counts is shuffled. Every row keeps its place
     and its other columns; repeated rows are encoded alike. Words over LONGEST_FOLD bytes go through a heap.
+    With packed, text gives way to ids_le (little-endian unsigned 32-bit integers) and decoded (the bytes that the ids
+    decode to, the tokens' bytes concatenated) in place of ids.
     """
     spark = docs.sparkSession
-    found = common_words(docs, pattern, ranks, most)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, found.schema) as stream:
-        stream.write_table(found, max_chunksize=1 << 16)
-    packed = sink.getvalue().to_pybytes()
-    shared = spark.sparkContext.broadcast((hashlib.sha256(packed).hexdigest(), packed))
+    shared = spark.sparkContext.broadcast(Known(common_words(docs, pattern, ranks, most)))
     table_of = spark.sparkContext.broadcast(ranks)
-    split = _python(pattern)
-
-    def rest(_: pa.RecordBatch, texts: list[str]) -> dict[str, pa.Array]:
-        known, find = _Known.of(shared), regex.compile(split).findall
-        other: set[str] = set()
-        for text in texts:
-            other |= set(find(text)).difference(known)
-        words = sorted(w for w in other if len(w.encode("utf-8", "surrogatepass")) <= LONGEST_FOLD)
-        return {"__rest": pa.array([words] + [[]] * (len(texts) - 1), type=pa.list_(pa.string()))}
 
-    rows = docs.drop("ids")
-    listed = mapped(rows, "text", rest, "__rest array<string>")
-    folded = listed.withColumn("__coded", F.transform("__rest", lambda w: encode_word(w, ranks).cast("array<int>")))
-    names = rows.columns
+    def split(_: pa.RecordBatch, texts: list[str]) -> dict[str, pa.Array]:
+        """__refs: for each piece its place among the common words, or -1 - its place in the slice's own words."""
+        find, known, codes = splitter(pattern), shared.value, {}
+        number = codes.setdefault
+        pieces = [[number(w, len(codes)) for w in find(t)] for t in texts]
+        distinct = list(codes)
+        place = known.places(distinct)
+        other = np.flatnonzero(place < 0)
+        short = np.array([len(distinct[i].encode("utf-8", "surrogatepass")) <= LONGEST_FOLD for i in other], dtype=bool)
+        order = np.concatenate([other[short], other[~short]]) if len(other) else other
+        place[order] = -1 - np.arange(len(order))
+        count = np.array([len(p) for p in pieces], dtype=np.int64)
+        code = np.fromiter((c for p in pieces for c in p), dtype=np.int64, count=int(count.sum()))
+        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        none = [[]] * (len(texts) - 1)
+        return {
+            "__refs": pa.ListArray.from_arrays(pa.array(ends), pa.array(place[code].astype(np.int32))),
+            "__rest": pa.array([[distinct[i] for i in other[short]]] + none, type=pa.list_(pa.string())),
+            "__long": pa.array([[heap_encode(distinct[i].encode("utf-8", "surrogatepass"), table_of.value) for i in other[~short]]] + none, type=pa.list_(pa.list_(pa.int32()))),
+        }
+
+    rows = docs.drop("ids", "ids_le", "decoded") if packed else docs.drop("ids")
+    listed = mapped(rows, "text", split, "__refs array<int>, __rest array<string>, __long array<array<int>>", _SLICE)
+    folded = listed.withColumn("__own", F.concat(F.transform("__rest", lambda w: encode_word(w, ranks).cast("array<int>")), "__long")).drop("__rest", "__long")
+    kept = [f for f in rows.schema.fields if not packed or f.name != "text"]
+    if packed:
+        folded = folded.drop("text")
+    names = [f.name for f in kept]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, find, other = _Known.of(shared), regex.compile(split).findall, {}
-
-        def ids_of(word: str) -> bytes:
-            if (found := known.get(word)) is None and (found := other.get(word)) is None:
-                found = np.array(heap_encode(word.encode("utf-8", "surrogatepass"), table_of.value), dtype="<u4").tobytes()
-            return found
-
+        known, tokens, last = shared.value, table_of.value.tokens, []
         for batch in batches:
-            words, coded = batch.column("__rest"), batch.column("__coded")
-            carries = np.diff(words.offsets.to_numpy()) > 0
-            made = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                if carries[i]:  # the words of this row and those after it, up to the next that carries some
-                    other = dict(zip(words[i].as_py(), (np.array(x, dtype="<u4").tobytes() for x in coded[i].as_py())))
-                pieces = find(text or "")
-                try:
-                    made.append(b"".join(map(known.__getitem__, pieces)))
-                except KeyError:
-                    made.append(b"".join(map(ids_of, pieces)))
-            ends = np.concatenate([[0], np.cumsum([len(m) // 4 for m in made])])
-            ids = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.frombuffer(b"".join(made), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, "ids"])
-
-    return folded.mapInArrow(join, StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
-
-
-def _bytes_of(ids: Column, pieces: list[bytes]) -> Column:
-    """The pieces (by id) of all ids, concatenated."""
-    literal = F.split(F.lit(",".join(p.hex() for p in pieces)), ",")
-    return _let(literal, lambda hexes: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")))
+            ends = np.cumsum(_lengths(batch.column("__refs")))
+            begin = 0
+            while begin < batch.num_rows:
+                done = int(ends[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + 500_000, side="right")))
+                part = batch.slice(begin, end - begin)
+                begin = end
+                own, carried = part.column("__own"), _lengths(part.column("__own"))
+                carries = np.flatnonzero(carried)
+                # a row's own words serve it and the rows after it, up to the next row that carries some
+                lists = last + [ids for i in carries for ids in own[int(i)].as_py()]
+                base = np.concatenate([[0], len(last) + np.concatenate([[0], np.cumsum(carried[carries])[:-1]])]) if len(carries) else np.zeros(1, dtype=np.int64)
+                if len(carries):
+                    last = own[int(carries[-1])].as_py()
+                flat = np.concatenate([known.flat, np.array([x for ids in lists for x in ids], dtype=np.int32)])
+                starts = np.concatenate([known.starts, len(known.flat) + np.cumsum([len(ids) for ids in lists], dtype=np.int64)])
+                count = _lengths(part.column("__refs"))
+                refs = part.column("__refs").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                shift = np.repeat(base[np.cumsum(carried > 0)], count)
+                at = np.where(refs >= 0, refs, len(known.starts) - 1 + shift - 1 - refs)
+                n = starts[at + 1] - starts[at]
+                total = sums(n, count)
+                ids = flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                stops = np.concatenate([[0], np.cumsum(total)])
+                columns = [part.column(k) for k in names]
+                if packed:
+                    raw, listed_ids = ids.astype("<i4").tobytes(), ids.tolist()
+                    columns.append(pa.array([raw[4 * a : 4 * b] for a, b in zip(stops, stops[1:])], type=pa.binary()))
+                    columns.append(pa.array([b"".join(map(tokens.__getitem__, listed_ids[a:b])) for a, b in zip(stops, stops[1:])], type=pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids_le", "decoded"])
+                else:
+                    columns.append(pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids)))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids"])
+
+    made = [StructField("ids_le", BinaryType()), StructField("decoded", BinaryType())] if packed else [StructField("ids", ArrayType(IntegerType()))]
+    return folded.mapInArrow(join, StructType([*kept, *made]))
 
 
 def decode(ids: Column, ranks: Ranks) -> Column:
     """The bytes of ids (array<int>): the concatenation of the tokens' bytes."""
-    return _bytes_of(ids, list(ranks.tokens))
-
-
-def little_endian(ids: Column, ranks: Ranks) -> Column:
-    """ids as unsigned 32-bit integers, least byte first."""
-    return _bytes_of(ids, [i.to_bytes(4, "little") for i in range(len(ranks.tokens))])
+    literal = F.split(F.lit(",".join(p.hex() for p in ranks.tokens)), ",")
+    return _let(literal, lambda hexes: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")))
 
 
 def public_ranks() -> tuple[Ranks, str]:
@@ -319,18 +398,18 @@ def public_ranks() -> tuple[Ranks, str]:
     return load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
-def digests(encoded: DataFrame, ranks: Ranks, *keep: str) -> DataFrame:
-    """Columns of keep, n_tokens, and the digests of the ids and of the bytes that they decode to."""
+def digests(encoded: DataFrame, *keep: str) -> DataFrame:
+    """Of encode's packed columns: the columns of keep, n_tokens, and the digests of the ids and of the decoded bytes."""
     return encoded.select(
         *keep,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(F.col("ids"), ranks), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+        F.floor(F.octet_length("ids_le") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids_le", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and its ids decoded again."""
     ranks, pattern = public_ranks()
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    return digests(encoded, ranks, "doc_id")
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, packed=True)
+    return digests(encoded, "doc_id")
