@@ -282,7 +282,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = components(link(nodes.select("fp")))
     linked = joined.join(nodes, joined["node"] == nodes["fp"]).select("node", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("named")), "root").select(F.col("node").alias("fp"), "named")
-    final = nodes.join(named, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
+    # written, so that Spark can split the partition of a fingerprint that very many documents share
+    final = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id")))
     return rows.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
