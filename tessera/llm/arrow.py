@@ -24,13 +24,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000
             begin, base = end, int(ends[end - 1])
 
 
-def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[str]], dict[str, pa.Array]], schema: str, most: int = 4_000_000) -> DataFrame:
-    """df's columns with function's columns (of schema, replacing any of the same name), worked out slice by slice."""
+def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[str]], dict[str, pa.Array]], schema: str, most: int = 4_000_000, keep_text: bool = True) -> DataFrame:
+    """df's columns (the text itself only with keep_text) with function's columns, worked out slice by slice.
+
+    function's columns are those of schema; they replace any of the same name.
+    """
     from pyspark.sql.types import StructType
 
     new = StructType.fromDDL(schema)
     names = {f.name for f in new.fields}
-    kept = [f for f in df.schema.fields if f.name not in names]
+    kept = [f for f in df.schema.fields if f.name not in names and (keep_text or f.name != text)]
     out = StructType(kept + new.fields)
     order = [f.name for f in new.fields]
 
@@ -43,6 +46,14 @@ def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[st
     return df.mapInArrow(run, out)
 
 
+class Numbers(dict):
+    """Numbers for keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key: object) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 of unsigned 64-bit integers."""
     x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)

@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from tessera.llm.arrow import mapped, sums
+from tessera.llm.arrow import Numbers, mapped, sums
 from tessera.llm.common import cut, table
 
 #: Words with more bytes are merged with a heap: the fold's time grows with the square of a word's length.
@@ -32,7 +33,7 @@ _WIDTH = 20
 _NONE = 1 << _WIDTH
 _FREE = 1 << 62
 #: Bytes of text that are split into words at a time.
-_SLICE = 1_000_000
+_SLICE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -317,9 +318,9 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20, pac
 
     def split(_: pa.RecordBatch, texts: list[str]) -> dict[str, pa.Array]:
         """__refs: for each piece its place among the common words, or -1 - its place in the slice's own words."""
-        find, known, codes = splitter(pattern), shared.value, {}
-        number = codes.setdefault
-        pieces = [[number(w, len(codes)) for w in find(t)] for t in texts]
+        find, known, codes = splitter(pattern), shared.value, Numbers()
+        number = codes.__getitem__
+        pieces = [list(map(number, find(t))) for t in texts]
         distinct = list(codes)
         place = known.places(distinct)
         other = np.flatnonzero(place < 0)
@@ -327,7 +328,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20, pac
         order = np.concatenate([other[short], other[~short]]) if len(other) else other
         place[order] = -1 - np.arange(len(order))
         count = np.array([len(p) for p in pieces], dtype=np.int64)
-        code = np.fromiter((c for p in pieces for c in p), dtype=np.int64, count=int(count.sum()))
+        code = np.fromiter(chain.from_iterable(pieces), dtype=np.int64, count=int(count.sum()))
         ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
         none = [[]] * (len(texts) - 1)
         return {
@@ -337,39 +338,46 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20, pac
         }
 
     rows = docs.drop("ids", "ids_le", "decoded") if packed else docs.drop("ids")
-    listed = mapped(rows, "text", split, "__refs array<int>, __rest array<string>, __long array<array<int>>", _SLICE)
-    folded = listed.withColumn("__own", F.concat(F.transform("__rest", lambda w: encode_word(w, ranks).cast("array<int>")), "__long")).drop("__rest", "__long")
     kept = [f for f in rows.schema.fields if not packed or f.name != "text"]
-    if packed:
-        folded = folded.drop("text")
+    listed = mapped(rows, "text", split, "__refs array<int>, __rest array<string>, __long array<array<int>>", _SLICE, keep_text=not packed)
+    folded = listed.withColumn("__own", F.concat(F.transform("__rest", lambda w: encode_word(w, ranks).cast("array<int>")), "__long")).drop("__rest", "__long")
     names = [f.name for f in kept]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tokens, last = shared.value, table_of.value.tokens, []
+        known, tokens = shared.value, table_of.value.tokens
+        last, last_sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
         for batch in batches:
             ends = np.cumsum(_lengths(batch.column("__refs")))
             begin = 0
             while begin < batch.num_rows:
                 done = int(ends[begin - 1]) if begin else 0
-                end = max(begin + 1, int(np.searchsorted(ends, done + 500_000, side="right")))
+                end = max(begin + 1, int(np.searchsorted(ends, done + 250_000, side="right")))
                 part = batch.slice(begin, end - begin)
                 begin = end
-                own, carried = part.column("__own"), _lengths(part.column("__own"))
-                carries = np.flatnonzero(carried)
                 # a row's own words serve it and the rows after it, up to the next row that carries some
-                lists = last + [ids for i in carries for ids in own[int(i)].as_py()]
-                base = np.concatenate([[0], len(last) + np.concatenate([[0], np.cumsum(carried[carries])[:-1]])]) if len(carries) else np.zeros(1, dtype=np.int64)
+                own, carried = part.column("__own").flatten(), _lengths(part.column("__own"))
+                sizes, values = _lengths(own), own.flatten().to_numpy(zero_copy_only=False)
+                carries = np.flatnonzero(carried)
+                base = np.concatenate([[0], len(last_sizes) + np.cumsum(carried[carries]) - carried[carries]])
+                mine, mine_sizes = np.concatenate([last, values]), np.concatenate([last_sizes, sizes])
                 if len(carries):
-                    last = own[int(carries[-1])].as_py()
-                flat = np.concatenate([known.flat, np.array([x for ids in lists for x in ids], dtype=np.int32)])
-                starts = np.concatenate([known.starts, len(known.flat) + np.cumsum([len(ids) for ids in lists], dtype=np.int64)])
+                    last_sizes = sizes[len(sizes) - carried[carries[-1]] :]
+                    last = values[len(values) - last_sizes.sum() :]
                 count = _lengths(part.column("__refs"))
                 refs = part.column("__refs").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                shift = np.repeat(base[np.cumsum(carried > 0)], count)
-                at = np.where(refs >= 0, refs, len(known.starts) - 1 + shift - 1 - refs)
-                n = starts[at + 1] - starts[at]
+                common, at = refs >= 0, np.repeat(base[np.cumsum(carried > 0)], count) - 1 - refs
+                at[common] = refs[common]
+                n, start = np.empty_like(at), np.empty_like(at)
+                start[common] = known.starts[at[common]]
+                n[common] = known.starts[at[common] + 1] - start[common]
+                n[~common] = mine_sizes[at[~common]]
+                start[~common] = len(known.flat) + (np.cumsum(mine_sizes) - mine_sizes)[at[~common]]
                 total = sums(n, count)
-                ids = flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                spot = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                inside = spot < len(known.flat)
+                ids = np.empty(len(spot), dtype=np.int32)
+                ids[inside] = known.flat[spot[inside]]
+                ids[~inside] = mine[spot[~inside] - len(known.flat)]
                 stops = np.concatenate([[0], np.cumsum(total)])
                 columns = [part.column(k) for k in names]
                 if packed:
