@@ -27,9 +27,11 @@ def fulltext(elements: DataFrame, query: str, top_k: int = 10, max_chars: int =
     hits = F.lit(0)
     for b in wanted:
         hits = hits + F.contains("__s", F.lit(b)).cast("int")
-    scored = elements.withColumn("__s", T.searchable(F.col("content"))).withColumn("__n", hits).where("__n > 0")
-    found = scored.select("doc_id", "pos", T.preview(F.col("content"), max_chars, "…").alias("snippet"), F.round(F.col("__n") / len(wanted), 3).alias("relevance"))
-    return found.orderBy(F.desc("relevance"), "doc_id", "pos").limit(top_k)
+    # rows without a hit are dropped after the top-k, where they come last: a filter before it would be pushed below the
+    # projection and work the searchable text out once for each bigram
+    scored = elements.withColumn("__s", T.searchable(F.col("content"))).withColumn("__n", hits)
+    found = scored.select("doc_id", "pos", T.preview(F.col("content"), max_chars, "…").alias("snippet"), F.round(F.col("__n") / len(wanted), 3).alias("relevance"), (F.col("__n") > 0).alias("__hit"))
+    return found.orderBy(F.desc("relevance"), F.desc("__hit"), "doc_id", "pos").limit(top_k).where("__hit").drop("__hit")
 
 
 def metadata(docs: DataFrame, query: str, top_k: int = 5) -> DataFrame:
