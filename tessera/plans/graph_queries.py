@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import elements as E
 from tessera.operators import graph as G
+from tessera.operators import relations as R
+from tessera.operators import rules as X
 from tessera.plans.common import LINES, documents
 
 #: A vocabulary of typed labels that occur in the synthetic texts, and pairs with a relation.
@@ -112,7 +114,26 @@ def graph_label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.search_labels(nodes, "TI")
 
 
-QUERIES = {f.__name__: f for f in (entity_tags, entity_edges, cooccurrence, comention, edge_dedup, edge_merge, relation_counts, degree, cohesion, cross_community, community_top, connected_components, graph_reach, page_rank, label_communities, knowledge_gaps, dangling_edges, graph_label_search)}
+def typed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every noun of a document with every verb of it."""
+    return R.typed_pairs(_tags(spark, sf_dir), "noun", "verb", "has_action")
+
+
+def god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _membership(spark).select("node", F.col("node").alias("label"), F.when(F.col("node") == "attion", "x/attion.md").otherwise("x/y.md").alias("source_file"))
+    return X.god_nodes(nodes, _edges(spark, sf_dir), 5)
+
+
+def community_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _membership(spark)
+    return X.community_labels(nodes.select("node", F.concat_ws(" ", "node", "community").alias("label")), nodes)
+
+
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.shortest_path(_edges(spark, sf_dir).where("weight > 2"), "attion", "thtion").select(F.array_join("path", ">").alias("path"))
+
+
+QUERIES = {f.__name__: f for f in (entity_tags, entity_edges, cooccurrence, comention, edge_dedup, edge_merge, relation_counts, degree, cohesion, cross_community, community_top, connected_components, graph_reach, page_rank, label_communities, knowledge_gaps, dangling_edges, graph_label_search, typed_pairs, god_nodes, community_names, shortest_path)}
 
 _V = "v(type, label) AS (VALUES " + ", ".join(f"('{t}', '{w}')" for t, w in WORDS) + ")"
 _P = "p(source, target, relation) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in PAIRS) + ")"
@@ -141,5 +162,7 @@ WHERE x.type <> y.type ORDER BY score DESC, a, b LIMIT 20""",
     "graph_reach": f"WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, distance) AS (SELECT 'attion', 0 UNION SELECT s.b, c.distance + 1 FROM c JOIN s ON s.a = c.node WHERE c.distance < 6) SELECT node, min(distance) AS distance FROM c GROUP BY 1",
     "knowledge_gaps": f"WITH {_T}, {_H}, {_STRONG}, k AS (SELECT a AS node, count(*) AS degree FROM s GROUP BY 1) SELECT label AS node, coalesce(degree, 0) AS degree FROM v LEFT JOIN k ON node = label WHERE coalesce(degree, 0) <= 1",
     "dangling_edges": f"WITH {_T}, {_H} SELECT g.* FROM g JOIN v a ON a.label = source AND a.type = 'noun' JOIN v b ON b.label = target AND b.type = 'noun'",
+    "typed_pairs": f"WITH {_T}, h AS (SELECT DISTINCT doc_id, type, label FROM t) SELECT a.doc_id, a.label AS source, b.label AS target, 'has_action' AS relation FROM h a JOIN h b ON a.doc_id = b.doc_id WHERE a.type = 'noun' AND b.type = 'verb'",
+    "god_nodes": f"WITH {_T}, {_H}, {_D} SELECT node, node AS label, degree FROM d WHERE node <> 'attion' ORDER BY degree DESC, node LIMIT 5",
     "graph_label_search": f"WITH {_T} SELECT DISTINCT type, label FROM t WHERE contains(lower(label), 'ti') ORDER BY label LIMIT 10",
 }

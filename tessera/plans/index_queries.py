@@ -128,7 +128,29 @@ def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(n, "doc_id").select("doc_id", T.title_similarity(F.col("title"), F.col("other")).alias("level"), F.round(T.text_similarity(F.col("title"), F.col("other")), 3).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (doc_counts, status_counts, filename_metadata, anti_join_new, upsert_latest, changed_files, exact_dup_groups, duplicate_of, listing_dedup, listing_new, page_fields, date_normalise, threshold_check, range_join_cells, batch_normalise, right_neighbour, title_similarity)}
+def extraction_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractions made up of documents: some without JSON, with broken JSON, without elements, with too little text."""
+    d, n = documents(spark, sf_dir), F.col("doc_id") % 5
+    made = F.when(n == 1, "").when(n == 2, "{").when(n == 3, '{"kids":[]}').when(n == 4, '{"elements":[{"a":1}]}')
+    return I.validity(d.select("doc_id", made.alias("json"), F.left("text", F.lit(150)).alias("markdown"))).select("doc_id", "ok", "reason")
+
+
+def error_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, some with a tool's output appended, that hold a mark of an error."""
+    from tessera.operators.rules import has_error
+
+    c = table(spark, sf_dir, "conversations")
+    out = F.concat("text", F.when(F.col("turn") == 2, " npm ERR! code").when(F.col("turn") == 3, " ERR").otherwise(""))
+    return c.where(has_error(out)).groupBy("role").agg(F.count("*").alias("n"))
+
+
+def date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's history: the newest fifty events of a kind."""
+    e = table(spark, sf_dir, "events").where("user_id = 7 AND event_type <> 'error'")
+    return e.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "event_type", "value")
+
+
+QUERIES = {f.__name__: f for f in (doc_counts, status_counts, filename_metadata, anti_join_new, upsert_latest, changed_files, exact_dup_groups, duplicate_of, listing_dedup, listing_new, page_fields, date_normalise, threshold_check, range_join_cells, batch_normalise, right_neighbour, title_similarity, extraction_validity, error_marks, date_filter)}
 
 
 def _case(column: str, rules: tuple, default: str) -> str:
@@ -172,6 +194,11 @@ SELECT c.sheet, c.row, c.col, c.n, coalesce(j.r1, c.row) AS master_row, CASE WHE
     "batch_normalise": """WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%y%m%d') AS d, lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') AS n FROM orders)
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'LX' || d WHEN 1 THEN 'LX1-' || d || '-' || n WHEN 2 THEN 'LX2-' || d || n || '（复测）' ELSE 'LX3-' || d || n END AS batch, o_orderkey % 4 = 1 AS valid,
   CASE o_orderkey % 4 WHEN 2 THEN 'LX2-' || d || '-' || n || '（复测）' WHEN 3 THEN 'LX3-' || d || '-' || n END AS normalised FROM o""",
+    "extraction_validity": """WITH d AS (SELECT doc_id, doc_id % 5 AS n, octet_length(encode(left(text, 150))) AS b FROM documents)
+SELECT doc_id, n = 4 AND b >= 100 AS ok, CASE n WHEN 0 THEN 'no json' WHEN 1 THEN 'empty json' WHEN 2 THEN 'bad json' WHEN 3 THEN 'no elements' ELSE CASE WHEN b < 100 THEN 'short markdown' ELSE 'ok' END END AS reason FROM d""",
+    "error_marks": """WITH o AS (SELECT role, text || CASE turn WHEN 2 THEN ' npm ERR! code' WHEN 3 THEN ' ERR' ELSE '' END AS t FROM conversations)
+SELECT role, count(*) AS n FROM o WHERE regexp_matches(t, 'error:|Error:|ERROR:|failed|FAILED|command not found|No such file|Permission denied|fatal:|Exception|Traceback|npm ERR!|ModuleNotFoundError|SyntaxError|TypeError|exit code|non-zero') GROUP BY role""",
+    "date_filter": "SELECT event_id, event_type, value FROM events WHERE user_id = 7 AND event_type <> 'error' ORDER BY ts DESC, event_id LIMIT 50",
     "right_neighbour": """WITH c AS (SELECT l_orderkey AS row, l_linenumber AS col, max(l_quantity) AS value FROM lineitem GROUP BY 1, 2)
 SELECT row, col, value, CASE WHEN lead(col) OVER w = col + 1 THEN lead(value) OVER w END AS next_value, chr(64 + col) AS letter FROM c WINDOW w AS (PARTITION BY row ORDER BY col)""",
 }
