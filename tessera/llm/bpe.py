@@ -33,7 +33,7 @@ _WIDTH = 20
 _NONE = 1 << _WIDTH
 _FREE = 1 << 62
 #: Bytes of text that are split into words at a time.
-_SLICE = 2_000_000
+_SLICE = 1_200_000
 
 
 @dataclass(frozen=True)
@@ -65,14 +65,14 @@ def pack(rows: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndarray,
         rights = np.array([r for r, _ in pairs], dtype=np.int64)
         low = int(rights.min())
         shift = None
-        at = free_from
+        at, step = free_from, max(16, min(4096, 200_000 // len(rights)))
         while shift is None:
-            spots = np.flatnonzero(~taken[at : at + 4096]) + at
+            spots = np.flatnonzero(~taken[at : at + step]) + at
             spots = spots[spots >= low] - low
             fits = np.flatnonzero(~taken[spots[:, None] + rights[None, :]].any(axis=1)) if len(spots) else spots
             if len(fits):
                 shift = int(spots[fits[0]])
-            at += 4096
+            at += step
         base[left] = shift
         taken[shift + rights] = True
         out[shift + rights] = [(left << _WIDTH) | m for _, m in pairs]
@@ -155,11 +155,17 @@ def _fold_word(word: Column, base: Column, packed: Column, first: Column) -> Col
         def at(p: Column) -> Column:
             p = p.cast("int")
             before, after = F.get(acc, p - 2), F.get(acc, p + 1)
-            rest = F.shiftleft(F.shiftright(least, _WIDTH).bitwiseAND(low), _WIDTH).bitwiseOR(rank)
-            own = F.when(after.isNull(), entry(none, rest)).otherwise(entry(lookup(rank, after.bitwiseAND(low)), rest))
+            kept = F.shiftleft(F.shiftright(least, _WIDTH).bitwiseAND(low), _WIDTH).bitwiseOR(rank)
+            own = F.when(after.isNull(), entry(none, kept)).otherwise(entry(lookup(rank, after.bitwiseAND(low)), kept))
             left = entry(lookup(before.bitwiseAND(low), rank), before.bitwiseAND((1 << 2 * _WIDTH) - 1))
-            head = F.when(p > 2, F.concat(F.slice(acc, F.lit(1), p - 2), F.array(left, own))).when(p > 1, F.array(left, own)).otherwise(F.array(own))
-            return F.when(p + 1 >= F.size(acc), head).otherwise(F.concat(head, F.slice(acc, p + 2, F.size(acc) - p - 1)))
+            rest = F.size(acc) - p - 1
+            tail = F.slice(acc, p + 2, rest)
+            # one concatenation a step, of no more pieces than there are
+            first = F.when(rest > 0, F.concat(F.array(own), tail)).otherwise(F.array(own))
+            second = F.when(rest > 0, F.concat(F.array(left, own), tail)).otherwise(F.array(left, own))
+            head = F.slice(acc, F.lit(1), p - 2)
+            later = F.when(rest > 0, F.concat(head, F.array(left, own), tail)).otherwise(F.concat(head, F.array(left, own)))
+            return F.when(p > 2, later).when(p > 1, second).otherwise(first)
 
         return _let(F.array_position(acc, least), at)
 
@@ -204,7 +210,7 @@ def _python(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
 
-def common_words(docs: DataFrame, pattern: str, ranks: Ranks, most: int) -> pa.Table:
+def common_words(docs: DataFrame, pattern: str, ranks: Ranks, most: int) -> list[pa.RecordBatch]:
     """word, ids: at most `most` words that occur twice or more in docs' texts, the most frequent first, encoded.
 
     Counts cover all texts. A histogram of counts (powers of 2^(1/16)) gives the least count of which all words fit, so
@@ -220,22 +226,24 @@ def common_words(docs: DataFrame, pattern: str, ranks: Ranks, most: int) -> pa.T
         if room < 0:
             break
         least = row["level"]
-    return counted.where(F.col("level") >= least).select("word", encode_word(F.col("word"), ranks).cast("array<int>").alias("ids")).toArrow()
+    coded = counted.where(F.col("level") >= least).select("word", encode_word(F.col("word"), ranks).cast("array<int>").alias("ids"))
+    return coded.toArrow().to_batches(max_chunksize=1 << 16)
 
 
 class Known:
     """The common words in a few flat arrays, found by hash and then compared as text."""
 
-    def __init__(self, found: pa.Table) -> None:
-        words = found.column("word").to_pylist()
-        hashes = _hashes(words)
-        order = np.argsort(hashes, kind="stable")
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *(_hashes(b.column("word").to_pylist()) for b in batches)])
+        order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[order]
-        self.words = pa.array(words, type=pa.string()).take(pa.array(order))
-        ids = found.column("ids").combine_chunks()
-        ids = (ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks)).take(pa.array(order)) if words else pa.array([], type=pa.list_(pa.int32()))
-        self.flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self.starts = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        place = pa.array(order)
+        self.words = pa.concat_arrays([pa.array([], type=pa.string()), *(b.column("word").cast(pa.string()) for b in batches)]).take(place)
+        ids = pa.concat_arrays([pa.array([], type=pa.list_(pa.int32())), *(b.column("ids").cast(pa.list_(pa.int32())) for b in batches)])
+        batches.clear()  # what follows needs room
+        ids = ids.take(place)
+        self.flat = np.array(ids.flatten(), dtype=np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(_lengths(ids), dtype=np.int64)]).astype(np.int32)
 
     def places(self, words: list[str]) -> np.ndarray:
         """The place of each word, or -1."""
