@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive slices of the batches with the texts of column (null: ""); a slice holds most bytes of text or one row."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
@@ -24,7 +26,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4_000_000
             begin, base = end, int(ends[end - 1])
 
 
-def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[str]], dict[str, pa.Array]], schema: str, most: int = 4_000_000, keep_text: bool = True) -> DataFrame:
+def tidy() -> None:
+    """Give memory that a task has freed back to the system: idle Python workers stay, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[str]], dict[str, pa.Array]], schema: str, most: int = 1_000_000, keep_text: bool = True) -> DataFrame:
     """df's columns (the text itself only with keep_text) with function's columns, worked out slice by slice.
 
     function's columns are those of schema; they replace any of the same name.
@@ -42,6 +51,7 @@ def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[st
             made = function(part, texts)
             own = [part.column(part.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays(own + [made[n] for n in order], names=[f.name for f in kept] + order)
+        tidy()
 
     return df.mapInArrow(run, out)
 

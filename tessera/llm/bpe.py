@@ -24,14 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from tessera.llm.arrow import Numbers, mapped, sums
+from tessera.llm.arrow import Numbers, mapped, sums, tidy
 from tessera.llm.common import cut, table
 
 #: Words with more bytes are merged with a heap: the fold's time grows with the square of a word's length.
 LONGEST_FOLD = 256
 _WIDTH = 20
 _NONE = 1 << _WIDTH
-_FREE = 1 << 62
 #: Bytes of text that are split into words at a time.
 _SLICE = 1_200_000
 
@@ -40,8 +39,8 @@ _SLICE = 1_200_000
 class Ranks:
     """Token bytes by id, and the packed table of merges.
 
-    base[left] + right is the only place in table where the pair can be; the entry left << 20 | merged says that it is
-    there.
+    base[left] + right is the only place in table where the pair can be; the entry (left + 1) << 20 | merged says that it is
+    there; a free place holds 0.
     """
 
     tokens: tuple[bytes, ...]
@@ -52,14 +51,14 @@ class Ranks:
     def merged(self, left: int, right: int) -> int:
         """The id of the two tokens' concatenation, or _NONE."""
         entry = int(self.table[self.base[left] + right])
-        return entry & ((1 << _WIDTH) - 1) if entry >> _WIDTH == left else _NONE
+        return entry & ((1 << _WIDTH) - 1) if entry >> _WIDTH == left + 1 else _NONE
 
 
 def pack(rows: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Places rows (left -> [(right, merged)]) into one array, each shifted so that no two entries meet; size: ids."""
     base = np.zeros(size, dtype=np.int64)
     taken = np.zeros(4 * size + 4 * sum(map(len, rows.values())), dtype=bool)
-    out = np.full(len(taken), _FREE, dtype=np.int64)
+    out = np.zeros(len(taken), dtype=np.int64)
     free_from = 0
     for left, pairs in sorted(rows.items(), key=lambda kv: (-len(kv[1]), kv[0])):
         rights = np.array([r for r, _ in pairs], dtype=np.int64)
@@ -75,11 +74,12 @@ def pack(rows: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndarray,
             at += step
         base[left] = shift
         taken[shift + rights] = True
-        out[shift + rights] = [(left << _WIDTH) | m for _, m in pairs]
+        out[shift + rights] = [((left + 1) << _WIDTH) | m for _, m in pairs]
         while taken[free_from]:
             free_from += 1
     end = int(np.flatnonzero(taken).max(initial=0)) + 1
-    return base, np.concatenate([out[:end], np.full(size + int(base.max(initial=0)) + 1 - min(end, size + int(base.max(initial=0))), _FREE, dtype=np.int64)])
+    # any base plus any id is a place
+    return base, np.concatenate([out[:end], np.zeros(max(size + int(base.max(initial=0)) + 1 - end, 0), dtype=np.int64)])
 
 
 @lru_cache(maxsize=4)
@@ -136,7 +136,7 @@ def _fold_word(word: Column, base: Column, packed: Column, first: Column) -> Col
     def lookup(left: Column, right: Column) -> Column:
         spot = (F.get(base, left.cast("int")) + right).cast("int")
         # another row's entry keeps high bits, and so counts as no rank
-        return F.least(F.get(packed, spot).bitwiseXOR(F.shiftleft(left, _WIDTH)), none)
+        return F.least(F.get(packed, spot).bitwiseXOR(F.shiftleft(left + 1, _WIDTH)), none)
 
     def entry(rank: Column, rest: Column) -> Column:
         return F.shiftleft(rank, 2 * _WIDTH).bitwiseOR(rest)
@@ -396,6 +396,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20, pac
                 else:
                     columns.append(pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids)))
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids"])
+        tidy()
 
     made = [StructField("ids_le", BinaryType()), StructField("decoded", BinaryType())] if packed else [StructField("ids", ArrayType(IntegerType()))]
     return folded.mapInArrow(join, StructType([*kept, *made]))

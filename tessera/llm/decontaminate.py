@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import mix, slices
+from tessera.llm.arrow import mix, slices, tidy
 from tessera.llm.common import table
 from tessera.llm.quality import rolling
 
@@ -175,6 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
             for part, texts in slices(batches, "text"):
                 leaking = {t for t, *_ in found(texts)}
                 yield part.filter(pa.array([i not in leaking for i in range(len(texts))]))
+            tidy()
 
         out = out.mapInArrow(work, docs.schema)
     return out

@@ -31,7 +31,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 #: Size of the hashed space of letter n-grams, and their greatest length.
-DIM, LONGEST = 8192, 3
+DIM, LONGEST = 4096, 3
 UNKNOWN = "und"
 _SEED = (0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -66,7 +66,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = (h ^ chars[k : k + size]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(15)
         same = doc[:size] == doc[n - 1 :]
-        codes.append((h[same] * np.uint32(0x9E3779B1)) >> np.uint32(19))
+        codes.append((h[same] * np.uint32(0x9E3779B1)) % np.uint32(DIM))
         owners.append(doc[:size][same])
     code = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32)
     owner = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
@@ -162,7 +162,7 @@ def train(labels: list[str], x: np.ndarray) -> Model:
     return model
 
 
-def fit(docs: DataFrame, per_lang: int = 400) -> Model:
+def fit(docs: DataFrame, per_lang: int = 300) -> Model:
     """A model from docs (doc_id, text, lang; rows with a null lang or doc_id teach nothing).
 
     per_lang bounds the sample: about that many documents of each language, chosen by a hash of doc_id (a first
@@ -181,9 +181,9 @@ def fit(docs: DataFrame, per_lang: int = 400) -> Model:
         out = [frequencies(texts[i : i + 200]) for i in range(0, len(texts), 200)]
         return {"x": pa.array([r.tobytes() for part in out for r in part], type=pa.binary())}
 
-    rows = sorted(mapped(sample, "text", work, "x binary").select("doc_id", "lang", "x").collect(), key=lambda r: (r["lang"], r["doc_id"], r["x"]))
-    x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(len(rows), DIM)
-    return train([r["lang"] for r in rows], x)
+    found = mapped(sample, "text", work, "x binary").select("doc_id", "lang", "x").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), dtype=np.float32).reshape(found.num_rows, DIM)
+    return train(found.column("lang").to_pylist(), x)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

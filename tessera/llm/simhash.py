@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import mapped, mix, sums
+from tessera.llm.arrow import mapped, mix, tidy
 from tessera.llm.common import cut, table
 from tessera.llm.components import components
 
@@ -52,7 +52,7 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     ends = np.cumsum(count)
     at = 0
     while at < len(texts):  # a bounded number of shingles at a time, or one text
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 200_000, side="right")))
         base = int(ends[at - 1]) if at else 0
         mine, n = h[base : ends[to - 1]], count[at:to]
         if len(mine):
@@ -255,6 +255,8 @@ def link(distinct: DataFrame, split_over: int = 65_536) -> DataFrame:
                 held, rows = [(keys[ready:], fps[ready:])], len(keys) - ready
         if rows:
             yield done(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        tidy()
 
     met = distinct.mapInArrow(spread, "key long, fp long").repartition("key").sortWithinPartitions("key")
     return met.mapInArrow(compare, "u long, v long").distinct()
