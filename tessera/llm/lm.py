@@ -27,15 +27,24 @@ from tessera.llm.common import WORD, crc_bucket, cut, table, text_of
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: The end, OWN frequent words with a class each, and ENDINGS classes of words by their last two characters.
-OWN, ENDINGS = 7, 24
+OWN, ENDINGS = 15, 32
 CLASSES = 1 + OWN + ENDINGS
-#: Rows of the weight table (features are hashed into it), features of a history, rows of a block of weights.
-DIM, FEATURES, BLOCK = 1 << 13, 4, 256
+#: Rows of the weight table (features are hashed into it) at least and at most; distinct training words a row in between.
+LEAST_ROWS, MOST_ROWS, WORDS_A_ROW = 1 << 14, 1 << 16, 8
+#: Features of a history, rows of a block of weights.
+FEATURES, BLOCK = 4, 256
 ROUNDS, RATE, BATCH = 3, 0.15, 8192
 _SLICE = 1_000_000
+#: Training tokens a task, and tasks whose moves are summed up in one step.
+TASK, STEP = 1_000_000, 64
 _END, _BEFORE = 0x51ED270B1B0E25A1, 0x2545F4914F6CDD1D
 
 
+def table_rows(distinct: int) -> int:
+    """Rows of the weight table for so many distinct training words: a power of two. Every worker holds the table, so it has a bound."""
+    return min(max(1 << (-(-distinct // WORDS_A_ROW) - 1).bit_length() if distinct else 0, LEAST_ROWS), MOST_ROWS)
+
+
 def ending_class(word: Column) -> Column:
     return F.pmod(F.xxhash64(F.right(word, F.lit(2))), F.lit(ENDINGS)).cast("int") + 1 + OWN
 
@@ -141,8 +150,8 @@ class Tokens:
         kind[0] = 0
         return cls(words, hashes, kind, code, length)
 
-    def features(self) -> np.ndarray:
-        """Rows of the weight table for each token's history: last word, last two, the one before (skip), last two classes."""
+    def features(self, dim: int) -> np.ndarray:
+        """Rows of the weight table (of dim rows) for each token's history: last word, last two, the one before (skip), last two classes."""
         h, k = self.hashes[self.code], self.kind[self.code].astype(np.uint64) + np.uint64(1)
         first = np.cumsum(self.length) - self.length
         one, two = np.empty_like(h), np.empty_like(h)
@@ -152,14 +161,14 @@ class Tokens:
         second = first[self.length > 1] + 1
         two[first], two[second], c2[first], c2[second] = _BEFORE, _BEFORE, 0, 0
         rows = (mix(one), mix(mix(two) * np.uint64(3) + one), mix(two ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(c1 * np.uint64(64) + c2 + np.uint64(7)))
-        return np.stack([r % np.uint64(DIM) for r in rows], axis=1).astype(np.uint16)
+        return np.stack([r % np.uint64(dim) for r in rows], axis=1).astype(np.uint16)
 
 
 class Model:
-    """Weights (DIM by CLASSES) and biases."""
+    """Weights (table_rows by CLASSES) and biases."""
 
     def __init__(self, counts: Counts | None = None) -> None:
-        self.weights = np.zeros((DIM, CLASSES), dtype=np.float32)
+        self.weights = np.zeros((table_rows(counts.distinct if counts else 0), CLASSES), dtype=np.float32)
         share = (counts.class_total + 1) if counts else np.ones(CLASSES)
         self.bias = np.log(share / share.sum()).astype(np.float32)
 
@@ -199,15 +208,20 @@ class Model:
 def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     """rounds distributed updates; each training row (doc_id, text) is used in one of them, by a hash of doc_id."""
     spark, model = training.sparkSession, Model(counts)
-    parts = math.isqrt(training.rdd.getNumPartitions()) + 1
+    # tasks follow the tokens, not the files: every task writes moves of up to the whole table, however few its texts
+    tasks = -(-counts.total // (TASK * rounds)) or 1
+    parts = -(-tasks // STEP)
     shared_counts = spark.sparkContext.broadcast(counts)
 
     def added(part: pa.Table, keep: tuple[str, ...]) -> pa.Table:
-        total = np.zeros(BLOCK * CLASSES, dtype=np.float64)
-        for x in part.column("moved"):
-            total += np.frombuffer(x.as_buffer(), dtype=np.float32)
-        columns = {k: [part.column(k)[0].as_py()] for k in keep} | {"tokens": [pc.sum(part.column("tokens")).as_py()], "moved": [total.astype(np.float32).tobytes()]}
-        return pa.table(columns, schema=pa.schema([(k, pa.int32()) for k in keep] + [("tokens", pa.int64()), ("moved", pa.binary())]))
+        total, some = np.zeros((BLOCK, CLASSES), dtype=np.float64), np.zeros(BLOCK, dtype=bool)
+        for at, x in zip(part.column("at"), part.column("moved")):
+            own = np.frombuffer(at.as_buffer(), dtype=np.uint8)
+            total[own] += np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(-1, CLASSES)
+            some[own] = True
+        at, moved = np.flatnonzero(some).astype(np.uint8).tobytes(), total[some].astype(np.float32).tobytes()
+        columns = {k: [part.column(k)[0].as_py()] for k in keep} | {"tokens": [pc.sum(part.column("tokens")).as_py()], "at": [at], "moved": [moved]}
+        return pa.table(columns, schema=pa.schema([(k, pa.int32()) for k in keep] + [("tokens", pa.int64()), ("at", pa.binary()), ("moved", pa.binary())]))
 
     for step in range(rounds):
         start = spark.sparkContext.broadcast(model)
@@ -218,28 +232,30 @@ def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
             seen = np.zeros_like(own.weights)
             for _, texts in slices(batches, "text", _SLICE):
                 t = Tokens.of(texts, shared_counts.value)
-                own.learn(t.features(), t.kind[t.code], seen)
+                own.learn(t.features(len(own.weights)), t.kind[t.code], seen)
                 tokens += len(t.code)
             if tokens:
-                delta = ((own.weights - start.value.weights) * np.float32(tokens)).reshape(-1, BLOCK * CLASSES)
-                n = len(delta)
+                # only rows that moved are written, a block's places among them in at
+                delta = ((own.weights - start.value.weights) * np.float32(tokens)).reshape(-1, BLOCK, CLASSES)
                 part = TaskContext.get().partitionId() % parts
+                n, places = len(delta), [np.flatnonzero(d.any(axis=1)).astype(np.uint8) for d in delta]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(n), type=pa.int32()), pa.array([part] * n, type=pa.int32()), pa.array([tokens] * n, type=pa.int64()), pa.array([d.tobytes() for d in delta], type=pa.binary())],
-                    names=["block", "part", "tokens", "moved"],
+                    [pa.array(range(n), type=pa.int32()), pa.array([part] * n, type=pa.int32()), pa.array([tokens] * n, type=pa.int64()), pa.array([p.tobytes() for p in places], type=pa.binary()), pa.array([d[p].tobytes() for d, p in zip(delta, places)], type=pa.binary())],
+                    names=["block", "part", "tokens", "at", "moved"],
                 )
 
         mine = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == step).select("text")
-        moved = mine.mapInArrow(move, "block int, part int, tokens long, moved binary")
-        # two steps, so that no task holds the moves of all tasks
-        some = moved.groupBy("block", "part").applyInArrow(lambda t: added(t, ("block", "part")), "block int, part int, tokens long, moved binary")
-        full = some.groupBy("block").applyInArrow(lambda t: added(t.drop_columns("part"), ("block",)), "block int, tokens long, moved binary")
+        moved = mine.coalesce(tasks).mapInArrow(move, "block int, part int, tokens long, at binary, moved binary")
+        if parts > 1:  # two steps, so that no task holds the moves of all tasks
+            moved = moved.groupBy("block", "part").applyInArrow(lambda t: added(t, ("block", "part")), "block int, part int, tokens long, at binary, moved binary")
+        full = moved.groupBy("block").applyInArrow(lambda t: added(t, ("block",)), "block int, tokens long, at binary, moved binary")
         new = Model(counts)
         new.weights = model.weights.copy()
         for r in full.collect():
-            at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
-            new.weights[at] += (np.frombuffer(r["moved"], dtype=np.float32).reshape(BLOCK, CLASSES) / r["tokens"]).astype(np.float32)
+            at = r["block"] * BLOCK + np.frombuffer(r["at"], dtype=np.uint8).astype(np.int64)
+            new.weights[at] += (np.frombuffer(r["moved"], dtype=np.float32).reshape(-1, CLASSES) / r["tokens"]).astype(np.float32)
         model = new
+        start.destroy()
     return model
 
 
@@ -268,7 +284,7 @@ def score(docs: DataFrame, model: Model, counts: Counts, counted: DataFrame) ->
             of = n[t.code]
             ready = np.log10(np.maximum(of, 0) + 1.0)
             kind = t.kind[t.code]
-            rows = t.features()
+            rows = t.features(len(own.weights))
             chance = np.empty(len(kind), dtype=np.float64)
             for at in range(0, len(kind), BATCH):
                 k = kind[at : at + BATCH]

@@ -281,6 +281,14 @@ def test_lm_classes_agree(spark):
     assert [r.k for r in df] == counts.classes(words).tolist()
 
 
+def test_lm_tables_follow_the_words():
+    def model(distinct):
+        return lm.Model(lm.Counts(0, distinct, 0, {}, np.zeros(lm.CLASSES), np.zeros(lm.CLASSES), np.zeros(0, np.uint64), None, np.zeros(0)))
+
+    assert lm.CLASSES >= 48 and [lm.table_rows(n) for n in (0, 1, 100_000, 131_073, 404_216)] == [1 << 14, 1 << 14, 1 << 14, 1 << 15, 1 << 16]
+    assert model(10).weights.shape == (1 << 14, lm.CLASSES) and model(404_216).weights.shape == (1 << 16, lm.CLASSES)
+
+
 # 6
 
 
