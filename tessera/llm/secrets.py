@@ -30,9 +30,10 @@ ACCESS_RE = "AKIA[A-Z0-9]{16,}+"
 HEX_RE = "[0-9a-f]{24,}+"
 LEAST_VALUE = 6
 
-#: Characters of tokens, and the form of a token that the models judge.
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+_=-"
-TOKEN_RE = "[A-Za-z0-9+_=-]{20,}+"
+#: Characters of tokens, the form of a token that the models judge, and of its parts between slashes.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+TOKEN_RE = "[A-Za-z0-9+/_=-]{20,}+"
+PART_RE = "[A-Za-z0-9+_=-]{20,}+"
 #: Least mean and total of the log-likelihood ratio (natural logarithms) over a token's transitions.
 LEAST_MEAN, LEAST_TOTAL = 0.7, 20.0
 
@@ -54,14 +55,14 @@ class Model:
 
 def _transitions(strings: DataFrame, label: str) -> DataFrame:
     """strings(s) -> label, pair, n for pairs of ALPHABET's characters."""
-    pair = F.explode(F.regexp_extract_all("s", F.lit("(?=([A-Za-z0-9+_=-]{2}))"), F.lit(1)))
+    pair = F.explode(F.regexp_extract_all("s", F.lit("(?=([A-Za-z0-9+/_=-]{2}))"), F.lit(1)))
     return strings.select(pair.alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("label", F.lit(label))
 
 
 def fit(docs: DataFrame, documents: int = 2000, generated: int = 20_000) -> Model:
     """Models from labelled samples.
 
-    Ordinary: identifiers (snake case in small and in capital letters, camel case, some words numbered) built of the words of about `documents` documents, chosen by a hash of
+    Ordinary: identifiers (snake case in small and in capital letters, camel case, some words numbered), paths and addresses built of the words of about `documents` documents, chosen by a hash of
     their text; words of matches of the fixed formats are left out. Random: `generated` digests written in base 64 and
     in hexadecimal, and the values that the fixed formats find in those documents. Both bounds are parameters; only
     transition counts (at most len(ALPHABET) squared a label) reach the driver. Empty docs give a model all the same.
@@ -77,11 +78,14 @@ def fit(docs: DataFrame, documents: int = 2000, generated: int = 20_000) -> Mode
     numbered = F.transform("w", lambda w, i: F.when(i % 4 == 0, F.concat(w, (i % 100).cast("string"))).otherwise(w))
     snake = F.array_join(numbered, "_")
     camel = F.array_join(F.transform(numbered, lambda w: F.initcap(w)), "")
-    ordinary = named.select(F.explode(F.array(F.lower(snake), F.upper(snake), camel)).alias("s"))
+    # a path of single words, and an address whose segments are words joined by dashes
+    path = F.concat(F.lit("/"), F.array_join(numbered, "/"))
+    address = F.concat(F.lit("//"), F.array_join(F.transform(numbered, lambda w, i: F.concat(F.lower(w), F.when(i % 3 == 2, "/").otherwise("-"))), ""))
+    ordinary = named.select(F.explode(F.array(F.lower(snake), F.upper(snake), camel, path, F.lower(path), address)).alias("s"))
     found = sample.select(F.explode(F.regexp_extract_all("text", F.lit(f"{ACCESS_RE}|{HEX_RE}"), F.lit(0))).alias("s"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(generated)
-    random = found.unionAll(made.select(F.translate(F.base64(F.unhex(digest)), "/", "-").alias("s"))).unionAll(made.select(digest.alias("s")))
+    random = found.unionAll(made.select(F.base64(F.unhex(digest)).alias("s"))).unionAll(made.select(digest.alias("s")))
     counts: dict[str, dict[str, int]] = {"random": {}, "ordinary": {}}
     for r in _transitions(ordinary, "ordinary").unionByName(_transitions(random, "random")).collect():
         counts[r["label"]][r["pair"]] = r["n"]
@@ -103,17 +107,62 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """docs (text, any other columns) with base and added: arrays of spans (see spans.matches).
 
     base: the fixed formats. added: tokens of TOKEN_RE with a letter and a digit that overlap no base span and that the
-    models call random. A null or empty text has none. Each row is judged alone; repeated rows alike.
+    models call random; of other tokens the segments between slashes that together are most random, and each part of
+    PART_RE, judged alike. A null or empty text has none. Each row is judged alone; repeated rows alike.
     """
     text = text_of()
-    tokens = F.filter(S.matches(text, TOKEN_RE, RANDOM), lambda s: s["hit"].rlike("[A-Za-z]") & s["hit"].rlike("[0-9]"))
+
+    def mixed(spans: Column) -> Column:
+        return F.filter(spans, lambda s: s["hit"].rlike("[A-Za-z]") & s["hit"].rlike("[0-9]"))
+
+    def free(spans: Column, others: Column) -> Column:
+        return F.filter(spans, lambda s: ~S.overlaps(s, others))
 
     def secret(s: Column) -> Column:
         score = model.score(s["hit"])
         return F.when((score >= LEAST_TOTAL) & (score >= LEAST_MEAN * (F.char_length(s["hit"]) - 1)), True).otherwise(False)
 
-    found = docs.withColumn("base", base_spans(text)).withColumn("added", tokens)
-    return found.withColumn("added", F.when(F.size("added") > 0, F.filter("added", lambda s: ~S.overlaps(s, F.col("base")) & secret(s))).otherwise(S.none()))
+    def judged(spans: Column) -> Column:
+        return F.filter(spans, secret)
+
+    def least(column: str, spans: Column) -> Column:
+        """The spans, worked out where the column has some."""
+        return F.when(F.size(column) > 0, spans).otherwise(S.none())
+
+    found = docs.withColumn("base", base_spans(text)).withColumn("__tokens", mixed(S.matches(text, TOKEN_RE, RANDOM)))
+    found = found.withColumn("__whole", least("__tokens", judged(free(F.col("__tokens"), F.col("base")))))
+    found = found.withColumn("__tokens", least("__tokens", F.filter(free(F.col("__tokens"), F.col("__whole")), lambda s: F.contains(s["hit"], F.lit("/")))))
+    # a token that overlaps a base span or is not random as a whole may still hold a secret
+    run = F.transform("__tokens", lambda s: _densest(s, model))
+    found = found.withColumn("__run", least("__tokens", judged(free(mixed(F.filter(run, lambda s: F.char_length(s["hit"]) >= 20)), F.col("base")))))
+    part = mixed(S.matches(text, PART_RE, RANDOM))
+    found = found.withColumn("__part", least("__tokens", judged(free(part, F.concat("base", "__whole", "__run")))))
+    return found.withColumn("added", F.concat("__whole", "__run", "__part")).drop("__tokens", "__whole", "__run", "__part")
+
+
+def _densest(s: Column, model: Model) -> Column:
+    """The span of the token's segments between slashes whose score exceeds LEAST_MEAN a transition by most."""
+    def step(acc: Column, x: Column) -> Column:
+        # the slash before a segment, and the transition to it, count with the segments joined
+        stop = acc["at"] + F.char_length(x)
+        alone = model.score(x) - LEAST_MEAN * (F.char_length(x) - 1)
+        joined = acc["sum"] + model.score(F.concat(F.right(acc["last"], F.lit(1)), F.lit("/"), x)) - LEAST_MEAN * (F.char_length(x) + 1)
+        both = F.struct(alone.alias("alone"), joined.alias("joined"))
+        return F.element_at(F.transform(F.array(both), lambda b: _kept(acc, x, stop, b)), 1)
+
+    begin = F.expr("named_struct('at', 0L, 'from', 0L, 'sum', -1e9D, 'last', '', 'best', -1e18D, 'start', 0L, 'stop', 0L)")
+    return F.aggregate(F.split(s["hit"], "/"), begin, step, lambda acc: F.struct(
+        (s["start"] + acc["start"]).alias("start"), (s["start"] + acc["stop"]).alias("stop"), s["kind"].alias("kind"),
+        F.substring(s["hit"], (acc["start"] + 1).cast("int"), (acc["stop"] - acc["start"]).cast("int")).alias("hit"), s["extra"].alias("extra")))
+
+
+def _kept(acc: Column, x: Column, stop: Column, b: Column) -> Column:
+    on = b["joined"] > b["alone"]
+    total, start = F.greatest(b["joined"], b["alone"]), F.when(on, acc["from"]).otherwise(acc["at"])
+    best = total > acc["best"]
+    return F.struct(
+        (stop + 1).cast("bigint").alias("at"), start.alias("from"), total.alias("sum"), x.alias("last"),
+        F.greatest(total, acc["best"]).alias("best"), F.when(best, start).otherwise(acc["start"]).alias("start"), F.when(best, stop).otherwise(acc["stop"]).cast("bigint").alias("stop"))
 
 
 def redact(docs: DataFrame, model: Model, mark: str = "<SECRET>") -> DataFrame:

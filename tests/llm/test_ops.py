@@ -181,6 +181,20 @@ def test_secret_models(spark, docs):
     assert secrets.scan(df.limit(0), secrets.fit(df.limit(0))).count() == 0
 
 
+def test_secrets_with_slashes(spark, docs):
+    model = secrets.fit(docs)
+    key, rest = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYz8Q2mT4vLk", "a8Kd93kLmQ02zXcVbN4rT6yU1iOpS5dFgHjK"
+    yes = {key: key, f"aws_secret_access_key {key} end": key, "home/user/project/settings/" + rest: rest}
+    no = ["/usr/local/lib/python3/site-packages/module2/internal", "https://example.com/articles/2024/05/how-to-build-a-house", "src/main/java/com/example/service2/UserAccountController"]
+    df = spark.createDataFrame(list(enumerate([*yes, *no])), "doc_id long, text string")
+    rows = secrets.scan(df, model).orderBy("doc_id").collect()
+    for r, (text, want) in zip(rows, yes.items()):
+        at = text.index(want)
+        assert any(s.start <= at and s.stop >= at + len(want) for s in r.added), text
+        assert all(text[s.start : s.stop] == s.hit for s in r.added)
+    assert [r.added for r in rows[len(yes) :]] == [[]] * len(no)
+
+
 def test_pii_trees(spark, docs):
     model = pii.fit(docs)
     rows = ["call 555-123-4567 now", "user12 [at] mail3 [dot] example [dot] com", "dated 2024-01-15", "order 12345678", "total 1234567", None]
