@@ -100,11 +100,19 @@ def threshold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_join_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as cells (order by line) of a sheet a supplier, with merged ranges from the customers."""
+    """Order lines as cells (order by line) of a sheet a supplier, with merged ranges from every seventh customer."""
+    return _cells_in_ranges(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 7 = 0"))
+
+
+def range_join_cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """range_join_cells with merged ranges from all customers."""
+    return _cells_in_ranges(spark, sf_dir, table(spark, sf_dir, "customer"))
+
+
+def _cells_in_ranges(spark: SparkSession, sf_dir: str, c: DataFrame) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     cells = li.groupBy((F.col("l_suppkey") % 10).alias("sheet"), (F.col("l_orderkey") % 500).alias("row"), F.col("l_linenumber").alias("col")).agg(F.count("*").alias("n"))
-    c = table(spark, sf_dir, "customer")
-    merged = c.where("c_custkey % 7 = 0").select((F.col("c_custkey") % 10).alias("sheet"), (F.col("c_custkey") % 500).alias("r1"), F.lit(1).alias("c1"), (F.col("c_custkey") % 500 + F.col("c_nationkey") % 3).alias("r2"), (F.col("c_nationkey") % 4 + 1).alias("c2"))
+    merged = c.select((F.col("c_custkey") % 10).alias("sheet"), (F.col("c_custkey") % 500).alias("r1"), F.lit(1).alias("c1"), (F.col("c_custkey") % 500 + F.col("c_nationkey") % 3).alias("r2"), (F.col("c_nationkey") % 4 + 1).alias("c2"))
     return C.masters(cells, merged).select("sheet", "row", "col", "n", "master_row", "master_col")
 
 
@@ -150,7 +158,7 @@ def date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "event_type", "value")
 
 
-QUERIES = {f.__name__: f for f in (doc_counts, status_counts, filename_metadata, anti_join_new, upsert_latest, changed_files, exact_dup_groups, duplicate_of, listing_dedup, listing_new, page_fields, date_normalise, threshold_check, range_join_cells, batch_normalise, right_neighbour, title_similarity, extraction_validity, error_marks, date_filter)}
+QUERIES = {f.__name__: f for f in (doc_counts, status_counts, filename_metadata, anti_join_new, upsert_latest, changed_files, exact_dup_groups, duplicate_of, listing_dedup, listing_new, page_fields, date_normalise, threshold_check, range_join_cells, range_join_cells_all, batch_normalise, right_neighbour, title_similarity, extraction_validity, error_marks, date_filter)}
 
 
 def _case(column: str, rules: tuple, default: str) -> str:

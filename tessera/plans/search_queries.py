@@ -127,6 +127,13 @@ def paragraph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.page_lines(paragraphs, md)
 
 
+def paragraph_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paragraph_lines for every long line of pages and its whole text."""
+    md = E.elements(_markdown(spark, sf_dir))
+    paragraphs = md.where(F.char_length("content") >= 20).select("doc_id", (F.col("pos") + 1).cast("long").alias("page"), F.col("content").alias("text"))
+    return E.page_lines(paragraphs, md)
+
+
 def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as tables of a document each: consecutive lines of one order on consecutive pages."""
     li = table(spark, sf_dir, "lineitem")
@@ -135,7 +142,7 @@ def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.merge_across_pages(tables.withColumn("confident", F.col("s") == "O")).select("doc_id", "pos", "merge_into")
 
 
-QUERIES = {f.__name__: f for f in (fulltext_bigram, fulltext_scoped, metadata_score, retrieval_rank, keyword_context, keyword_df, element_counters, running_index, section_index, section_path, section_totals, language_detect, page_classify, page_hash, paragraph_lines, table_merge)}
+QUERIES = {f.__name__: f for f in (fulltext_bigram, fulltext_scoped, metadata_score, retrieval_rank, keyword_context, keyword_df, element_counters, running_index, section_index, section_path, section_totals, language_detect, page_classify, page_hash, paragraph_lines, paragraph_lines_all, table_merge)}
 
 _SECTIONS = f"""{_MARKDOWN}, ml AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM m),
 mk AS (SELECT *, length(regexp_extract(content, '^(#{{1,4}})\\s+(.+)$', 1)) AS mark, trim(regexp_extract(content, '^(#{{1,4}})\\s+(.+)$', 2)) AS title FROM ml),
