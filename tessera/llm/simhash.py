@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import mapped, mix, tidy
+from tessera.llm.arrow import mapped, mix, small_batches, tidy
 from tessera.llm.common import cut, table
 from tessera.llm.components import components
 
@@ -199,14 +199,16 @@ def links_of(keys: np.ndarray, fps: np.ndarray, most: int = 24) -> tuple[np.ndar
     return known[moved], known[label[moved]]
 
 
-def link(distinct: DataFrame, split_over: int = 65_536) -> DataFrame:
+def link(distinct: DataFrame, split_over: int = 65_536, listed: int = 10_000) -> DataFrame:
     """distinct fingerprints (fp: long, none null) -> links (u, v: long) whose components are those of all links.
 
     Fingerprints that meet at one anchor are compared by one task; an anchor with more than about split_over of them
-    (estimated from one fingerprint in 64) is split into blocks and its pairs of blocks into tasks of their own. The
-    estimate bears on the division of work alone, never on the links.
+    (estimated from one fingerprint in 64) is split into blocks and its pairs of blocks into tasks of their own. Up to
+    `listed` such anchors are sent to the tasks, more are joined in as a table. The estimate bears on the division of
+    work alone, never on the links.
     """
     spark = distinct.sparkSession
+    small_batches(spark)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = dict(hot.value)
@@ -232,9 +234,16 @@ def link(distinct: DataFrame, split_over: int = 65_536) -> DataFrame:
             keys, _ = anchors(x[mix(x) % np.uint64(64) == 0])
             yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["key"])
 
-    crowded = distinct.mapInArrow(sampled, "key long").groupBy("key").count().where(F.col("count") >= max(split_over // 64, 2))
-    crowded = crowded.orderBy(F.desc("count"), "key").limit(10_000)
-    hot = spark.sparkContext.broadcast([(r["key"], -(-r["count"] * 64 // split_over) + 1) for r in crowded.collect()])
+    counted = distinct.mapInArrow(sampled, "key long").groupBy("key").count().where(F.col("count") >= max(split_over // 64, 2))
+    crowded = cut(counted.select("key", (F.ceil(F.col("count") * 64 / split_over) + 1).cast("long").alias("blocks")))
+    some = crowded.count() <= listed
+    hot = spark.sparkContext.broadcast([(r["key"], r["blocks"]) for r in crowded.collect()] if some else [])
+
+    def by_table(met: DataFrame) -> DataFrame:
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+        both = met.join(crowded, "key", "left")
+        return both.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -258,7 +267,8 @@ def link(distinct: DataFrame, split_over: int = 65_536) -> DataFrame:
         held.clear()
         tidy()
 
-    met = distinct.mapInArrow(spread, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    spread_out = distinct.mapInArrow(spread, "key long, fp long")
+    met = (spread_out if some else by_table(spread_out)).repartition("key").sortWithinPartitions("key")
     return met.mapInArrow(compare, "u long, v long").distinct()
 
 
@@ -271,6 +281,17 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return mapped(docs, "text", work, "fp long")
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, fp) -> fp, root, component_id, one row a fingerprint: its component's least fingerprint and least doc_id."""
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    joined = components(link(nodes.select("fp")))
+    linked = joined.join(nodes, joined["node"] == nodes["fp"]).select("node", "root", "least")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("named")), "root").select(F.col("node").alias("fp"), "root", "named")
+    # written, so that Spark can split the partition of a fingerprint that very many documents share
+    found = nodes.join(named, "fp", "left")
+    return cut(found.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("named")).alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp, component_id: a row for each row of docs.
 
@@ -280,13 +301,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows stay repeated. Only fingerprints are shuffled, never texts.
     """
     rows = cut(fingerprinted(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(link(nodes.select("fp")))
-    linked = joined.join(nodes, joined["node"] == nodes["fp"]).select("node", "root", "least")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("named")), "root").select(F.col("node").alias("fp"), "named")
-    # written, so that Spark can split the partition of a fingerprint that very many documents share
-    final = cut(nodes.join(named, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id")))
-    return rows.join(final, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(_grouped(rows), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,11 +311,15 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component: the one with the least doc_id (of rows that repeat it, one).
+    """docs without all but one row of each component: of the rows with the least doc_id (a null one comes last), one.
 
-    Rows with a null doc_id stay. Columns stay as they are.
+    Rows are told apart by 128 bits of hashes of all their columns, not by doc_id, so rows that share a doc_id but not a
+    text are judged by their texts, and of rows that are equal throughout one stays. Columns stay as they are.
     """
-    found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    hashes = {"__one": F.xxhash64(*docs.columns), "__two": F.xxhash64(F.lit(1), *docs.columns)}
+    marked = docs.withColumns(hashes)
+    rows = cut(fingerprinted(marked.select("doc_id", "text", *hashes)).select("doc_id", "fp", *hashes))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", *hashes)
+    stay = rows.join(_grouped(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("first")).select("first.__one", "first.__two")
+    kept = marked.join(stay, list(hashes), "left_semi").dropDuplicates(list(hashes))
+    return kept.select(*docs.columns)
