@@ -42,15 +42,48 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
+    # whole notices
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and
+this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("BSD", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of
+source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+http://mozilla.org/MPL/2.0/."""),
+    # tags of five words or more
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
 #: What stands between words (runs of letters and digits); splitting there is twice as fast as matching the words.
 BREAK_RE = r"[^\p{L}\p{N}]+"
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 8
 _REGION = 64
-#: Of templates found within so many words of each other, only those with the greatest containment count.
+#: Of one family's templates found within so many words of each other, only those with the greatest containment count.
 _APART = 16
 
 
+def family(license_: Column) -> Column:
+    """Licenses whose notices differ in little: the GNU ones, the Creative Commons ones; any other is its own."""
+    return F.when(license_.contains("GPL"), "GNU").when(license_.startswith("CC"), "CC").otherwise(license_)
+
+
 def _shifted(h: Column, a: Column, by: int, n: Column) -> Column:
     """Hashes of a[i] with h[i + by], n of them."""
     n = F.greatest(n, F.lit(0))
@@ -104,11 +137,11 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, license, containment, word: a row for each license that a document states.
 
     containment: the greatest share of a template's distinct shingles near a colliding window (at least CONTAINMENT);
-    word: the first such window's place. Where templates that
-    differ in little (versions of one license) are found side by side, the best stays. Windows of every size that a template asks for start at every word. Only
-    regions that hold a shingle which is some template window's least are looked at: no other window can collide.
-    Null, empty and short texts state none; rows with equal doc_id (also null) are one document. Other columns are
-    ignored. Only findings are shuffled.
+    word: the first such window's place. Where templates of one family (see family) are found side by side, the best
+    stays; licenses of other families never give way. Windows of every size that a template asks for start at every word.
+    Only regions that hold a shingle which is some template window's least are looked at: no other window can collide.
+    Null, empty and short texts state none. Each row of docs is a document of its own, also where it shares its doc_id
+    (or a null one) with others. Other columns are ignored. Only findings are shuffled.
     """
     spark = docs.sparkSession
     keys, least = _templates(spark, templates)
@@ -145,10 +178,10 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     slack = F.ceil(length * 1.25).cast("int")
     first = F.greatest(F.col("at") - slack, F.lit(0))
     share = F.size(F.array_intersect("shingles", F.slice("sh", first + 1, 2 * slack + length))) / length
-    true = found.select("doc_id", "license", (F.col("begin") + F.col("at")).cast("long").alias("word"), share.alias("containment")).where(F.col("containment") >= CONTAINMENT)
-    around = Window.partitionBy("doc_id").orderBy("word").rangeBetween(-_APART, _APART)
+    true = found.select("row", "doc_id", "license", (F.col("begin") + F.col("at")).cast("long").alias("word"), share.alias("containment")).where(F.col("containment") >= CONTAINMENT)
+    around = Window.partitionBy("row", family(F.col("license"))).orderBy("word").rangeBetween(-_APART, _APART)
     true = true.withColumn("__best", F.max("containment").over(around)).where(F.col("containment") == F.col("__best"))
-    return true.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("word").alias("word"))
+    return true.groupBy("row", "doc_id", "license").agg(F.max("containment").alias("containment"), F.min("word").alias("word")).drop("row")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
