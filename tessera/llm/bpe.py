@@ -2,12 +2,13 @@
 
 The ranks are a literal in the plan: pair (left id, right id) -> id of the merged token, packed as a table with
 displaced rows, so that a look-up is two array reads. Words common in the corpus are encoded once for all; what they
-leave over is encoded where it stands, once for each text. Decoding concatenates the tokens' bytes.
+leave over is encoded where it stands, once for a slice of texts. Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
@@ -40,13 +41,15 @@ class Ranks:
     """Token bytes by id, and the packed table of merges.
 
     base[left] + right is the only place in table where the pair can be; the entry (left + 1) << 20 | merged says that it is
-    there; a free place holds 0.
+    there; a free place holds 0. apart: texts that are tokens although their merges do not lead there; a word equal to
+    one is that token.
     """
 
     tokens: tuple[bytes, ...]
     base: np.ndarray
     table: np.ndarray
     byte_ids: tuple[int, ...]
+    apart: dict[str, int]
 
     def merged(self, left: int, right: int) -> int:
         """The id of the two tokens' concatenation, or _NONE."""
@@ -55,31 +58,32 @@ class Ranks:
 
 
 def pack(rows: dict[int, list[tuple[int, int]]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places rows (left -> [(right, merged)]) into one array, each shifted so that no two entries meet; size: ids."""
-    base = np.zeros(size, dtype=np.int64)
-    taken = np.zeros(4 * size + 4 * sum(map(len, rows.values())), dtype=bool)
+    """Places rows (left -> [(right, merged)]) into one array, each shifted so that no two entries meet; size: ids.
+
+    Longer rows go first, each to its least fitting shift; a window of shifts is tried at once, entry by entry.
+    """
+    base, window = np.zeros(size, dtype=np.int64), 1 << 14
+    taken = np.zeros(window + 4 * size + 4 * sum(map(len, rows.values())), dtype=bool)
     out = np.zeros(len(taken), dtype=np.int64)
-    free_from = 0
+    begin, length = 0, 0
     for left, pairs in sorted(rows.items(), key=lambda kv: (-len(kv[1]), kv[0])):
-        rights = np.array([r for r, _ in pairs], dtype=np.int64)
-        low = int(rights.min())
-        shift = None
-        at, step = free_from, max(16, min(4096, 200_000 // len(rights)))
-        while shift is None:
-            spots = np.flatnonzero(~taken[at : at + step]) + at
-            spots = spots[spots >= low] - low
-            fits = np.flatnonzero(~taken[spots[:, None] + rights[None, :]].any(axis=1)) if len(spots) else spots
-            if len(fits):
-                shift = int(spots[fits[0]])
-            at += step
-        base[left] = shift
-        taken[shift + rights] = True
-        out[shift + rights] = [((left + 1) << _WIDTH) | m for _, m in pairs]
-        while taken[free_from]:
-            free_from += 1
-    end = int(np.flatnonzero(taken).max(initial=0)) + 1
+        rights = [r for r, _ in pairs]
+        if len(pairs) != length:
+            begin, length = 0, len(pairs)
+        while True:
+            blocked = taken[begin + rights[0] : begin + rights[0] + window].copy()
+            for r in rights[1:]:
+                blocked |= taken[begin + r : begin + r + window]
+            at = int(blocked.argmin())
+            if not blocked[at]:
+                break
+            begin += window
+        base[left] = begin + at
+        spots = base[left] + np.array(rights)
+        taken[spots] = True
+        out[spots] = [((left + 1) << _WIDTH) | m for _, m in pairs]
     # any base plus any id is a place
-    return base, np.concatenate([out[:end], np.zeros(max(size + int(base.max(initial=0)) + 1 - end, 0), dtype=np.int64)])
+    return base, out[: int(base.max(initial=0)) + size + 1]
 
 
 @lru_cache(maxsize=4)
@@ -95,8 +99,9 @@ def load_ranks(path: str) -> Ranks:
 
 
 def make_ranks(ranks: dict[bytes, int]) -> Ranks:
+    """ranks: bytes -> id, all 256 single bytes among them."""
     size = max(ranks.values()) + 1
-    tokens = [b""] * size
+    tokens, apart = [b""] * size, {}
     rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
         tokens[rank] = token
@@ -104,8 +109,24 @@ def make_ranks(ranks: dict[bytes, int]) -> Ranks:
             left, right = ranks.get(token[:k]), ranks.get(token[k:])
             if left is not None and right is not None:
                 rows.setdefault(left, []).append((right, rank))
+        if not _reached(token, ranks):
+            with contextlib.suppress(UnicodeDecodeError):  # a word is made of whole characters
+                apart[token.decode()] = rank
     base, packed = pack(rows, size)
-    return Ranks(tuple(tokens), base, packed, tuple(ranks[bytes([b])] for b in range(256)))
+    return Ranks(tuple(tokens), base, packed, tuple(ranks[bytes([b])] for b in range(256)), apart)
+
+
+def _reached(token: bytes, ranks: dict[bytes, int]) -> bool:
+    """Whether the token's own merges end in it."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 1:
+        found = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        least = min(found)
+        if least == _NONE:
+            return False
+        at = found.index(least)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
 
 
 def _longs(values) -> Column:
@@ -329,10 +350,13 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20, pac
         find, known, codes = splitter(pattern), shared.value, Numbers()
         number = codes.__getitem__
         pieces = [list(map(number, find(t))) for t in texts]
-        distinct = list(codes)
+        distinct, apart = list(codes), table_of.value.apart
         place = known.places(distinct)
+        if apart:
+            place[[k for k, w in enumerate(distinct) if w in apart]] = -1
         other = np.flatnonzero(place < 0)
-        short = np.array([len(distinct[i].encode("utf-8", "surrogatepass")) <= LONGEST_FOLD for i in other], dtype=bool)
+        short = np.array([len(distinct[i].encode("utf-8", "surrogatepass")) <= LONGEST_FOLD and distinct[i] not in apart for i in other], dtype=bool)
+        ready = [[apart[distinct[i]]] if distinct[i] in apart else heap_encode(distinct[i].encode("utf-8", "surrogatepass"), table_of.value) for i in other[~short]]
         order = np.concatenate([other[short], other[~short]]) if len(other) else other
         place[order] = -1 - np.arange(len(order))
         count = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -342,7 +366,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20, pac
         return {
             "__refs": pa.ListArray.from_arrays(pa.array(ends), pa.array(place[code].astype(np.int32))),
             "__rest": pa.array([[distinct[i] for i in other[short]]] + none, type=pa.list_(pa.string())),
-            "__long": pa.array([[heap_encode(distinct[i].encode("utf-8", "surrogatepass"), table_of.value) for i in other[~short]]] + none, type=pa.list_(pa.list_(pa.int32()))),
+            "__long": pa.array([ready] + none, type=pa.list_(pa.list_(pa.int32()))),
         }
 
     rows = docs.drop("ids", "ids_le", "decoded") if packed else docs.drop("ids")
@@ -415,6 +439,10 @@ def public_ranks() -> tuple[Ranks, str]:
     return load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+#: Columns that digests adds.
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def digests(encoded: DataFrame, *keep: str) -> DataFrame:
     """Of encode's packed columns: the columns of keep, n_tokens, and the digests of the ids and of the decoded bytes."""
     return encoded.select(
