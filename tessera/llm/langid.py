@@ -31,7 +31,7 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 #: Size of the hashed space of letter n-grams, and their greatest length.
-DIM, LONGEST = 4096, 3
+DIM, LONGEST = 8192, 3
 UNKNOWN = "und"
 _SEED = (0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -162,15 +162,17 @@ def train(labels: list[str], x: np.ndarray) -> Model:
     return model
 
 
-def fit(docs: DataFrame, per_lang: int = 300) -> Model:
+def fit(docs: DataFrame, per_lang: int = 400, languages: int = 64) -> Model:
     """A model from docs (doc_id, text, lang; rows with a null lang or doc_id teach nothing).
 
     per_lang bounds the sample: about that many documents of each language, chosen by a hash of doc_id (a first
-    aggregation counts the languages). Only their n-gram frequencies reach the driver.
+    aggregation counts the languages). languages bounds the classes: the most frequent values of lang, ties by name, are
+    learned, so that a column of free text cannot make a machine for every pair of its values. Only the sample's n-gram
+    frequencies reach the driver.
     """
     spark = docs.sparkSession
     named = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return Model()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
@@ -213,8 +215,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def accept(docs: DataFrame, learn_from: DataFrame, least: float = 0.3) -> DataFrame:
-    """The pipeline's filter: rows whose text has a letter and whose prediction scores at least `least`."""
+def accept(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
+    """The pipeline's filter: rows whose text has a letter; `und`, that is null, empty and letterless texts, goes.
+
+    A share of pairwise chances says which learned language is nearest, not whether any is near: a text in a language
+    that was not learned stays. With nothing learned every row is `und`. Columns stay as they are; repeated rows too.
+    """
     columns = docs.columns
-    kept = identify(docs.withColumn("__text", F.col("text")).select(F.struct(*columns).alias("row"), F.col("__text").alias("text")), fit(taught(learn_from)))
-    return kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    kept = identify(docs.select(F.struct(*columns).alias("row"), F.col("text")), fit(taught(learn_from)))
+    return kept.where(F.col("lang_pred") != UNKNOWN).select("row.*")
