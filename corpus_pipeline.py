@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, decontaminate, langid, secrets, simhash
-from tessera.llm.common import table
+from tessera.llm.common import shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a letter whose language is told with some confidence stay."""
+    """Texts with a letter stay; `und` goes (null, empty and letterless texts). Repeated rows and extra columns stay."""
     return langid.accept(docs, docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the least doc_id (a null one last), of its rows one.
+
+    Null and empty texts are one group. Rows that share a doc_id but not a text are told apart. Extra columns stay.
+    """
     return simhash.deduplicate(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages stay."""
+    """Documents without benchmark passages stay, null and empty texts among them, repeated rows each, with all columns."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts give way to a mark."""
+    """All documents stay; secrets in their texts give way to a mark. Null and empty texts stay as they are."""
     return secrets.redact(docs, secrets.fit(docs))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids and the digest of what they decode to."""
+    """docs' columns but text, with ids_le (the token ids) and the digests of them and of what they decode to.
+
+    A null or empty text has no ids; repeated rows are encoded alike. Columns named as the new ones give way to them.
+    """
     ranks, pattern = bpe.public_ranks()
     # fewer common words than op4 shares: the same ids for more time and less memory, beside what earlier stages' workers hold
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, most=1 << 18, packed=True)
-    return bpe.digests(encoded, "doc_id", "lang", "source", "ids_le")
+    encoded = bpe.encode(docs, ranks, pattern, most=1 << 18, packed=True)
+    return bpe.digests(encoded, *(c for c in encoded.columns if c not in ("decoded", *bpe.DIGESTS)))
 
 
 #: (name, function of (spark, docs, sf_dir)); each result is written and read again as the next one's docs.
@@ -50,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; each result but the last goes to the shared checkpoint folder as Parquet."""
+    shared_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -26,6 +26,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1_000_000
             begin, base = end, int(ends[end - 1])
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bound the Arrow batches between the JVM and Python by bytes, as a worker holds several of them at once.
+
+    A session's own smaller bound stays. Spark's own bound is 64 MB, and 10,000 rows, whatever their texts' size.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in (None, "67108864b", "64m"):
+        spark.conf.set(key, most)
+
+
 def tidy() -> None:
     """Give memory that a task has freed back to the system: idle Python workers stay, and would keep it."""
     pa.default_memory_pool().release_unused()
@@ -40,6 +50,7 @@ def mapped(df: DataFrame, text: str, function: Callable[[pa.RecordBatch, list[st
     """
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     new = StructType.fromDDL(schema)
     names = {f.name for f in new.fields}
     kept = [f for f in df.schema.fields if f.name not in names and (keep_text or f.name != text)]

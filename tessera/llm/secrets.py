@@ -166,14 +166,12 @@ def _kept(acc: Column, x: Column, stop: Column, b: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: Model, mark: str = "<SECRET>") -> DataFrame:
-    """docs with every secret in text replaced by mark, and n_chars (if there) counted anew; other rows stay as they are."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    found = scan(row, model).withColumn("spans", F.concat("base", "added"))
-    text = F.when(F.size("spans") > 0, S.blank_out(text_of(), F.col("spans"), mark)).otherwise(F.col("row.text"))
-    made = found.withColumn("text", text)
-    count = [F.when(F.size("spans") > 0, F.char_length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
-    new = {"text": F.col("text")} | {"n_chars": c for c in count}
-    return made.select(*(new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))
+    """docs with every secret in text replaced by mark, and n_chars (if there) counted anew.
+
+    Rows without a secret, null and empty texts among them, stay as they are; so do other columns, whatever their names,
+    and repeated rows. Each row is judged alone.
+    """
+    return S.redacted(docs, lambda rows: scan(rows, model), mark)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

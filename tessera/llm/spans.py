@@ -6,9 +6,9 @@ code points. Patterns must not match the empty string.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 512
@@ -80,3 +80,15 @@ def blank_out(text: Column, spans: Column, mark: str) -> Column:
 
     done = F.aggregate(order, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted(docs: DataFrame, scan: Callable[[DataFrame], DataFrame], mark: str) -> DataFrame:
+    """docs with the spans that scan finds in text (base and added) replaced by mark, and n_chars (if there) counted anew."""
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("__")).alias("row"), "text")
+    found = scan(rows).select("row", "text", F.concat("base", "added").alias("spans"))
+    made = found.withColumn("done", F.when(F.size("spans") > 0, blank_out(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text")))
+    new = {"text": F.col("done").alias("text")}
+    if "n_chars" in rest:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.char_length("done")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return made.select(*(new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))
