@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import mapped
+from tessera.llm.arrow import mapped, tidy
 from tessera.llm.common import crc_bucket, table
 
 #: Families of common languages (ISO 639-1); a language that is not listed is a family of its own.
@@ -147,13 +147,13 @@ def train(labels: list[str], x: np.ndarray) -> Model:
     model, langs = Model(), np.array(labels, dtype=object)
     for lang in sorted(set(labels)):
         model.families.setdefault(FAMILY_OF.get(lang, f"_{lang}"), []).append(lang)
-    scale = 1 / max(float(np.sqrt((x**2).sum(axis=1)).mean()), 1e-9) if len(x) else 1.0
+    scale = 1 / max(float(np.mean([np.linalg.norm(r.astype(np.float32)) for r in x])), 1e-9) if len(x) else 1.0
     family = np.array([FAMILY_OF.get(v, f"_{v}") for v in labels], dtype=object)
     weights, bias = [], []
     for of, names in [(family, sorted(model.families))] + [(langs, v) for v in model.families.values()]:
         for a, b in combinations(names, 2):
             rows = (of == a) | (of == b)
-            w, c = fit_svm(x[rows] * scale, np.where(of[rows] == a, 1.0, -1.0))
+            w, c = fit_svm(x[rows].astype(np.float32) * np.float32(scale), np.where(of[rows] == a, 1.0, -1.0))
             model.pairs.append((a, b))
             weights.append(w * scale)
             bias.append(c)
@@ -181,11 +181,18 @@ def fit(docs: DataFrame, per_lang: int = 400, languages: int = 64) -> Model:
 
     def work(_: pa.RecordBatch, texts: list[str]) -> dict[str, pa.Array]:
         out = [frequencies(texts[i : i + 200]) for i in range(0, len(texts), 200)]
-        return {"x": pa.array([r.tobytes() for part in out for r in part], type=pa.binary())}
-
-    found = mapped(sample, "text", work, "x binary").select("doc_id", "lang", "x").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), dtype=np.float32).reshape(found.num_rows, DIM)
-    return train(found.column("lang").to_pylist(), x)
+        return {"x": pa.array([r.astype(np.float16).tobytes() for part in out for r in part], type=pa.binary())}
+
+    # half precision, so that the sample takes little of the driver; the frequencies' own noise is greater than its steps
+    found = mapped(sample, "text", work, "x binary").select("doc_id", "lang", "x").orderBy("lang", "doc_id", "x").toArrow()
+    labels, x = found.column("lang").to_pylist(), np.empty((found.num_rows, DIM), dtype=np.float16)
+    for k, v in enumerate(found.column("x")):
+        x[k] = np.frombuffer(v.as_buffer(), dtype=np.float16)
+    del found
+    model = train(labels, x)
+    del x
+    tidy()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
