@@ -1,9 +1,11 @@
 """Language-model scoring: a hashed maximum-entropy model with n-gram and skip features and a class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class). The first factor is a softmax over CLASSES with
-weights of hashed features of the history; the second is the word's share of its class in the training texts. Weights
-are learned by distributed gradient updates: in each round every task moves a copy of the weights along the gradients
-of its texts, and the copies' moves are averaged by their numbers of tokens.
+log P(word | history) = log P(group | history) + log P(class | group, history) + log P(word | class). The first two
+factors are softmaxes over WIDTH groups and over the WIDTH classes of a group, with weights of hashed features of the
+history (and the group); the third is the word's share of its class in the training texts. Frequent words have a class
+each, so history tells them apart. Weights are learned by distributed gradient updates: in each round every shard of
+the texts moves a copy of the weights along its gradients, and the copies' moves are averaged by their numbers of tokens.
+Shards are drawn by a hash of doc_id and hold about SHARD tokens, however the texts are partitioned.
 """
 
 from __future__ import annotations
@@ -18,25 +20,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import Numbers, mix, slices, sums
+from tessera.llm.arrow import Numbers, mix, slices, small_batches, sums
 from tessera.llm.common import WORD, crc_bucket, cut, table, text_of
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Groups, and classes of a group.
+WIDTH = 24
+CLASSES = WIDTH * WIDTH
 #: The end, OWN frequent words with a class each, and ENDINGS classes of words by their last two characters.
-OWN, ENDINGS = 15, 32
-CLASSES = 1 + OWN + ENDINGS
+ENDINGS = CLASSES // 2
+OWN = CLASSES - 1 - ENDINGS
 #: Rows of the weight table (features are hashed into it) at least and at most; distinct training words a row in between.
 LEAST_ROWS, MOST_ROWS, WORDS_A_ROW = 1 << 14, 1 << 16, 8
 #: Features of a history, rows of a block of weights.
 FEATURES, BLOCK = 4, 256
 ROUNDS, RATE, BATCH = 3, 0.15, 8192
 _SLICE = 1_000_000
-#: Training tokens a task, and tasks whose moves are summed up in one step.
-TASK, STEP = 1_000_000, 64
+#: Training tokens of a shard, and shards whose moves are summed up in one step.
+SHARD, STEP = 1_000_000, 64
 _END, _BEFORE = 0x51ED270B1B0E25A1, 0x2545F4914F6CDD1D
 
 
@@ -96,16 +100,17 @@ def count(training: DataFrame, most: int) -> tuple[Counts, DataFrame]:
 
     At most `most` words, the most frequent, come to the driver and are broadcast; the table serves the rest.
     """
+    spark = training.sparkSession
     lower = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = training.select(F.explode(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))).alias("word"))
     counted = cut(words.groupBy("word").count())
     ends = training.count()
     own = {r["word"]: k + 1 for k, r in enumerate(counted.orderBy(F.desc("count"), "word").limit(OWN).collect())}
-    special = F.create_map(*(F.lit(x) for pair in own.items() for x in pair)) if own else F.create_map().cast("map<string,int>")
-    of = F.coalesce(F.try_element_at(special, "word"), ending_class(F.col("word")))
+    listed = spark.createDataFrame(list(own.items()), "word string, own int")
+    of = F.coalesce("own", ending_class(F.col("word")))
     class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     class_total[0], class_distinct[0] = ends, bool(ends)
-    for r in counted.groupBy(of.alias("k")).agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
+    for r in counted.join(F.broadcast(listed), "word", "left").groupBy(of.alias("k")).agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
         class_total[r["k"]], class_distinct[r["k"]] = r["n"], r["v"]
     level = F.floor(F.log2("count") * 16).cast("int")
     room, least = most, 1 << 30
@@ -160,64 +165,102 @@ class Tokens:
         one[first], c1[first] = _BEFORE, 0
         second = first[self.length > 1] + 1
         two[first], two[second], c2[first], c2[second] = _BEFORE, _BEFORE, 0, 0
-        rows = (mix(one), mix(mix(two) * np.uint64(3) + one), mix(two ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(c1 * np.uint64(64) + c2 + np.uint64(7)))
-        return np.stack([r % np.uint64(dim) for r in rows], axis=1).astype(np.uint16)
+        hashed = (mix(one), mix(mix(two) * np.uint64(3) + one), mix(two ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(c1 * np.uint64(CLASSES + 1) + c2 + np.uint64(7)))
+        return np.stack([r & np.uint64(dim - 1) for r in hashed], axis=1).astype(np.uint16)
+
+
+def in_group(rows: np.ndarray, group: np.ndarray, dim: int) -> np.ndarray:
+    """Rows (of a table of dim rows, a power of two) of the same features within a group."""
+    return ((rows.astype(np.uint32) + group.astype(np.uint32)[:, None] * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B) >> np.uint32(33 - dim.bit_length())).astype(np.uint16)
 
 
 class Model:
-    """Weights (table_rows by CLASSES) and biases."""
+    """For groups, and for classes inside them: weights (table_rows by WIDTH each) and biases."""
 
     def __init__(self, counts: Counts | None = None) -> None:
-        self.weights = np.zeros((table_rows(counts.distinct if counts else 0), CLASSES), dtype=np.float32)
-        share = (counts.class_total + 1) if counts else np.ones(CLASSES)
-        self.bias = np.log(share / share.sum()).astype(np.float32)
-
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        """All classes' scores less the greatest, a row for each history."""
+        rows = table_rows(counts.distinct if counts else 0)
+        self.weights = np.zeros((2 * rows, WIDTH), dtype=np.float32)
+        share = ((counts.class_total + 1) if counts else np.ones(CLASSES)).reshape(WIDTH, WIDTH)
+        self.group_bias = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
+        self.class_bias = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    @property
+    def rows(self) -> int:
+        """Rows of each half of the table: that of the groups, then that of the classes."""
+        return len(self.weights) // 2
+
+    def parts(self, rows: np.ndarray, kind: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+        """Of groups and of classes: rows of the table, biases, and the place of the true one."""
+        group = kind // WIDTH
+        inner = in_group(rows, group, self.rows).astype(np.int64) + self.rows
+        return (rows, self.group_bias, group), (inner, self.class_bias[group], kind % WIDTH)
+
+    def scores(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """All scores less the greatest, a row for each history."""
         z = self.weights[rows[:, 0]]
         for k in range(1, FEATURES):
             z += self.weights[rows[:, k]]
-        z += self.bias
+        z += bias
         z -= z.max(axis=1, keepdims=True)
         return z
 
     def log_chance(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """The natural logarithm of the chance of each history's class kind."""
-        z = self.scores(rows)
-        own = z[np.arange(len(kind)), kind]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        out = np.zeros(len(kind), dtype=np.float64)
+        for r, bias, k in self.parts(rows, kind):
+            z = self.scores(r, bias)
+            out += z[np.arange(len(k)), k]
+            out -= np.log(np.exp(z, out=z).sum(axis=1))
+        return out
 
     def learn(self, rows: np.ndarray, kind: np.ndarray, seen: np.ndarray) -> None:
         """One pass of gradient steps (scaled by the squares seen so far) over tokens in batches."""
         for at in range(0, len(kind), BATCH):
-            r, k = rows[at : at + BATCH], kind[at : at + BATCH]
-            gradient = self.scores(r)
-            np.exp(gradient, out=gradient)
-            gradient /= gradient.sum(axis=1, keepdims=True)
-            gradient[np.arange(len(k)), k] -= 1
-            flat = r.ravel(order="F")
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
-            cut_at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            total = np.add.reduceat(gradient[order % len(k)], cut_at, axis=0)
-            own = flat[cut_at]
-            seen[own] += total * total
-            self.weights[own] -= RATE * total / np.sqrt(seen[own] + 1e-4)
+            for part in self.parts(rows[at : at + BATCH], kind[at : at + BATCH]):
+                self._step(*part, seen)
+
+    def _step(self, r: np.ndarray, bias: np.ndarray, k: np.ndarray, seen: np.ndarray) -> None:
+        gradient = self.scores(r, bias)
+        np.exp(gradient, out=gradient)
+        gradient /= gradient.sum(axis=1, keepdims=True)
+        gradient[np.arange(len(k)), k] -= 1
+        flat = r.ravel(order="F")
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        cut_at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        total = np.add.reduceat(gradient[order % len(k)], cut_at, axis=0)
+        own = flat[cut_at]
+        seen[own] += total * total
+        self.weights[own] -= RATE * total / np.sqrt(seen[own] + 1e-4)
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut where the shard changes."""
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        ends = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard))
+        for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+            yield batch.slice(a, b - a)
 
 
 def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
-    """rounds distributed updates; each training row (doc_id, text) is used in one of them, by a hash of doc_id."""
+    """rounds distributed updates; each training row (doc_id, text) is used in one of them, by a hash of doc_id.
+
+    A shard's texts are taken in order of doc_id from the round's first weights, so the result does not depend on how
+    the texts are partitioned (but for the order of the last sums), and a shard's move not on how many shards there are.
+    """
     spark, model = training.sparkSession, Model(counts)
-    # tasks follow the tokens, not the files: every task writes moves of up to the whole table, however few its texts
-    tasks = -(-counts.total // (TASK * rounds)) or 1
-    parts = -(-tasks // STEP)
+    small_batches(spark)
+    # shards follow the tokens, not the files or their partitions
+    shards = -(-counts.total // (SHARD * rounds)) or 1
+    parts = -(-shards // STEP)
     shared_counts = spark.sparkContext.broadcast(counts)
 
     def added(part: pa.Table, keep: tuple[str, ...]) -> pa.Table:
-        total, some = np.zeros((BLOCK, CLASSES), dtype=np.float64), np.zeros(BLOCK, dtype=bool)
+        total, some = np.zeros((BLOCK, WIDTH), dtype=np.float64), np.zeros(BLOCK, dtype=bool)
         for at, x in zip(part.column("at"), part.column("moved")):
             own = np.frombuffer(at.as_buffer(), dtype=np.uint8)
-            total[own] += np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(-1, CLASSES)
+            total[own] += np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(-1, WIDTH)
             some[own] = True
         at, moved = np.flatnonzero(some).astype(np.uint8).tobytes(), total[some].astype(np.float32).tobytes()
         columns = {k: [part.column(k)[0].as_py()] for k in keep} | {"tokens": [pc.sum(part.column("tokens")).as_py()], "at": [at], "moved": [moved]}
@@ -227,25 +270,33 @@ def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
         start = spark.sparkContext.broadcast(model)
 
         def move(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own, tokens = Model(), 0
-            own.weights, own.bias = start.value.weights.copy(), start.value.bias
-            seen = np.zeros_like(own.weights)
-            for _, texts in slices(batches, "text", _SLICE):
-                t = Tokens.of(texts, shared_counts.value)
-                own.learn(t.features(len(own.weights)), t.kind[t.code], seen)
-                tokens += len(t.code)
-            if tokens:
+            own, seen, tokens, now = Model(), None, 0, None
+
+            def moves() -> pa.RecordBatch:
                 # only rows that moved are written, a block's places among them in at
-                delta = ((own.weights - start.value.weights) * np.float32(tokens)).reshape(-1, BLOCK, CLASSES)
-                part = TaskContext.get().partitionId() % parts
+                delta = ((own.weights - start.value.weights) * np.float32(tokens)).reshape(-1, BLOCK, WIDTH)
                 n, places = len(delta), [np.flatnonzero(d.any(axis=1)).astype(np.uint8) for d in delta]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(n), type=pa.int32()), pa.array([part] * n, type=pa.int32()), pa.array([tokens] * n, type=pa.int64()), pa.array([p.tobytes() for p in places], type=pa.binary()), pa.array([d[p].tobytes() for d, p in zip(delta, places)], type=pa.binary())],
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(range(n), type=pa.int32()), pa.array([now % parts] * n, type=pa.int32()), pa.array([tokens] * n, type=pa.int64()), pa.array([p.tobytes() for p in places], type=pa.binary()), pa.array([d[p].tobytes() for d, p in zip(delta, places)], type=pa.binary())],
                     names=["block", "part", "tokens", "at", "moved"],
                 )
 
-        mine = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == step).select("text")
-        moved = mine.coalesce(tasks).mapInArrow(move, "block int, part int, tokens long, at binary, moved binary")
+            for part, texts in slices(_by_shard(batches), "text", _SLICE):
+                if part.column("shard")[0].as_py() != now:
+                    if tokens:
+                        yield moves()
+                    now, tokens = part.column("shard")[0].as_py(), 0
+                    own.weights, own.group_bias, own.class_bias = start.value.weights.copy(), start.value.group_bias, start.value.class_bias
+                    seen = np.zeros_like(own.weights)
+                t = Tokens.of(texts, shared_counts.value)
+                own.learn(t.features(own.rows), t.kind[t.code], seen)
+                tokens += len(t.code)
+            if tokens:
+                yield moves()
+
+        mine = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == step).select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
+        dealt = mine.repartition("shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text")).select("shard", "text")
+        moved = dealt.mapInArrow(move, "block int, part int, tokens long, at binary, moved binary")
         if parts > 1:  # two steps, so that no task holds the moves of all tasks
             moved = moved.groupBy("block", "part").applyInArrow(lambda t: added(t, ("block", "part")), "block int, part int, tokens long, at binary, moved binary")
         full = moved.groupBy("block").applyInArrow(lambda t: added(t, ("block",)), "block int, tokens long, at binary, moved binary")
@@ -253,7 +304,7 @@ def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
         new.weights = model.weights.copy()
         for r in full.collect():
             at = r["block"] * BLOCK + np.frombuffer(r["at"], dtype=np.uint8).astype(np.int64)
-            new.weights[at] += (np.frombuffer(r["moved"], dtype=np.float32).reshape(-1, CLASSES) / r["tokens"]).astype(np.float32)
+            new.weights[at] += (np.frombuffer(r["moved"], dtype=np.float32).reshape(-1, WIDTH) / r["tokens"]).astype(np.float32)
         model = new
         start.destroy()
     return model
@@ -271,6 +322,7 @@ def score(docs: DataFrame, model: Model, counts: Counts, counted: DataFrame) ->
     apart. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model, counts))
     room = math.log10(counts.total + counts.distinct + 1)
 
@@ -284,7 +336,7 @@ def score(docs: DataFrame, model: Model, counts: Counts, counted: DataFrame) ->
             of = n[t.code]
             ready = np.log10(np.maximum(of, 0) + 1.0)
             kind = t.kind[t.code]
-            rows = t.features(len(own.weights))
+            rows = t.features(own.rows)
             chance = np.empty(len(kind), dtype=np.float64)
             for at in range(0, len(kind), BATCH):
                 k = kind[at : at + BATCH]

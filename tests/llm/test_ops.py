@@ -312,12 +312,67 @@ def test_lm_classes_agree(spark):
     assert [r.k for r in df] == counts.classes(words).tolist()
 
 
-def test_lm_tables_follow_the_words():
-    def model(distinct):
-        return lm.Model(lm.Counts(0, distinct, 0, {}, np.zeros(lm.CLASSES), np.zeros(lm.CLASSES), np.zeros(0, np.uint64), None, np.zeros(0)))
+def lm_counts(distinct=0):
+    return lm.Counts(0, distinct, 0, {}, np.arange(lm.CLASSES) % 7.0, np.zeros(lm.CLASSES), np.zeros(0, np.uint64), None, np.zeros(0))
+
 
+def test_lm_tables_follow_the_words():
     assert lm.CLASSES >= 48 and [lm.table_rows(n) for n in (0, 1, 100_000, 131_073, 404_216)] == [1 << 14, 1 << 14, 1 << 14, 1 << 15, 1 << 16]
-    assert model(10).weights.shape == (1 << 14, lm.CLASSES) and model(404_216).weights.shape == (1 << 16, lm.CLASSES)
+    assert lm.Model(lm_counts(10)).weights.shape == (2 << 14, lm.WIDTH) and lm.Model(lm_counts(404_216)).weights.shape == (2 << 16, lm.WIDTH)
+
+
+def test_lm_chances_sum_to_one():
+    rng = np.random.default_rng(8)
+    model = lm.Model(lm_counts())
+    model.weights[:] = rng.normal(size=model.weights.shape)
+    for _ in range(5):
+        rows = np.repeat(rng.integers(0, model.rows, (1, lm.FEATURES)).astype(np.uint16), lm.CLASSES, axis=0)
+        assert math.isclose(np.exp(model.log_chance(rows, np.arange(lm.CLASSES))).sum(), 1, rel_tol=1e-5)
+
+
+def test_lm_does_not_depend_on_partitions(spark, docs):
+    scores = []
+    for n in (1, 7):
+        rows = docs.select("doc_id", "text").repartition(n)
+        counts, counted = lm.count(rows, 1000)
+        scores.append({r.doc_id: r.score for r in lm.score(rows, lm.train(rows, counts), counts, counted).collect()})
+    assert all(math.isclose(v, scores[1][k], rel_tol=1e-6) for k, v in scores[0].items())
+
+
+def test_lm_score_is_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(["The cat sat on the mat the end", "a Cat ran", "", None, "the the the mat"] * 3 + ["unseen dog sat"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = docs.where("doc_id < 15")
+    counts, counted = lm.count(training, 3)
+    model = lm.train(training, counts, rounds=2)
+    assert np.abs(model.weights).max() > 0
+    seen = Counter(w for i, t in rows[:15] for w in [*words_of((t or "").translate(LOWER)), None])
+    kinds = {w: 0 if w is None else int(counts.classes([w])[0]) for w in [*seen, "unseen", "dog"]}
+    total, distinct = Counter(), Counter()
+    for w, n in seen.items():
+        total[kinds[w]] += n
+        distinct[kinds[w]] += 1
+
+    def row(x):
+        return int(lm.mix(np.array([x % (1 << 64)], dtype=np.uint64))[0])
+
+    def brute(text):
+        words = [*words_of((text or "").translate(LOWER)), None]
+        hashed = [lm._END if w is None else xxhash.xxh64_intdigest(w) for w in words]
+        out = 0.0
+        for k, w in enumerate(words):
+            one, two = (hashed[k - 1] if k else lm._BEFORE), (hashed[k - 2] if k > 1 else lm._BEFORE)
+            c1, c2 = (kinds[words[k - 1]] + 1 if k else 0), (kinds[words[k - 2]] + 1 if k > 1 else 0)
+            at = np.array([[x % model.rows for x in (row(one), row(row(two) * 3 + one), row(two ^ 0xA5A5A5A5A5A5A5A5), row(c1 * (lm.CLASSES + 1) + c2 + 7))]]).astype(np.uint16)
+            group = kinds[w] // lm.WIDTH
+            z = model.weights[at[0]].sum(axis=0) + model.group_bias
+            y = model.weights[lm.in_group(at, np.array([group]), model.rows)[0].astype(int) + model.rows].sum(axis=0) + model.class_bias[group]
+            chance = np.exp(z[group]) / np.exp(z).sum() * np.exp(y[kinds[w] % lm.WIDTH]) / np.exp(y).sum()
+            out += math.log10(chance * (seen[w] + 1) / (total[kinds[w]] + distinct[kinds[w]] + 1))
+        return out
+
+    for r in lm.score(docs, model, counts, counted).collect():
+        assert math.isclose(r.score, brute(rows[r.doc_id][1]), rel_tol=1e-4)
 
 
 # 6
