@@ -55,11 +55,11 @@ def _grow(x: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, depth: int
 
 @dataclass(frozen=True)
 class Boosted:
-    """The log-odds are start plus the trees' values; least is the calibrated threshold on them."""
+    """The log-odds are start plus the trees' values; least has the calibrated threshold on them of each kind, the first feature."""
 
     start: float
     trees: tuple[Node, ...]
-    least: float
+    least: dict[int, float]
 
     def score(self, features: Sequence[Column]) -> Column:
         total = F.lit(self.start)
@@ -71,12 +71,13 @@ class Boosted:
 def fit(x: np.ndarray, label: np.ndarray, rows: np.ndarray, check: np.ndarray, precision: float, trees: int = 40, rate: float = 0.3) -> Boosted:
     """x: feature combinations; label 0 or 1; rows: how many; check: those (held out) that calibrate the threshold.
 
-    The threshold is the least score whose calibrated chance of label 1 is `precision` or more. Without rows of both labels nothing passes.
+    A kind's threshold is the least score whose calibrated chance of label 1 is `precision` or more; a kind without
+    such a score has none. Without rows of both labels nothing passes.
     """
     own, held = ~check, check
     weight = rows * own
     if not (weight[label == 1].sum() and weight[label == 0].sum() and rows[held & (label == 1)].sum()):
-        return Boosted(0.0, (), float("inf"))
+        return Boosted(0.0, (), {})
     start = float(np.log(weight[label == 1].sum() / weight[label == 0].sum()))
     score, made = np.full(len(x), start), []
     for _ in range(trees):
@@ -84,7 +85,12 @@ def fit(x: np.ndarray, label: np.ndarray, rows: np.ndarray, check: np.ndarray, p
         tree = _grow(x[own], ((label - chance) * weight)[own], (chance * (1 - chance) * weight)[own], 2, rate)
         made.append(tree)
         score = score + tree.of(x)
-    # calibration: the held-out share of label 1 as a function that never falls with the score (pooled neighbours)
+    least = {int(kind): found for kind in np.unique(x[:, 0]) if (found := _threshold(score, label, rows, held & (x[:, 0] == kind), precision)) is not None}
+    return Boosted(start, tuple(made), least)
+
+
+def _threshold(score: np.ndarray, label: np.ndarray, rows: np.ndarray, held: np.ndarray, precision: float) -> float | None:
+    """The least score at which the held-out share of label 1, made never to fall with the score (pooled neighbours), will do."""
     pools: list[list[float]] = []
     s, good, n = score[held], (rows * label)[held], rows[held]
     for value in np.unique(s):
@@ -94,4 +100,4 @@ def fit(x: np.ndarray, label: np.ndarray, rows: np.ndarray, check: np.ndarray, p
             pools[-1][1] += g
             pools[-1][2] += m
     passing = [v for v, g, m in pools if g >= precision * m]
-    return Boosted(start, tuple(made), min(passing, default=float("inf")) - 1e-9)  # sums in another order may differ in the last place
+    return min(passing) - 1e-9 if passing else None  # sums in another order may differ in the last place

@@ -92,3 +92,22 @@ def redacted(docs: DataFrame, scan: Callable[[DataFrame], DataFrame], mark: str)
     if "n_chars" in rest:
         new["n_chars"] = F.when(F.size("spans") > 0, F.char_length("done")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return made.select(*(new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))
+
+
+def best(scored: Column) -> Column:
+    """Scored spans (start, stop, over, span) without overlaps, taken from the left.
+
+    A fold in order of start keeps one open span. Where the next overlaps it, one that holds the other stays (so that a
+    mark covers both), else the one with the greater `over`, ties to the first.
+    """
+    order = F.array_sort(scored)
+    kind = "struct<start: bigint, stop: bigint, over: double, span: " + SPAN[len("array<") : -1] + ">"
+    begin = F.expr(f"named_struct('open', cast(null as {kind}), 'out', cast(array() as {SPAN}))")
+
+    def step(acc: Column, c: Column) -> Column:
+        apart = F.coalesce(c["start"] >= acc["open"]["stop"], F.lit(True))
+        closed = F.when(apart & acc["open"].isNotNull(), F.concat(acc["out"], F.array(acc["open"]["span"]))).otherwise(acc["out"])
+        wider = (c["stop"] > acc["open"]["stop"]) & ((c["start"] == acc["open"]["start"]) | (c["over"] > acc["open"]["over"]))
+        return F.struct(F.when(apart | wider, c).otherwise(acc["open"]).alias("open"), closed.alias("out"))
+
+    return F.aggregate(order, begin, step, lambda acc: F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"]["span"]))))
