@@ -1,7 +1,10 @@
-"""Scalar text functions as Spark columns (built-in expressions alone)."""
+"""Scalar text functions as Spark columns (built-in expressions, but for nfkc)."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,13 +66,20 @@ def page_text(text: Column) -> Column:
     return F.regexp_replace(text, r"[\s·…．,，.]", "")
 
 
-_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
-_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+def nfkc(text: Column) -> Column:
+    """The text in Unicode's compatibility form. Spark has none: texts that are not in ASCII go through pandas."""
+
+    @F.pandas_udf("string")
+    def normal(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, text).otherwise(normal(F.when(~plain, text)))
 
 
 def folded(text: Column) -> Column:
-    """Full-width forms as ASCII, no white space, hyphens or middle dots, lower case."""
-    return F.lower(F.regexp_replace(F.translate(text, _WIDE, _NARROW), r"[\s\-‐‑–—·]", ""))
+    """Compatibility form without white space, hyphens or middle dots, lower case."""
+    return F.lower(F.regexp_replace(nfkc(text), r"[\s\-‐‑–—·]", ""))
 
 
 def text_similarity(a: Column, b: Column) -> Column:
@@ -179,3 +189,29 @@ def parse_markdown_table(text: Column) -> Column:
     """A pipe table as an array of rows; rule lines are left out."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.contains("|") & ~x.rlike(r"^[|\s:-]+$"))
     return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
+
+
+def millis_date(millis: Column) -> Column:
+    """Milliseconds since 1970 as YYYY-MM-DD in the session's time zone."""
+    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd")
+
+
+def date_millis(day: Column) -> Column:
+    """The milliseconds at which a YYYY-MM-DD begins; null if it is none."""
+    return F.unix_millis(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")))
+
+
+def cell_text(value: Column, kind: str) -> Column:
+    """A cell's value as text: dates in ISO form, numbers to six places without needless zeros, nothing as empty."""
+    if kind in ("date", "timestamp"):
+        out = F.date_format(value, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd'T'HH:mm:ss")
+    elif kind == "number":
+        out = F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", "")
+    else:
+        out = value.cast("string")
+    return F.coalesce(out, F.lit(""))
+
+
+def content_hash(page1: Column, page2: Column, file_digest: Column) -> Column:
+    """The digests of two pages, and the file's where neither page has one."""
+    return F.struct(page1.alias("page1"), page2.alias("page2"), F.when(page1.isNull() & page2.isNull(), file_digest).alias("pdf_byte"))

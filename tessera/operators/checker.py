@@ -111,3 +111,18 @@ def match_project(rows: DataFrame, projects: list[tuple[str, str, str]]) -> Data
     for name, product, drug in reversed(projects):
         out = F.when(F.col("code") == name, name).otherwise(out)
     return rows.withColumn("project", out)
+
+
+def cell_ranges(cells: DataFrame) -> DataFrame:
+    """cells (sheet, row, col) -> sheet, ranges: A1 references, cells that follow each other down a column as A1:A3, by column.
+
+    A sheet's runs meet in one row, as they are one text.
+    """
+    w = Window.partitionBy("sheet", "col").orderBy("row")
+    runs = cells.select("sheet", "row", "col").distinct().withColumn("run", F.col("row") - F.row_number().over(w))
+    ends = runs.groupBy("sheet", "col", "run").agg(F.min("row").alias("a"), F.max("row").alias("b"))
+    name = column_name(F.col("col"))
+    first = F.concat(name, F.col("a").cast("string"))
+    text = F.when(F.col("a") == F.col("b"), first).otherwise(F.concat(first, F.lit(":"), name, F.col("b").cast("string")))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "a", text.alias("t")))), lambda s: s["t"]), ", ")
+    return ends.groupBy("sheet").agg(listed.alias("ranges"))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the cluster's folder (our own only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -170,3 +168,98 @@ def search_labels(nodes: DataFrame, text: str, top_k: int = 10) -> DataFrame:
 def gaps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, degree of nodes with one edge or none."""
     return nodes.select("node").distinct().join(degrees(edges), "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree")).where("degree <= 1")
+
+
+def type_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (node, type) -> type, nodes, mean_degree; a node without edges has degree 0."""
+    d = nodes.join(degrees(edges), "node", "left").select("type", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return d.groupBy("type").agg(F.count("*").alias("nodes"), F.round(F.avg("degree"), 4).alias("mean_degree"))
+
+
+def community_types(nodes: DataFrame, membership: DataFrame) -> DataFrame:
+    """nodes (node, type) -> community, type, nodes."""
+    return nodes.join(membership, "node").groupBy("community", "type").agg(F.count("*").alias("nodes"))
+
+
+def degree_summary(edges: DataFrame) -> DataFrame:
+    """nodes, edges, mean_degree, max_degree of the simple graph, one row."""
+    e = simple(edges).agg(F.count("*").alias("edges"))
+    return degrees(edges).agg(F.count("*").alias("nodes"), F.round(F.avg("degree"), 4).alias("mean_degree"), F.max("degree").alias("max_degree")).crossJoin(e)  # one row each
+
+
+def entities_by_file(found: DataFrame) -> DataFrame:
+    """found (doc_id, label) -> doc_id, entities: distinct labels of each document."""
+    return found.groupBy("doc_id").agg(F.count_distinct("label").alias("entities"))
+
+
+def thin_communities(membership: DataFrame, most: int = 2) -> DataFrame:
+    """community, size of communities with at most so many nodes."""
+    return membership.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") <= most)
+
+
+def explain(edges: DataFrame, node: str) -> DataFrame:
+    """neighbour, relation, weight, degree: what a node is linked to, and how well linked that is."""
+    at = edges.where((F.col("source") == node) | (F.col("target") == node))
+    other = at.select(F.when(F.col("source") == node, F.col("target")).otherwise(F.col("source")).alias("neighbour"), "relation", "weight")
+    return other.join(degrees(edges).withColumnRenamed("node", "neighbour"), "neighbour")
+
+
+def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row, modularity, of membership (node, community) over edges (source, target, weight): parallel edges add up."""
+    m = membership.select("node", "community")
+    e = edges.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("w"))
+    ends = e.join(m.withColumnsRenamed({"node": "a", "community": "ca"}), "a").join(m.withColumnsRenamed({"node": "b", "community": "cb"}), "b")
+    sides = ends.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0).alias("inner"), "w"), F.struct(F.col("cb").alias("c"), F.lit(0).alias("inner"), "w"))).alias("s")).select("s.*")
+    per = sides.groupBy("c").agg(F.sum("inner").alias("inner"), F.sum("w").alias("degree"))
+    total = F.sum("degree")  # twice the weight of all edges
+    return per.agg(F.coalesce(2 * F.sum("inner") / total - resolution * F.sum(F.col("degree") * F.col("degree")) / (total * total), F.lit(0.0)).alias("modularity"))
+
+
+def _moved(links: DataFrame, label: DataFrame, total: float, resolution: float, half: int) -> DataFrame:
+    """One pass of local moves: the nodes of one half (by hash) go to the neighbouring community with the greatest gain."""
+    own = label.select(F.col("node").alias("a"), F.col("community").alias("mine"), "degree")
+    weight = label.groupBy("community").agg(F.sum("degree").alias("all"))
+    near = links.where("a <> b").join(label.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
+    stay = own.select("a", F.col("mine").alias("community"), F.lit(0.0).alias("w"))
+    options = near.unionByName(stay).groupBy("a", "community").agg(F.sum("w").alias("w")).join(own, "a").join(weight, "community")
+    rest = F.when(F.col("community") == F.col("mine"), F.col("all") - F.col("degree")).otherwise(F.col("all"))
+    gain = F.round(F.col("w") - resolution * F.col("degree") * rest / total, 9)
+    # ties stay where they are, then go to the least community
+    best = options.withColumn("gain", gain).groupBy("a").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("mine")).cast("int"), F.lit(0) - F.xxhash64("community"))).alias("to"))
+    turn = F.pmod(F.xxhash64("node"), F.lit(2)) == half
+    return label.join(best, label["node"] == best["a"]).select("node", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community"), "degree")
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 10, levels: int = 6, least: float = 1e-6) -> DataFrame:
+    """edges (source, target, weight) -> node, community (a node of it), by Louvain's method, without a random order.
+
+    At each level the nodes move in two alternating halves, drawn by a hash, to the neighbouring community with the
+    greatest gain of modularity; the best state of a level is kept, its communities become the nodes of the next. It ends
+    when a level gains less than `least`. Every step is a join and an aggregation over the edges; the state is
+    checkpointed after each pass. Nodes without an edge to another node are not in the result.
+    """
+    base = edges.where("source <> target AND source IS NOT NULL AND target IS NOT NULL").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("w"))
+    links = _cut(base.unionByName(base.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    pairs = base.withColumnsRenamed({"a": "source", "b": "target", "w": "weight"})
+    total = links.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    member = _cut(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    if not total:
+        return member
+    reached = modularity(pairs, member, resolution).first()[0]
+    for _ in range(levels):
+        label = _cut(links.groupBy("a").agg(F.sum("w").alias("degree")).select(F.col("a").alias("node"), F.col("a").alias("community"), "degree"))
+        best, best_at = None, reached
+        for step in range(passes):
+            label = _cut(_moved(links, label, total, resolution, step % 2))
+            new = _cut(member.join(label.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")))
+            at = modularity(pairs, new, resolution).first()[0]
+            if at > best_at + least:
+                best, best_at, kept = new, at, label
+            elif step % 2:
+                break
+        if best is None:
+            return member
+        member, reached = best, best_at
+        to = kept.select("node", "community")
+        links = _cut(links.join(to.withColumnsRenamed({"node": "a", "community": "x"}), "a").join(to.withColumnsRenamed({"node": "b", "community": "y"}), "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
+    return member

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,6 +30,20 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors reach, under spark.checkpoint.dir; on a local master without one, our own.
+
+    A cluster without the setting is an error: executors could not read what others wrote to their own disks.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return f"{context.getCheckpointDir()}/tessera-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package (once a context), for functions that run in their Python workers.
 

@@ -112,3 +112,15 @@ def session_logs(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines logs: file, first timestamp of the session, number of lines and of tool calls."""
     rows = spark.read.schema("timestamp timestamp, role string, tool string, content string").json(path).withColumn("file", F.col("_metadata.file_path"))
     return rows.groupBy("file").agg(F.min("timestamp").alias("started"), F.count("*").alias("lines"), F.count("tool").alias("tool_calls"))
+
+
+def tool_counts(spark: SparkSession, path: str, top: int = 10) -> DataFrame:
+    """tool, calls: the tools that JSON-lines logs name most often."""
+    rows = spark.read.schema("tool string").json(path).where("tool IS NOT NULL")
+    return rows.groupBy("tool").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "tool").limit(top)
+
+
+def recovered(files: DataFrame, known: DataFrame) -> DataFrame:
+    """files (folder, stem, ext, others) -> id, folder of Markdown files with a JSON sibling whose id (the stem) is not known, the first of each."""
+    both = pairs(files).select(F.col("stem").alias("id"), "folder")
+    return both.join(known.select("id"), "id", "left_anti").groupBy("id").agg(F.min("folder").alias("folder"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
@@ -49,3 +49,33 @@ def report(nodes: DataFrame, edges: DataFrame, membership: DataFrame, top: int =
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def index_files(rows: DataFrame, path: str, version: int, updated: str, per_file: int = 10_000) -> None:
+    """rows (documents of an index) as JSON objects with a header: version, last_updated, documents; about per_file a file."""
+    files = -(-rows.count() // per_file) or 1
+    chunk = F.pmod(F.xxhash64("id"), F.lit(files))
+    objects = rows.groupBy(chunk.alias("chunk")).agg(F.collect_list(F.struct(*rows.columns)).alias("documents"))
+    objects.select(F.lit(str(version)).alias("version"), F.lit(updated).alias("last_updated"), "documents").write.mode("overwrite").json(path)
+
+
+def outputs(docs: DataFrame, path: str) -> None:
+    """docs (doc_id, markdown, json, others): a table of Markdown and a table of JSON, each with the doc_id."""
+    docs.select("doc_id", "markdown").write.mode("overwrite").parquet(f"{path}/markdown")
+    docs.select("doc_id", "json").write.mode("overwrite").parquet(f"{path}/json")
+
+
+def append_ratings(ratings: DataFrame, path: str) -> None:
+    """Adds ratings to the table at path, in folders by day."""
+    ratings.write.mode("append").partitionBy("day").parquet(path)
+
+
+def status_report(index: DataFrame) -> DataFrame:
+    """The lines of a status report (section, n, line): all documents, then by category and by kind, the most first."""
+    def by(column: str, section: int) -> DataFrame:
+        rows = index.groupBy(column).agg(F.count("*").alias("c"), F.min("id").alias("first"))
+        n = F.row_number().over(Window.partitionBy(F.lit(section)).orderBy(F.desc("c"), "first"))  # a row for each value
+        return rows.select(F.lit(section).alias("section"), n.alias("n"), F.format_string("%s: %d", column, "c").alias("line"))
+
+    total = index.agg(F.count("*").alias("c")).select(F.lit(0).alias("section"), F.lit(1).alias("n"), F.format_string("documents: %d", "c").alias("line"))
+    return total.unionByName(by("category", 1)).unionByName(by("doc_type", 2))
