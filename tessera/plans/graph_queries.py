@@ -92,7 +92,7 @@ def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.page_rank(_edges(spark, sf_dir))
+    return G.page_rank(_edges(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
 
 
 def label_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,70 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.shortest_path(_edges(spark, sf_dir).where("weight > 2"), "attion", "thtion").select(F.array_join("path", ">").alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (entity_tags, entity_edges, cooccurrence, comention, edge_dedup, edge_merge, relation_counts, degree, cohesion, cross_community, community_top, connected_components, graph_reach, page_rank, label_communities, knowledge_gaps, dangling_edges, graph_label_search, typed_pairs, god_nodes, community_names, shortest_path)}
+def nodes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by type, and the mean of their degrees."""
+    return G.type_summary(_membership(spark).withColumnRenamed("community", "type"), _edges(spark, sf_dir))
+
+
+def community_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of each component of the strong edges by type."""
+    nodes = _membership(spark)
+    parts = G.components(_edges(spark, sf_dir).where("weight > 2"), nodes).withColumnRenamed("component", "community")
+    return G.community_types(nodes.withColumnRenamed("community", "type"), parts)
+
+
+def thin_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = G.components(_edges(spark, sf_dir).where("weight > 2"), _membership(spark))
+    return G.thin_communities(parts.withColumnRenamed("component", "community"))
+
+
+def degree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degree_summary(_edges(spark, sf_dir))
+
+
+def entities_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.entities_by_file(_tags(spark, sf_dir))
+
+
+def explain_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.explain(_edges(spark, sf_dir), "attion")
+
+
+def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the labels' types as communities, edges by weight."""
+    return G.modularity(_edges(spark, sf_dir), _membership(spark)).select(F.round("modularity", 6).alias("modularity"))
+
+
+def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.louvain(_edges(spark, sf_dir))
+
+
+def edge_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of edges by confidence, which here is their weight."""
+    return R.confidence_report(_judged(spark, sf_dir))
+
+
+def weak_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.weak_nodes(_judged(spark, sf_dir))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("weight")
+    return _edges(spark, sf_dir).withColumn("confidence", F.when(w > 5, "EXTRACTED").when(w > 1, "INFERRED").otherwise("AMBIGUOUS")).withColumn("confidence_score", w / 8)
+
+
+def bare_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of edges that are not among the nouns."""
+    return G.bare_nodes(_edges(spark, sf_dir), _membership(spark).where("community = 'noun'"))
+
+
+def visible_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between nouns with an e."""
+    nodes = _membership(spark).select("node", F.col("node").alias("label"), F.col("community").alias("type"), "community")
+    return X.visible(nodes, _edges(spark, sf_dir), "E", "noun")[1].select("source", "target", "weight")
+
+
+QUERIES = {f.__name__: f for f in (entity_tags, entity_edges, cooccurrence, comention, edge_dedup, edge_merge, relation_counts, degree, cohesion, cross_community, community_top, connected_components, graph_reach, page_rank, label_communities, knowledge_gaps, dangling_edges, graph_label_search, typed_pairs, god_nodes, community_names, shortest_path, nodes_by_type, community_types, thin_communities, degree_summary, entities_by_file, explain_node, modularity, louvain, edge_confidence, weak_nodes, bare_nodes, visible_graph)}
 
 _V = "v(type, label) AS (VALUES " + ", ".join(f"('{t}', '{w}')" for t, w in WORDS) + ")"
 _P = "p(source, target, relation) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in PAIRS) + ")"
@@ -165,4 +228,30 @@ WHERE x.type <> y.type ORDER BY score DESC, a, b LIMIT 20""",
     "typed_pairs": f"WITH {_T}, h AS (SELECT DISTINCT doc_id, type, label FROM t) SELECT a.doc_id, a.label AS source, b.label AS target, 'has_action' AS relation FROM h a JOIN h b ON a.doc_id = b.doc_id WHERE a.type = 'noun' AND b.type = 'verb'",
     "god_nodes": f"WITH {_T}, {_H}, {_D} SELECT node, node AS label, degree FROM d WHERE node <> 'attion' ORDER BY degree DESC, node LIMIT 5",
     "graph_label_search": f"WITH {_T} SELECT DISTINCT type, label FROM t WHERE contains(lower(label), 'ti') ORDER BY label LIMIT 10",
+    "page_rank": f"""WITH RECURSIVE {_T}, {_H}, b AS (SELECT source AS a, target AS b FROM g UNION SELECT target, source FROM g), o AS (SELECT a, count(*) AS out FROM b GROUP BY 1), k AS (SELECT count(*) AS n FROM o),
+r(step, node, rank) AS (SELECT 0, a, 1.0::DOUBLE / n FROM o, k UNION ALL SELECT any_value(r.step) + 1, b.b, 0.15::DOUBLE / any_value(k.n) + 0.85::DOUBLE * sum(r.rank / o.out) FROM r JOIN b ON b.a = r.node JOIN o ON o.a = r.node, k WHERE r.step < 20 GROUP BY b.b)
+SELECT node, round(rank, 6) AS rank FROM r WHERE step = 20""",
+    "label_communities": f"""WITH RECURSIVE {_T}, {_H}, {_STRONG}, lc(step, node, community) AS (SELECT 0, label, label FROM v UNION ALL
+SELECT step + 1, node, community FROM (SELECT step, node, community, row_number() OVER (PARTITION BY node ORDER BY n DESC, community) AS k FROM (SELECT any_value(step) AS step, node, community, count(*) AS n FROM
+  (SELECT lc.step, s.a AS node, lc.community FROM lc JOIN s ON s.b = lc.node UNION ALL SELECT lc.step, lc.node, lc.community FROM lc) WHERE step < 10 GROUP BY node, community)) WHERE k = 1)
+SELECT node, community FROM lc WHERE step = 10""",
+    "community_names": f"""WITH {_V}, m AS (SELECT label AS node, type AS community, row_number() OVER (PARTITION BY type ORDER BY label) AS n FROM v), w AS (SELECT community, n, 0 AS p, node AS w FROM m WHERE n <= 10 UNION ALL SELECT community, n, 1, community FROM m WHERE n <= 10),
+c AS (SELECT community, w, count(*) AS c, min(n * 10 + p) AS f FROM w WHERE length(w) >= 3 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY c DESC, f) AS k FROM c)
+SELECT community, left(string_agg(w, ' ' ORDER BY k), 40) AS name FROM k WHERE k <= 3 GROUP BY 1""",
+    "shortest_path": f"""WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, distance) AS (SELECT 'attion', 0 UNION SELECT s.b, c.distance + 1 FROM c JOIN s ON s.a = c.node WHERE c.distance < 6), d AS (SELECT node, min(distance) AS distance FROM c GROUP BY 1),
+p(node, path) AS (SELECT 'attion', ['attion'] UNION ALL SELECT s.b, list_append(p.path, s.b) FROM p JOIN s ON s.a = p.node JOIN d ON d.node = s.b AND d.distance = len(p.path))
+SELECT array_to_string(min(path), '>') AS path FROM p WHERE node = 'thtion' HAVING count(*) > 0""",
+    "nodes_by_type": f"WITH {_T}, {_H}, {_D} SELECT type, count(*) AS nodes, round(avg(coalesce(degree, 0)), 4) AS mean_degree FROM v LEFT JOIN d ON node = label GROUP BY 1",
+    "community_types": f"WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, other) AS (SELECT label, label FROM v UNION SELECT c.node, s.b FROM c JOIN s ON s.a = c.other), k AS (SELECT node, min(other) AS community FROM c GROUP BY 1) SELECT community, type, count(*) AS nodes FROM k JOIN v ON label = node GROUP BY 1, 2",
+    "thin_communities": f"WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, other) AS (SELECT label, label FROM v UNION SELECT c.node, s.b FROM c JOIN s ON s.a = c.other), k AS (SELECT node, min(other) AS community FROM c GROUP BY 1) SELECT community, count(*) AS size FROM k GROUP BY 1 HAVING count(*) <= 2",
+    "degree_summary": f"WITH {_T}, {_H}, {_D} SELECT count(*) AS nodes, (SELECT count(*) FROM g) AS edges, round(avg(degree), 4) AS mean_degree, max(degree) AS max_degree FROM d",
+    "entities_by_file": f"WITH {_T} SELECT doc_id, count(DISTINCT label) AS entities FROM t GROUP BY 1",
+    "explain_node": f"WITH {_T}, {_H}, {_D} SELECT CASE WHEN source = 'attion' THEN target ELSE source END AS neighbour, 'related_to' AS relation, weight, degree FROM g JOIN d ON node = CASE WHEN source = 'attion' THEN target ELSE source END WHERE source = 'attion' OR target = 'attion'",
+    "modularity": f"""WITH {_T}, {_H}, s AS (SELECT a.type AS c, CASE WHEN a.type = b.type THEN weight ELSE 0 END AS inner_, weight AS w FROM g JOIN v a ON a.label = source JOIN v b ON b.label = target UNION ALL SELECT b.type, 0, weight FROM g JOIN v b ON b.label = target),
+p AS (SELECT c, sum(inner_) AS i, sum(w) AS d FROM s GROUP BY 1), t2 AS (SELECT sum(d) AS t FROM p) SELECT round(2.0::DOUBLE * sum(i) / any_value(t) - sum(CAST(d AS DOUBLE) * d) / (CAST(any_value(t) AS DOUBLE) * any_value(t)), 6) AS modularity FROM p, t2""",
+    "edge_confidence": f"""WITH {_T}, {_H} SELECT count(*) AS edges, round(count(*) FILTER (WHERE weight > 5) / count(*), 4) AS extracted, round(count(*) FILTER (WHERE weight BETWEEN 2 AND 5) / count(*), 4) AS inferred, round(count(*) FILTER (WHERE weight = 1) / count(*), 4) AS ambiguous,
+  round(avg(weight / 8) FILTER (WHERE weight BETWEEN 2 AND 5), 4) AS inferred_score FROM g""",
+    "weak_nodes": f"WITH {_T}, {_H} SELECT node, count(*) AS inferred FROM (SELECT source AS node FROM g WHERE weight BETWEEN 2 AND 5 UNION ALL SELECT target FROM g WHERE weight BETWEEN 2 AND 5) GROUP BY 1",
+    "bare_nodes": f"WITH {_T}, {_H}, {_D} SELECT node FROM d WHERE node NOT IN (SELECT label FROM v WHERE type = 'noun')",
+    "visible_graph": f"WITH {_T}, {_H} SELECT g.* FROM g JOIN v a ON a.label = source JOIN v b ON b.label = target WHERE a.type = 'noun' AND b.type = 'noun' AND contains(source, 'e') AND contains(target, 'e')",
 }

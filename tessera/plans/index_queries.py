@@ -100,17 +100,8 @@ def threshold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_join_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as cells (order by line) of a sheet a supplier, with merged ranges from every seventh customer."""
-    return _cells_in_ranges(spark, sf_dir, table(spark, sf_dir, "customer").where("c_custkey % 7 = 0"))
-
-
-def range_join_cells_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """range_join_cells with merged ranges from all customers."""
-    return _cells_in_ranges(spark, sf_dir, table(spark, sf_dir, "customer"))
-
-
-def _cells_in_ranges(spark: SparkSession, sf_dir: str, c: DataFrame) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    """Order lines as cells (order by line) of a sheet a supplier, with merged ranges from the customers."""
+    li, c = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "customer")
     cells = li.groupBy((F.col("l_suppkey") % 10).alias("sheet"), (F.col("l_orderkey") % 500).alias("row"), F.col("l_linenumber").alias("col")).agg(F.count("*").alias("n"))
     merged = c.select((F.col("c_custkey") % 10).alias("sheet"), (F.col("c_custkey") % 500).alias("r1"), F.lit(1).alias("c1"), (F.col("c_custkey") % 500 + F.col("c_nationkey") % 3).alias("r2"), (F.col("c_nationkey") % 4 + 1).alias("c2"))
     return C.masters(cells, merged).select("sheet", "row", "col", "n", "master_row", "master_col")
@@ -158,15 +149,7 @@ def date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "event_type", "value")
 
 
-QUERIES = {f.__name__: f for f in (doc_counts, status_counts, filename_metadata, anti_join_new, upsert_latest, changed_files, exact_dup_groups, duplicate_of, listing_dedup, listing_new, page_fields, date_normalise, threshold_check, range_join_cells, range_join_cells_all, batch_normalise, right_neighbour, title_similarity, extraction_validity, error_marks, date_filter)}
-
-
-def _case(column: str, rules: tuple, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains({column}, '{w}') THEN '{v}'" for w, v in rules) + f" ELSE '{default}' END"
-
-
-def _held(words: tuple) -> str:
-    return f"list_filter([{', '.join(repr(w) for w in words)}], lambda w: contains(title, w))"
+QUERIES = {f.__name__: f for f in (doc_counts, status_counts, filename_metadata, anti_join_new, upsert_latest, changed_files, exact_dup_groups, duplicate_of, listing_dedup, listing_new, page_fields, date_normalise, threshold_check, range_join_cells, batch_normalise, right_neighbour, title_similarity, extraction_validity, error_marks, date_filter)}
 
 
 _LINKS = """k AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS title,
@@ -178,7 +161,10 @@ SQL = {
     "filename_metadata": f"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '2024' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '15' END AS issue_date, [{', '.join(repr(t) for t in _TITLES)}][doc_id % {len(_TITLES)} + 1] AS title FROM documents),
 k AS (SELECT *, CASE WHEN contains(title, '起草说明') THEN 'explanation' WHEN contains(title, '反馈意见表') OR contains(title, '征求意见反馈表') THEN 'feedback' WHEN contains(title, '征求意见稿') THEN 'draft' ELSE 'main' END AS doc_type,
   CASE WHEN contains(title, '起草说明') OR contains(title, '反馈意见表') OR contains(title, '征求意见反馈表') THEN 'reference' WHEN contains(title, '征求意见稿') THEN 'draft' ELSE 'active' END AS status,
-  {_case('title', I.CATEGORIES, I.GENERAL)} AS category, {_case('title', I.FOLDERS, I.OTHER)} AS folder, {_held(I.DRUG_TYPES)} AS dt, list_sort({_held(I.TAGS)}) AS tg FROM n)
+  CASE WHEN regexp_matches(title, '化学药品|化学药物') THEN '化学药' WHEN regexp_matches(title, '中药|天然药物') THEN '中药' WHEN contains(title, '生物制品') THEN '生物制品' ELSE '通用' END AS category,
+  CASE WHEN contains(title, '稳定性') THEN '稳定性' WHEN regexp_matches(title, '临床研发|临床试验|以患者为中心') THEN '临床研究' WHEN contains(title, '药理学') THEN '药理学' WHEN contains(title, '毒理学') THEN '毒理学' WHEN contains(title, '质量标准') THEN '质量标准'
+    WHEN regexp_matches(title, '申报|注册') THEN '申报注册' WHEN regexp_matches(title, '注射剂|配伍|原料药|制剂') THEN '稳定性' ELSE '其他' END AS folder,
+  list_filter(['注射剂', '原料药', '制剂', '口服'], lambda w: contains(title, w)) AS dt, list_sort(list_filter(['稳定性', '配伍', '注射剂', '原料药', '制剂', '化学药', '中药', '生物制品', '研究技术', '指导原则'], lambda w: contains(title, w))) AS tg FROM n)
 SELECT doc_id, 'guidance_' || category || CASE WHEN issue_date <> '' THEN '_' || issue_date ELSE '' END || '_' || doc_type AS id, title, issue_date, doc_type, status, category, CASE WHEN len(dt) > 0 THEN array_to_string(dt, ',') ELSE '通用' END AS drug_types, array_to_string(tg, ',') AS tags, folder FROM k""",
     "anti_join_new": "SELECT sha256(text) AS id, min(doc_id) AS doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY 1",
     "upsert_latest": """WITH u AS (SELECT user_id AS id, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS price FROM events GROUP BY 1)
@@ -196,7 +182,7 @@ SELECT d.id, f.first AS duplicate_of, 'pages' AS by FROM d JOIN f USING (title,
     "threshold_check": """SELECT l_orderkey, l_linenumber, l_discount AS value, CASE WHEN contains(p_type, 'BRUSHED TIN') THEN 0.3::DOUBLE WHEN contains(p_type, 'STEEL') THEN 0.0::DOUBLE ELSE 0.05::DOUBLE END AS "limit"
 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'N' AND l_discount >= CASE WHEN contains(p_type, 'BRUSHED TIN') THEN 0.3 WHEN contains(p_type, 'STEEL') THEN 0.0 ELSE 0.05 END""",
     "range_join_cells": """WITH c AS (SELECT l_suppkey % 10 AS sheet, l_orderkey % 500 AS row, l_linenumber AS col, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
-m AS (SELECT c_custkey % 10 AS sheet, c_custkey % 500 AS r1, 1 AS c1, c_custkey % 500 + c_nationkey % 3 AS r2, c_nationkey % 4 + 1 AS c2 FROM customer WHERE c_custkey % 7 = 0),
+m AS (SELECT c_custkey % 10 AS sheet, c_custkey % 500 AS r1, 1 AS c1, c_custkey % 500 + c_nationkey % 3 AS r2, c_nationkey % 4 + 1 AS c2 FROM customer),
 j AS (SELECT c.sheet, c.row, c.col, min(m.r1) AS r1 FROM c JOIN m ON c.sheet = m.sheet AND c.row BETWEEN r1 AND r2 AND c.col BETWEEN c1 AND c2 GROUP BY 1, 2, 3)
 SELECT c.sheet, c.row, c.col, c.n, coalesce(j.r1, c.row) AS master_row, CASE WHEN j.r1 IS NULL THEN c.col ELSE 1 END AS master_col FROM c LEFT JOIN j ON c.sheet = j.sheet AND c.row = j.row AND c.col = j.col""",
     "batch_normalise": """WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%y%m%d') AS d, lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') AS n FROM orders)
@@ -204,6 +190,11 @@ SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'LX' || d WHEN 1 THEN 'LX1-'
   CASE o_orderkey % 4 WHEN 2 THEN 'LX2-' || d || '-' || n || '（复测）' WHEN 3 THEN 'LX3-' || d || '-' || n END AS normalised FROM o""",
     "extraction_validity": """WITH d AS (SELECT doc_id, doc_id % 5 AS n, octet_length(encode(left(text, 150))) AS b FROM documents)
 SELECT doc_id, n = 4 AND b >= 100 AS ok, CASE n WHEN 0 THEN 'no json' WHEN 1 THEN 'empty json' WHEN 2 THEN 'bad json' WHEN 3 THEN 'no elements' ELSE CASE WHEN b < 100 THEN 'short markdown' ELSE 'ok' END END AS reason FROM d""",
+    "title_similarity": """WITH d AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS t FROM documents), j AS (SELECT a.doc_id, a.t AS a, b.t AS b, left(a.t, 100) AS x, left(b.t, 100) AS y FROM d a JOIN d b ON b.doc_id = a.doc_id + 1),
+k AS (SELECT *, lower(regexp_replace(a, '[\\s\\-‐‑–—·]', '', 'g')) AS p, lower(regexp_replace(b, '[\\s\\-‐‑–—·]', '', 'g')) AS q,
+  coalesce(list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(x) - i + 2), lambda l: CASE WHEN contains(y, substring(x, i, l)) THEN l ELSE 0 END)))), 0) AS best FROM j)
+SELECT doc_id, CASE WHEN a = '' OR b = '' THEN 'none' WHEN a = b THEN 'identical' WHEN best / greatest(length(x), length(y)) >= 0.75 THEN 'small' ELSE 'large' END AS level,
+  round(CASE WHEN p = '' OR q = '' THEN 0 WHEN p = q THEN 1 WHEN contains(p, q) OR contains(q, p) THEN 0.8 ELSE len(list_intersect(list_distinct(string_split(p, '')), list_distinct(string_split(q, '')))) / len(list_distinct(list_concat(string_split(p, ''), string_split(q, '')))) END, 3) AS similarity FROM k""",
     "error_marks": """WITH o AS (SELECT role, text || CASE turn WHEN 2 THEN ' npm ERR! code' WHEN 3 THEN ' ERR' ELSE '' END AS t FROM conversations)
 SELECT role, count(*) AS n FROM o WHERE regexp_matches(t, 'error:|Error:|ERROR:|failed|FAILED|command not found|No such file|Permission denied|fatal:|Exception|Traceback|npm ERR!|ModuleNotFoundError|SyntaxError|TypeError|exit code|non-zero') GROUP BY role""",
     "date_filter": "SELECT event_id, event_type, value FROM events WHERE user_id = 7 AND event_type <> 'error' ORDER BY ts DESC, event_id LIMIT 50",

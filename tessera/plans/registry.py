@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import graph_queries, index_queries, search_queries, usage_queries
+from tessera.plans import graph_queries, index_queries, search_queries, source_queries, text_queries, usage_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (search_queries, index_queries, graph_queries, usage_queries):
+for _part in (search_queries, index_queries, graph_queries, usage_queries, text_queries, source_queries):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL

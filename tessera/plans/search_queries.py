@@ -123,13 +123,6 @@ def page_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paragraph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where long lines of pages, without their markup, stand in the page's Markdown."""
     md = E.elements(_markdown(spark, sf_dir))
-    paragraphs = md.where((F.char_length("content") >= 20) & (F.col("pos") % 4 == 1)).select("doc_id", (F.col("pos") + 1).cast("long").alias("page"), F.left("content", F.lit(60)).alias("text"))
-    return E.page_lines(paragraphs, md)
-
-
-def paragraph_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paragraph_lines for every long line of pages and its whole text."""
-    md = E.elements(_markdown(spark, sf_dir))
     paragraphs = md.where(F.char_length("content") >= 20).select("doc_id", (F.col("pos") + 1).cast("long").alias("page"), F.col("content").alias("text"))
     return E.page_lines(paragraphs, md)
 
@@ -142,7 +135,7 @@ def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.merge_across_pages(tables.withColumn("confident", F.col("s") == "O")).select("doc_id", "pos", "merge_into")
 
 
-QUERIES = {f.__name__: f for f in (fulltext_bigram, fulltext_scoped, metadata_score, retrieval_rank, keyword_context, keyword_df, element_counters, running_index, section_index, section_path, section_totals, language_detect, page_classify, page_hash, paragraph_lines, paragraph_lines_all, table_merge)}
+QUERIES = {f.__name__: f for f in (fulltext_bigram, fulltext_scoped, metadata_score, retrieval_rank, keyword_context, keyword_df, element_counters, running_index, section_index, section_path, section_totals, language_detect, page_classify, page_hash, paragraph_lines, table_merge)}
 
 _SECTIONS = f"""{_MARKDOWN}, ml AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM m),
 mk AS (SELECT *, length(regexp_extract(content, '^(#{{1,4}})\\s+(.+)$', 1)) AS mark, trim(regexp_extract(content, '^(#{{1,4}})\\s+(.+)$', 2)) AS title FROM ml),
@@ -169,6 +162,9 @@ WHERE {" OR ".join(f"contains(lower(raw), '{k}')" for k in _KEYWORDS)}""",
   count(*) FILTER (WHERE type = 'heading') AS headings, count(*) FILTER (WHERE type = 'table' AND has_merged) AS merged_tables, CAST(max(pos) AS INTEGER) AS last_pos FROM y GROUP BY doc_id""",
     "running_index": f"WITH {LINES}, {_TYPED} SELECT doc_id, CAST(pos AS INTEGER) AS pos, type, CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY pos) - 1 AS INTEGER) AS type_index FROM y",
     "section_index": f"WITH {_SECTIONS} SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(level AS INTEGER) AS level, title FROM sec",
+    "section_path": f"""WITH {_SECTIONS}, up AS (SELECT b.doc_id, b.line, b.level, b.title, a.line AS place, a.title AS part FROM sec b JOIN sec a ON a.doc_id = b.doc_id AND a.line <= b.line
+  WHERE NOT EXISTS (SELECT 1 FROM sec c WHERE c.doc_id = b.doc_id AND c.line > a.line AND c.line <= b.line AND c.level <= a.level))
+SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(level AS INTEGER) AS level, any_value(title) AS title, string_agg(part, ' > ' ORDER BY place) AS path FROM up GROUP BY doc_id, line, level""",
     "section_totals": f"""WITH {_SECTIONS}, top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS n FROM sec WHERE level <= 3)
 SELECT (SELECT count(DISTINCT doc_id) FROM sec) AS docs, (SELECT count(*) FROM sec) AS sections, count(*) AS indexed, CAST(coalesce(max(line), 0) AS INTEGER) AS last_line FROM top WHERE n <= 20""",
     "language_detect": """WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]')) AS cjk, len(regexp_extract_all(text, '[A-Za-z]')) AS latin FROM documents)
@@ -179,7 +175,7 @@ SELECT doc_id, count(*) FILTER (WHERE chars > 50) AS digital, count(*) FILTER (W
     "page_hash": f"""WITH {LINES}, p AS (SELECT doc_id, pos // 10 + 1 AS page, sha256(string_agg(trim(raw), chr(10) ORDER BY pos % 3, pos)) AS h FROM l WHERE trim(raw) <> '' AND pos < 20 GROUP BY 1, 2)
 SELECT doc_id, max(CASE WHEN page = 1 THEN h END) AS page1, max(CASE WHEN page = 2 THEN h END) AS page2 FROM p GROUP BY doc_id""",
     "paragraph_lines": f"""WITH {_MARKDOWN}, ml AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM m),
-md AS (SELECT doc_id, pos, content, regexp_replace(content, '[\\s·…．,，.]', '', 'g') AS k FROM ml WHERE content <> ''), pg AS (SELECT doc_id, pos + 1 AS page, left(content, 60) AS text, regexp_replace(left(content, 60), '[\\s·…．,，.]', '', 'g') AS k FROM md WHERE length(content) >= 20 AND pos % 4 = 1),
+md AS (SELECT doc_id, pos, content, regexp_replace(content, '[\\s·…．,，.]', '', 'g') AS k FROM ml WHERE content <> ''), pg AS (SELECT doc_id, pos + 1 AS page, content AS text, regexp_replace(content, '[\\s·…．,，.]', '', 'g') AS k FROM md WHERE length(content) >= 20),
 j AS (SELECT pg.doc_id, pg.page, pg.text, md.pos, row_number() OVER (PARTITION BY pg.doc_id, pg.page, pg.text ORDER BY length(md.k) DESC, md.pos) AS n FROM pg JOIN md ON pg.doc_id = md.doc_id AND md.pos < 201 AND md.k <> '' AND (contains(pg.k, md.k) OR contains(md.k, pg.k)) WHERE length(pg.k) >= 10)
 SELECT doc_id, page, text, CAST(pos + 1 AS INTEGER) AS md_line FROM j WHERE n = 1""",
     "table_merge": """WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, CAST(max(floor(l_quantity) % 6) AS INTEGER) AS columns, max(l_returnflag) AS head, max(l_linestatus) = 'O' AS ok FROM lineitem GROUP BY 1, 2),

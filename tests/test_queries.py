@@ -29,7 +29,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_paragraph_lines_all(spark):
+def test_paragraph_lines(spark):
     from tessera.functions import text as T
     from tessera.operators import elements as E
     from tessera.plans.search_queries import _markdown
@@ -44,16 +44,16 @@ def test_paragraph_lines_all(spark):
             fits = [m for m in rows if m.pos < 201 and m.k and (m.k in p.k or p.k in m.k)]
             if len(p.content) >= 20 and len(p.k) >= 10 and fits:
                 want.add((doc, p.pos + 1, p.content, max(fits, key=lambda m: (len(m.k), -m.pos)).pos + 1))
-    got = QUERIES["paragraph_lines_all"](spark, SMALL).collect()
+    got = QUERIES["paragraph_lines"](spark, SMALL).collect()
     assert {(r.doc_id, r.page, r.text, r.md_line) for r in got} == want and len(got) == len(want)
     assert any((page - 1) % 4 != 1 for _, page, _, _ in want)
 
 
-def test_range_join_cells_all(spark):
+def test_range_join_cells(spark):
     ranges = {}
     for c in spark.read.parquet(f"{SMALL}/customer.parquet").select("c_custkey", "c_nationkey").collect():
         r1 = c.c_custkey % 500
         ranges.setdefault(c.c_custkey % 10, []).append((r1, r1 + c.c_nationkey % 3, c.c_nationkey % 4 + 1))
-    for x in QUERIES["range_join_cells_all"](spark, SMALL).collect():
+    for x in QUERIES["range_join_cells"](spark, SMALL).collect():
         firsts = [a for a, b, c2 in ranges.get(x.sheet, []) if a <= x.row <= b and 1 <= x.col <= c2]
         assert (x.master_row, x.master_col) == ((min(firsts), 1) if firsts else (x.row, x.col))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import graph as G
 from tessera.operators import matching as M
 from tessera.operators import relations as R
 from tessera.operators import tables as B
@@ -45,3 +46,37 @@ def test_positions(spark):
     s = spark.createDataFrame([("f", "Stability", ["a", "b"]), ("f", "Other", ["c", "d"]), ("f", "None", ["q"])], "file string, sheet string, tokens array<string>")
     p = spark.createDataFrame([("f", 1, "nothing", ["c"]), ("f", 2, "on Stability", ["x"]), ("f", 3, "Stability", ["c", "d"])], "file string, page int, text string, tokens array<string>")
     assert {r.sheet: r.page for r in M.sheet_pages(s, p).collect()} == {"Stability": 2, "Other": 3}
+
+
+def test_louvain_finds_cliques(spark):
+    """Ten cliques in a ring come apart as cliques, and the state's modularity is what the definition says."""
+    edges, n = [], 10
+    for c in range(n):
+        edges += [(f"n{c}_{a}", f"n{c}_{b}", 1) for a in range(5) for b in range(a)]
+        edges.append((f"n{c}_0", f"n{(c + 1) % n}_1", 1))
+    df = spark.createDataFrame(edges, "source string, target string, weight int")
+    found = G.louvain(df)
+    member = {r.node: r.community for r in found.collect()}
+    groups = {}
+    for node, community in member.items():
+        groups.setdefault(community, set()).add(node)
+    m = len(edges)
+    degree = {}
+    for a, b, _ in edges:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    want = sum(member[a] == member[b] for a, b, _ in edges) / m - sum((sum(degree[x] for x in g) / (2 * m)) ** 2 for g in groups.values())
+    got = G.modularity(df, found).first()[0]
+    assert len(member) == 50 and abs(got - want) < 1e-9 and got > 0.75
+    assert all(len({member[f"n{c}_{k}"] for k in range(5)}) == 1 for c in range(n))
+    assert G.louvain(df.limit(0)).count() == 0
+
+
+def test_compatibility_form(spark):
+    import unicodedata
+
+
+    from tessera.functions import text as T
+
+    rows = ["ＡＢＣ　１２", "ﬁne", "①②", "plain", "é", None, ""]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", T.nfkc(F.col("t")).alias("n")).collect()
+    assert all(r.n == (None if r.t is None else unicodedata.normalize("NFKC", r.t)) for r in got)
