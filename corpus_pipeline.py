@@ -40,7 +40,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ranks, pattern = bpe.public_ranks()
     # fewer common words than op4 shares: the same ids for more time and less memory, beside what earlier stages' workers hold
-    encoded = bpe.encode(docs, ranks, pattern, most=1 << 18, packed=True)
+    encoded = bpe.encode(docs, ranks, pattern, most=1 << 17, packed=True)
     return bpe.digests(encoded, *(c for c in encoded.columns if c not in ("decoded", *bpe.DIGESTS)))
 
 

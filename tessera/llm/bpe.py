@@ -342,8 +342,11 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20, pac
     decode to, the tokens' bytes concatenated) in place of ids.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Known(common_words(docs, pattern, ranks, most)))
     table_of = spark.sparkContext.broadcast(ranks)
+    known = Known(common_words(docs, pattern, ranks, most))
+    shared = spark.sparkContext.broadcast(known)
+    del known  # the tasks read it from the broadcast's file
+    tidy()
 
     def split(_: pa.RecordBatch, texts: list[str]) -> dict[str, pa.Array]:
         """__refs: for each piece its place among the common words, or -1 - its place in the slice's own words."""

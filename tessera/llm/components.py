@@ -14,7 +14,10 @@ _SHARE = 1 / 2000
 def _with_nearest(links: DataFrame, count: int) -> DataFrame:
     """links (u, v) with m, the least v of each u. Nodes with very many links meet their m in a broadcast of bounded size."""
     nearest = cut(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-    busy = F.broadcast(nearest.where(F.col("n") > max(count * _SHARE, 100)).select("u", "m"))
+    busy = nearest.where(F.col("n") > max(count * _SHARE, 100)).select("u", "m")
+    if busy.isEmpty():
+        return links.join(nearest.select("u", "m"), "u")
+    busy = F.broadcast(busy)
     rest = links.join(busy.select("u"), "u", "left_anti").join(nearest.select("u", "m"), "u")
     return links.join(busy, "u").unionByName(rest)
 

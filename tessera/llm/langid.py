@@ -83,7 +83,8 @@ def frequencies(texts: list[str]) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """A linear support vector machine (hinge loss, bias as a feature) by dual coordinate descent; y is 1 or -1."""
-    gram = (x @ x.T).astype(np.float64) + 1.0
+    gram = (x @ x.T).astype(np.float64)
+    gram += 1.0
     alpha, margin = np.zeros(len(y)), np.zeros(len(y))
     order = np.random.default_rng(7)
     for _ in range(rounds):
@@ -153,7 +154,10 @@ def train(labels: list[str], x: np.ndarray) -> Model:
     for of, names in [(family, sorted(model.families))] + [(langs, v) for v in model.families.values()]:
         for a, b in combinations(names, 2):
             rows = (of == a) | (of == b)
-            w, c = fit_svm(x[rows].astype(np.float32) * np.float32(scale), np.where(of[rows] == a, 1.0, -1.0))
+            own = x[rows].astype(np.float32)
+            own *= np.float32(scale)
+            w, c = fit_svm(own, np.where(of[rows] == a, 1.0, -1.0))
+            del own
             model.pairs.append((a, b))
             weights.append(w * scale)
             bias.append(c)
@@ -222,12 +226,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def accept(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
+def accept(docs: DataFrame, learn_from: DataFrame, per_lang: int = 200) -> DataFrame:
     """The pipeline's filter: rows whose text has a letter; `und`, that is null, empty and letterless texts, goes.
 
     A share of pairwise chances says which learned language is nearest, not whether any is near: a text in a language
-    that was not learned stays. With nothing learned every row is `und`. Columns stay as they are; repeated rows too.
+    that was not learned stays. With nothing learned every row is `und`; per_lang as in fit. Columns stay as they are; repeated rows too.
     """
     columns = docs.columns
-    kept = identify(docs.select(F.struct(*columns).alias("row"), F.col("text")), fit(taught(learn_from)))
+    kept = identify(docs.select(F.struct(*columns).alias("row"), F.col("text")), fit(taught(learn_from), per_lang))
     return kept.where(F.col("lang_pred") != UNKNOWN).select("row.*")
