@@ -189,17 +189,21 @@ class Model:
         """Rows of each half of the table: that of the groups, then that of the classes."""
         return len(self.weights) // 2
 
+    def halves(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of a table shaped as the weights, as views."""
+        return table[: self.rows], table[self.rows :]
+
     def parts(self, rows: np.ndarray, kind: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
-        """Of groups and of classes: rows of the table, biases, and the place of the true one."""
+        """Of groups and of classes: rows of that half of the table, biases, and the place of the true one."""
         group = kind // WIDTH
-        inner = in_group(rows, group, self.rows).astype(np.int64) + self.rows
-        return (rows, self.group_bias, group), (inner, self.class_bias[group], kind % WIDTH)
+        return (rows, self.group_bias, group), (in_group(rows, group, self.rows), self.class_bias.take(group, axis=0), kind % WIDTH)
 
-    def scores(self, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """All scores less the greatest, a row for each history."""
-        z = self.weights[rows[:, 0]]
+    @staticmethod
+    def scores(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """All scores less the greatest, a row for each history; weights is one half of the table."""
+        z = weights.take(rows[:, 0], axis=0)
         for k in range(1, FEATURES):
-            z += self.weights[rows[:, k]]
+            z += weights.take(rows[:, k], axis=0)
         z += bias
         z -= z.max(axis=1, keepdims=True)
         return z
@@ -207,31 +211,44 @@ class Model:
     def log_chance(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """The natural logarithm of the chance of each history's class kind."""
         out = np.zeros(len(kind), dtype=np.float64)
-        for r, bias, k in self.parts(rows, kind):
-            z = self.scores(r, bias)
+        for weights, (r, bias, k) in zip(self.halves(self.weights), self.parts(rows, kind)):
+            z = self.scores(weights, r, bias)
             out += z[np.arange(len(k)), k]
             out -= np.log(np.exp(z, out=z).sum(axis=1))
         return out
 
     def learn(self, rows: np.ndarray, kind: np.ndarray, seen: np.ndarray) -> None:
         """One pass of gradient steps (scaled by the squares seen so far) over tokens in batches."""
+        places = np.zeros(self.rows, dtype=np.int64)
         for at in range(0, len(kind), BATCH):
-            for part in self.parts(rows[at : at + BATCH], kind[at : at + BATCH]):
-                self._step(*part, seen)
+            parts = self.parts(rows[at : at + BATCH], kind[at : at + BATCH])
+            for weights, part, squares in zip(self.halves(self.weights), parts, self.halves(seen)):
+                self._step(weights, *part, squares, places)
 
-    def _step(self, r: np.ndarray, bias: np.ndarray, k: np.ndarray, seen: np.ndarray) -> None:
-        gradient = self.scores(r, bias)
+    def _step(self, weights: np.ndarray, r: np.ndarray, bias: np.ndarray, k: np.ndarray, seen: np.ndarray, places: np.ndarray) -> None:
+        """A step of one half of the table; places is room for a number for each of its rows."""
+        gradient = self.scores(weights, r, bias)
         np.exp(gradient, out=gradient)
         gradient /= gradient.sum(axis=1, keepdims=True)
         gradient[np.arange(len(k)), k] -= 1
         flat = r.ravel(order="F")
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        cut_at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        total = np.add.reduceat(gradient[order % len(k)], cut_at, axis=0)
-        own = flat[cut_at]
-        seen[own] += total * total
-        self.weights[own] -= RATE * total / np.sqrt(seen[own] + 1e-4)
+        touched = np.zeros(len(places), dtype=bool)
+        touched[flat] = True
+        own = np.flatnonzero(touched)
+        places[own] = np.arange(len(own))
+        place = places.take(flat)
+        # a column of gradients at a time: bincount adds up far faster than sums over sorted rows
+        total = np.empty((len(own), WIDTH), dtype=np.float32)
+        for column in range(WIDTH):
+            total[:, column] = np.bincount(place, weights=np.tile(gradient[:, column], FEATURES), minlength=len(own))
+        squares = total * total
+        squares += seen.take(own, axis=0)
+        seen[own] = squares
+        squares += np.float32(1e-4)
+        np.sqrt(squares, out=squares)
+        np.divide(total, squares, out=total)
+        total *= np.float32(RATE)
+        weights[own] = weights.take(own, axis=0) - total
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,21 +287,28 @@ def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
         start = spark.sparkContext.broadcast(model)
 
         def move(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own, seen, tokens, now = Model(), None, 0, None
+            own, seen, tokens, now, all_tokens = Model(), None, 0, None, 0
+            moved = np.zeros_like(start.value.weights)
+
+            def add() -> int:
+                own.weights -= start.value.weights
+                own.weights *= np.float32(tokens)
+                np.add(moved, own.weights, out=moved)
+                return all_tokens + tokens
 
             def moves() -> pa.RecordBatch:
-                # only rows that moved are written, a block's places among them in at
-                delta = ((own.weights - start.value.weights) * np.float32(tokens)).reshape(-1, BLOCK, WIDTH)
+                # a task sums up its shards' moves; only rows that moved are written, a block's places among them in at
+                delta = moved.reshape(-1, BLOCK, WIDTH)
                 n, places = len(delta), [np.flatnonzero(d.any(axis=1)).astype(np.uint8) for d in delta]
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(range(n), type=pa.int32()), pa.array([now % parts] * n, type=pa.int32()), pa.array([tokens] * n, type=pa.int64()), pa.array([p.tobytes() for p in places], type=pa.binary()), pa.array([d[p].tobytes() for d, p in zip(delta, places)], type=pa.binary())],
+                    [pa.array(range(n), type=pa.int32()), pa.array([now % parts] * n, type=pa.int32()), pa.array([all_tokens] * n, type=pa.int64()), pa.array([p.tobytes() for p in places], type=pa.binary()), pa.array([d[p].tobytes() for d, p in zip(delta, places)], type=pa.binary())],
                     names=["block", "part", "tokens", "at", "moved"],
                 )
 
             for part, texts in slices(_by_shard(batches), "text", _SLICE):
                 if part.column("shard")[0].as_py() != now:
                     if tokens:
-                        yield moves()
+                        all_tokens = add()
                     now, tokens = part.column("shard")[0].as_py(), 0
                     own.weights, own.group_bias, own.class_bias = start.value.weights.copy(), start.value.group_bias, start.value.class_bias
                     seen = np.zeros_like(own.weights)
@@ -292,6 +316,7 @@ def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
                 own.learn(t.features(own.rows), t.kind[t.code], seen)
                 tokens += len(t.code)
             if tokens:
+                all_tokens = add()
                 yield moves()
 
         mine = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == step).select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
