@@ -38,6 +38,8 @@ LEAST_ROWS, MOST_ROWS, WORDS_A_ROW = 1 << 14, 1 << 16, 8
 #: Features of a history, rows of a block of weights.
 FEATURES, BLOCK = 4, 256
 ROUNDS, RATE, BATCH = 3, 0.15, 8192
+#: Rows that are updated or scored at a time; no result depends on it.
+FEW = 1024
 _SLICE = 1_000_000
 #: Training tokens of a shard, and shards whose moves are summed up in one step.
 SHARD, STEP = 1_000_000, 64
@@ -238,17 +240,21 @@ class Model:
         places[own] = np.arange(len(own))
         place = places.take(flat)
         # a column of gradients at a time: bincount adds up far faster than sums over sorted rows
-        total = np.empty((len(own), WIDTH), dtype=np.float32)
+        columns = np.ascontiguousarray(gradient.T, dtype=np.float64)
+        added = np.empty((WIDTH, len(own)), dtype=np.float32)
         for column in range(WIDTH):
-            total[:, column] = np.bincount(place, weights=np.tile(gradient[:, column], FEATURES), minlength=len(own))
-        squares = total * total
-        squares += seen.take(own, axis=0)
-        seen[own] = squares
-        squares += np.float32(1e-4)
-        np.sqrt(squares, out=squares)
-        np.divide(total, squares, out=total)
-        total *= np.float32(RATE)
-        weights[own] = weights.take(own, axis=0) - total
+            added[column] = np.bincount(place, weights=np.tile(columns[column], FEATURES), minlength=len(own))
+        total = np.ascontiguousarray(added.T)
+        for at in range(0, len(own), FEW):  # few rows at a time stay in the processor's cache
+            some, step = own[at : at + FEW], total[at : at + FEW]
+            squares = step * step
+            squares += seen.take(some, axis=0)
+            seen[some] = squares
+            squares += np.float32(1e-4)
+            np.sqrt(squares, out=squares)
+            step /= squares
+            step *= np.float32(RATE)
+            weights[some] = weights.take(some, axis=0) - step
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +369,8 @@ def score(docs: DataFrame, model: Model, counts: Counts, counted: DataFrame) ->
             kind = t.kind[t.code]
             rows = t.features(own.rows)
             chance = np.empty(len(kind), dtype=np.float64)
-            for at in range(0, len(kind), BATCH):
-                k = kind[at : at + BATCH]
-                chance[at : at + BATCH] = own.log_chance(rows[at : at + BATCH], k)
+            for at in range(0, len(kind), FEW):
+                chance[at : at + FEW] = own.log_chance(rows[at : at + FEW], kind[at : at + FEW])
             by_class = chance / math.log(10) + ready - class_room[kind]
             base, model_score = sums(ready - room, t.length), sums(by_class, t.length)
             missing = np.flatnonzero(of < 0)
