@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, divergence, langid, licenses, lm, pii, quality, secrets, simhash
+from tessera.llm import bpe, chat, collocations, decontaminate, divergence, langid, licenses, lm, pii, preference, quality, secrets, simhash
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,11 +15,14 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_quality_rank": preference.op12_quality_rank,
     "op13_divergence": divergence.op13_divergence,
 }
 
 SQL = {
     "op2_quality_rules": quality.OP2_SQL,
     "op10_chat_format": chat.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op13_divergence": divergence.OP13_SQL,
 }
