@@ -89,10 +89,10 @@ def joint_cells(terms: DataFrame) -> DataFrame:
     Sources are dealt to blocks by a hash; a term's row goes once to every pair of its blocks, and the terms of a pair of
     blocks to several tasks. A task holds the table of a slice of terms over two blocks, and tallies pair by pair.
     """
-    size = F.size("cells")
-    spread = F.pmod(F.xxhash64("source"), F.col("blocks"))
-    sources = terms.select("lang", F.explode("cells.source").alias("source")).distinct().groupBy("lang").count().select("lang", F.ceil(F.col("count") / _BLOCK).alias("blocks"))
-    cells = terms.where(size > 1).join(sources, "lang").select("lang", "term", "blocks", F.explode("cells").alias("cell")).select("lang", "term", F.col("cell.source"), F.col("cell.n"), "blocks")
+    sources = terms.select("lang", F.explode("cells.source").alias("source")).distinct().groupBy("lang").count()
+    blocks = -(-(sources.agg(F.max("count")).head()[0] or 1) // _BLOCK)  # of the language with the most sources: one number, no join by language
+    spread = F.pmod(F.xxhash64("source"), F.lit(blocks))
+    cells = terms.where(F.size("cells") > 1).select("lang", "term", F.explode("cells").alias("cell")).select("lang", "term", F.col("cell.source"), F.col("cell.n"))
     parts = cells.groupBy("lang", "term", spread.alias("block")).agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("cells"))
     whole = parts.groupBy("lang", "term").agg(F.collect_list(F.struct("block", "cells")).alias("parts"))
     left = whole.select("lang", "term", F.explode("parts").alias("x"), "parts")
