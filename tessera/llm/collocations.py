@@ -1,8 +1,8 @@
 """Phrase collocations: a sketch bounds every phrase's count, automata count the candidates exactly, thresholds come last.
 
-A first pass adds hashed n-grams up in an array of counters (never less than an n-gram's count). In the second pass each
-slice of a shard compiles its own n-grams whose counter reaches the threshold into Aho-Corasick automata and counts all
-their matches in it, overlapping ones included. A phrase that is frequent enough in the corpus passes the sketch in every slice it occurs in, so the
+First passes add hashed n-grams up in arrays of counters (never less than an n-gram's count): words and pairs, then longer
+ones whose parts may be frequent. In the last pass each slice of a shard compiles its own n-grams whose counters reach
+the threshold into Aho-Corasick automata and counts all their matches in it, overlapping ones included. A phrase that is frequent enough in the corpus passes the sketch in every slice it occurs in, so the
 sums over slices are its exact count. Words are between blanks and pieces between line feeds, in the patterns and in the
 text, so no match begins or ends inside a word or spans two pieces.
 """
@@ -28,7 +28,7 @@ from tessera.llm.common import cut, table, text_of
 #: A-Z become lower case, tabs blanks; what ends a piece becomes a byte that no UTF-8 text has.
 _END = 0xFF
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else _END if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 0x09 else b for b in range(256))
-#: Counters of the sketch (a byte each) at least and at most, bytes of text that there is one for, counters of a block.
+#: Counters of a sketch (a byte each) at least and at most, bytes of text that there is one for, counters of a block.
 LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, _CELLS = 1 << 16, 1 << 26, 8, 1 << 16
 #: Bytes of text of a slice, phrases of an automaton, phrases that a worker holds before it passes counts on.
 _SLICE, _PHRASES, _HELD = 2_000_000, 150_000, 300_000
@@ -68,15 +68,41 @@ def _by_lang(part: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[str, list
         yield lang, [t for t, of in zip(texts, langs) if of == lang]
 
 
-def sketch(docs: DataFrame, longest: int, most_cells: int = MOST_CELLS) -> np.ndarray:
-    """Counters of hashed n-grams of all texts, saturating at 255; their number follows the texts' size up to most_cells.
+def cells_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of each hash, one in either half of the sketch."""
+    half = np.int64(1) << np.int64(bits - 1)
+    shift = np.uint64(65 - bits)
+    return (h >> shift).astype(np.int64), half + (mix(h) >> shift).astype(np.int64)
 
-    A worker adds up its shard and passes on the blocks that it touched; blocks are added up where the shuffle puts them,
-    one after another. Where the corpus outgrows most_cells more n-grams pass than are frequent: that costs time, not truth.
+
+def frequent(lang: str, ids: np.ndarray, known: list[bytes], sketches: list[np.ndarray], least: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n, starts, hashes of the n-grams whose parts of n - 1 words may all be frequent, and with a sketch they themselves.
+
+    sketches: one of words and pairs, then one of each greater length; without one of its own an n-gram counts by its parts.
+    """
+    enough, before = min(least, 255), None
+    for n, starts, h in gram_hashes(lang, ids, known, longest):
+        if before is not None:
+            keep = before[starts] & before[starts + 1]
+            starts, h = starts[keep], h[keep]
+        if max(n - 2, 0) < len(sketches):
+            cells = sketches[max(n - 2, 0)]
+            one, two = cells_of(h, len(cells).bit_length() - 1)
+            keep = cells[one] >= enough
+            keep[keep] = cells[two[keep]] >= enough
+            starts, h = starts[keep], h[keep]
+        yield n, starts, h
+        before = np.zeros(len(ids) + 1, dtype=bool)
+        before[starts] = True
+
+
+def sketch(docs: DataFrame, lower: Broadcast | None, least: int, longest: int, bits: int) -> np.ndarray:
+    """2^bits counters that saturate at 255: in either half one of each n-gram's, never less than its count.
+
+    Without lower they count words and pairs; with it (the sketches of all shorter n-grams) those of length `longest`
+    whose parts may be frequent. A worker adds up its shard and passes on the blocks that it touched; blocks are added up where the shuffle puts them, one
+    after another.
     """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    bits = min(max((size // BYTES_A_CELL).bit_length(), LEAST_CELLS.bit_length() - 1), most_cells.bit_length() - 1)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = None
@@ -84,9 +110,12 @@ def sketch(docs: DataFrame, longest: int, most_cells: int = MOST_CELLS) -> np.nd
             cells = np.zeros(1 << bits, dtype=np.uint8) if cells is None else cells
             for lang, own in _by_lang(part, texts):
                 _, ids, known = word_ids(own)
-                for _, _, h in gram_hashes(lang, ids, known, longest):
-                    at, n = np.unique((h >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
-                    cells[at] = np.minimum(cells[at] + n, 255)
+                grams = gram_hashes(lang, ids, known, longest) if lower is None else frequent(lang, ids, known, lower.value, least, longest)
+                for n, _, h in grams:
+                    if lower is None or n == longest:
+                        for at in cells_of(h, bits):
+                            at, times = np.unique(at.astype(np.uint32), return_counts=True)
+                            cells[at] = np.minimum(cells[at] + times, 255)
         if cells is not None:
             blocks = cells.reshape(-1, min(_CELLS, len(cells)))
             for k in np.flatnonzero(blocks.any(axis=1)):
@@ -103,7 +132,6 @@ def sketch(docs: DataFrame, longest: int, most_cells: int = MOST_CELLS) -> np.nd
             yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([cells.tobytes()], type=pa.binary())], names=["block", "cells"])
         tidy()
 
-    small_batches(spark)
     kind = "block int, cells binary"
     found = docs.mapInArrow(shard, kind).repartition("block").mapInArrow(add, kind).toArrow()
     out = np.zeros(1 << bits, dtype=np.uint8)
@@ -113,6 +141,24 @@ def sketch(docs: DataFrame, longest: int, most_cells: int = MOST_CELLS) -> np.nd
     return out
 
 
+def sketches(docs: DataFrame, least: int, longest: int, most_cells: int = MOST_CELLS) -> Broadcast:
+    """A sketch of words and pairs, and one of each greater length up to longest: each pass leaves out what the last ruled out.
+
+    A sketch's size follows the texts' size up to most_cells. Where the corpus outgrows that, more n-grams pass than are
+    frequent: that costs time and shuffle, up to those of a plain count, not truth.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bits = min(max((size // BYTES_A_CELL).bit_length(), LEAST_CELLS.bit_length() - 1), most_cells.bit_length() - 1)
+    shared = spark.sparkContext.broadcast([sketch(docs, None, least, min(longest, 2), bits)])
+    for n in range(3, longest + 1):
+        made = [*shared.value, sketch(docs, shared, least, n, bits)]
+        shared.destroy()
+        shared = spark.sparkContext.broadcast(made)
+    return shared
+
+
 def candidates(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """One start of each distinct n-gram among those that begin at starts (told apart by their words, not by hashes)."""
     code = np.zeros(len(starts), dtype=np.int64)
@@ -138,8 +184,6 @@ def counted(docs: DataFrame, bound: Broadcast, least: int, longest: int) -> Data
     """lang, phrase, n: exact counts of the phrases of up to longest words that occur `least` times, and of all words ("")."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = bound.value
-        bits, enough = len(cells).bit_length() - 1, min(least, 255)
         held: dict[str, Counter] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -154,8 +198,7 @@ def counted(docs: DataFrame, bound: Broadcast, least: int, longest: int) -> Data
             for lang, own in _by_lang(part, texts):
                 words, ids, known = word_ids(own)
                 phrases: list[str] = []
-                for n, starts, h in gram_hashes(lang, ids, known, longest):
-                    starts = starts[cells[(h >> np.uint64(64 - bits)).astype(np.int64)] >= enough]
+                for n, starts, _ in frequent(lang, ids, known, bound.value, least, longest):
                     if len(starts):
                         phrases += [b" ".join(words[s : s + n]).decode("utf-8", "surrogatepass") for s in candidates(ids, starts, n)]
                 counts = held.setdefault(lang, Counter())
@@ -207,9 +250,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     count, then to the phrase in byte order. Repeated rows count each. A language without candidates, or an empty table,
     has no rows. top None: all candidates. Counts may have up to 15 digits.
     """
-    spark = docs.sparkSession
     docs = docs.select(text_of().alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    bound = spark.sparkContext.broadcast(sketch(docs, longest, most_cells))
+    bound = sketches(docs, least, longest, most_cells)
     counts = cut(counted(docs, bound, least, longest))
     bound.destroy()
     kept = scored(counts).join(longest_inside(counts), ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True)))

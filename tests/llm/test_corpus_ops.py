@@ -66,15 +66,25 @@ def test_collocations_of_other_lengths(spark):
         assert got == brute_collocations(rows, least, longest, top)
 
 
-def test_sketch_never_undercounts(spark, docs):
-    bound = collocations.sketch(docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")), 2, 1 << 12)
-    bits = len(bound).bit_length() - 1
-    true = Counter()
-    for r in docs.collect():
-        words, ids, known = collocations.word_ids([r.text or ""])
-        for n, starts, h in collocations.gram_hashes(r.lang or "und", ids, known, 2):
-            true.update(zip((" ".join(w.decode() for w in words[s : s + n]) for s in starts), (h >> np.uint64(64 - bits)).tolist()))
-    assert len(bound) <= 1 << 16 and all(bound[cell] >= min(n, 255) for (_, cell), n in true.items())
+def test_sketches_never_undercount(spark, docs, monkeypatch):
+    """No n-gram that is frequent is ruled out, whatever the size of the sketches, and few others pass large ones."""
+    rows = docs.collect()
+    df = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    passed = {}
+    for most_cells in (1 << 10, 1 << 22):
+        monkeypatch.setattr(collocations, "LEAST_CELLS", min(most_cells, 1 << 16))
+        bound = collocations.sketches(df, 10, 3, most_cells).value
+        assert len(bound) == 2 and all(len(b) <= most_cells for b in bound)
+        true, kept = Counter(), Counter()
+        for r in rows:
+            words, ids, known = collocations.word_ids([r.text or ""])
+            for n, starts, _ in collocations.gram_hashes(r.lang or "und", ids, known, 3):
+                true.update((r.lang, b" ".join(words[s : s + n])) for s in starts)
+            for n, starts, _ in collocations.frequent(r.lang or "und", ids, known, bound, 10, 3):
+                kept.update((r.lang, b" ".join(words[s : s + n])) for s in starts)
+        assert all(kept[k] == n for k, n in true.items() if n >= 10)
+        passed[most_cells] = len(kept)
+    assert passed[1 << 22] < 2 * len([n for n in true.values() if n >= 10]) < passed[1 << 10]
 
 
 def test_matches_overlap():
