@@ -90,17 +90,46 @@ def merge_across_pages(tables: DataFrame) -> DataFrame:
     return runs.withColumn("merge_into", F.when(place % 2 == 1, F.col("__before"))).drop("__fits", "__run", "__before")
 
 
-def page_lines(paragraphs: DataFrame, markdown: DataFrame, most_lines: int = 201) -> DataFrame:
+def _grams(text: Column, size: int, step: int = 1) -> Column:
+    """Pieces of so many characters that begin at every step-th character; none for shorter texts."""
+    return F.when(F.char_length(text) >= size, F.transform(F.sequence(F.lit(1), F.char_length(text) - (size - 1), F.lit(step)), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(short: DataFrame, long: DataFrame, scope: str, size: int = 5) -> DataFrame:
+    """short (scope, s) and long (scope, t), each row once -> scope, s, t wherever t contains s within a scope.
+
+    All pieces of t are listed. Pieces of s side by side must all be among its scope's, or no t can hold it; of these the
+    one that the fewest t hold is the key that s is joined by, and what meets there is verified. An s of fewer than
+    `size` characters is itself such a piece of t. Texts without characters match nothing.
+    """
+    t = long.where("t <> ''").select(scope, "t", F.explode(F.array_distinct(_grams(F.col("t"), size))).alias("gram"))
+    held = t.groupBy(scope, "gram").agg(F.count("*").alias("n"))
+    parts = short.where(F.char_length("s") >= size).select(scope, "s", F.explode(F.array_distinct(_grams(F.col("s"), size, size))).alias("gram"))
+    rare = parts.join(held, [scope, "gram"], "left").groupBy(scope, "s").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("missing"))
+    met = rare.where("missing = 0").select(scope, "s", "gram").join(t, [scope, "gram"]).where(F.contains("t", "s")).select(scope, "s", "t")
+    few = short.where((F.char_length("s") < size) & (F.col("s") != "")).select(scope, "s")
+    lengths = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda n: F.when(F.char_length("t") >= n, F.transform(F.sequence(F.lit(1), F.char_length("t") - n + 1), lambda i: F.substring("t", i, n))).otherwise(F.array().cast("array<string>"))))
+    pieces = long.join(few.select(scope).distinct(), scope, "left_semi").select(scope, "t", F.explode(F.array_distinct(lengths)).alias("s"))
+    return met.unionByName(pieces.join(few, [scope, "s"]).select(scope, "s", "t"))
+
+
+def page_lines(paragraphs: DataFrame, markdown: DataFrame, most_lines: int | None = None) -> DataFrame:
     """Where paragraphs (doc_id, page, text) stand in markdown (doc_id, pos, content): doc_id, page, text, md_line.
 
     A line fits if, without white space and dots, one contains the other; the longest such line wins, then the first.
-    Paragraphs under ten characters after that, and lines beyond most_lines, are not looked at.
+    Paragraphs under ten characters after that are not looked at; with most_lines, no lines from that place on either.
+    Equal lines of a document are one line, equal paragraphs one paragraph, and pairs come from shared pieces: a document of many
+    lines does not meet itself whole.
     """
-    p = paragraphs.withColumn("__p", T.page_text(F.col("text"))).where(F.char_length("__p") >= 10)
-    m = markdown.where(F.col("pos") < most_lines).select("doc_id", "pos", T.page_text(F.col("content")).alias("__m")).where("__m <> ''")
-    met = p.join(m, "doc_id").where(F.contains("__p", "__m") | F.contains("__m", "__p"))
-    best = F.max_by("pos", F.struct(F.char_length("__m"), -F.col("pos")))
-    return met.groupBy("doc_id", "page", "text").agg((best + 1).alias("md_line"))
+    p = paragraphs.select("doc_id", "page", "text", T.page_text(F.col("text")).alias("p")).where(F.char_length("p") >= 10).distinct()
+    within = markdown if most_lines is None else markdown.where(F.col("pos") < most_lines)
+    m = within.select("doc_id", "pos", T.page_text(F.col("content")).alias("m")).where("m <> ''").groupBy("doc_id", "m").agg(F.min("pos").alias("pos"))
+    texts = p.select("doc_id", "p").distinct()
+    inside = contained(m.select("doc_id", F.col("m").alias("s")), texts.withColumnRenamed("p", "t"), "doc_id").select("doc_id", F.col("t").alias("p"), F.col("s").alias("m"))
+    around = contained(texts.withColumnRenamed("p", "s"), m.select("doc_id", F.col("m").alias("t")), "doc_id").select("doc_id", F.col("s").alias("p"), F.col("t").alias("m"))
+    met = inside.unionByName(around).join(m, ["doc_id", "m"])
+    best = met.groupBy("doc_id", "p").agg(F.max_by("pos", F.struct(F.char_length("m"), -F.col("pos"))).alias("pos"))
+    return p.join(best, ["doc_id", "p"]).select("doc_id", "page", "text", (F.col("pos") + 1).alias("md_line"))
 
 
 def page_hashes(rows: DataFrame) -> DataFrame:

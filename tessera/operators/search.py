@@ -68,10 +68,16 @@ def retrieval(docs: DataFrame, query: str) -> DataFrame:
 
 
 def keyword_context(lines: DataFrame, keywords: list[str], around: int = 2) -> DataFrame:
-    """lines (doc_id, pos, content) that hold a keyword: the first in the keywords' order, and the lines around."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-around, around)
-    near = lines.withColumn("context", F.array_join(F.collect_list("content").over(w), "\n"))
-    return near.withColumn("keyword", T.first_of(F.col("content"), keywords)).where("keyword IS NOT NULL").select("doc_id", (F.col("pos") + 1).alias("line_number"), "keyword", "context")
+    """lines (doc_id, pos, content) that hold a keyword: the first in the keywords' order, and the lines around.
+
+    Only lines with a keyword, and their neighbours, are carried on: each goes to the places whose context it is in.
+    """
+    marked = lines.select("doc_id", "pos", "content", T.first_of(F.col("content"), keywords).alias("keyword"))
+    hits = marked.where("keyword IS NOT NULL").select("doc_id", F.col("pos").alias("at"), "keyword")
+    wanted = hits.select("doc_id", "at", "keyword", F.explode(F.sequence(F.col("at") - around, F.col("at") + around)).alias("pos"))
+    near = wanted.join(lines.select("doc_id", "pos", "content"), ["doc_id", "pos"])
+    context = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n")
+    return near.groupBy("doc_id", "at").agg(F.first("keyword").alias("keyword"), context.alias("context")).select("doc_id", (F.col("at") + 1).alias("line_number"), "keyword", "context")
 
 
 def summary_first(summary: DataFrame, detail: DataFrame, key: str) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import elements as E
+from tessera.operators import postings as P
 from tessera.operators import search as S
 from tessera.plans.common import LINES, TITLED, documents, table, titled
+from tessera.session import shared_folder
 
 FULLTEXT = "the and attion to"
 _BIGRAMS = ", ".join(f"'{b}'" for b in T.bigram_list(FULLTEXT))
@@ -24,6 +26,30 @@ def fulltext_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fulltext(E.elements(S.narrowed(docs, "src1", "en")), FULLTEXT, top_k=25, max_chars=40)
 
 
+def fulltext_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search from a persistent index of the documents."""
+    root = shared_folder(spark)
+    P.append(E.elements(documents(spark, sf_dir)), root)
+    return P.search(spark, root, FULLTEXT)
+
+
+def fulltext_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each language added to an index one after another; a search within one kind of source."""
+    root, docs = shared_folder(spark), documents(spark, sf_dir)
+    elements = E.elements(docs, "lang")
+    for lang in sorted(r["lang"] for r in docs.where("lang IS NOT NULL").select("lang").distinct().collect()):
+        P.append(elements.where(F.col("lang") == lang), root)
+    P.append(elements.where("lang IS NULL"), root)
+    return P.search(spark, root, FULLTEXT, 25, 40, docs.where(F.col("source").contains("src1")).select("doc_id"))
+
+
+def bigram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines hold each bigram, from the index."""
+    root = shared_folder(spark)
+    P.append(E.elements(documents(spark, sf_dir)), root)
+    return P.frequencies(spark, root)
+
+
 def _fulltext_sql(where: str, top_k: int, chars: int) -> str:
     return f"""
 WITH {LINES}, q AS (SELECT unnest([{_BIGRAMS}]) AS b),
@@ -135,7 +161,7 @@ def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.merge_across_pages(tables.withColumn("confident", F.col("s") == "O")).select("doc_id", "pos", "merge_into")
 
 
-QUERIES = {f.__name__: f for f in (fulltext_bigram, fulltext_scoped, metadata_score, retrieval_rank, keyword_context, keyword_df, element_counters, running_index, section_index, section_path, section_totals, language_detect, page_classify, page_hash, paragraph_lines, table_merge)}
+QUERIES = {f.__name__: f for f in (fulltext_bigram, fulltext_scoped, fulltext_index, fulltext_append, bigram_frequencies, metadata_score, retrieval_rank, keyword_context, keyword_df, element_counters, running_index, section_index, section_path, section_totals, language_detect, page_classify, page_hash, paragraph_lines, table_merge)}
 
 _SECTIONS = f"""{_MARKDOWN}, ml AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM m),
 mk AS (SELECT *, length(regexp_extract(content, '^(#{{1,4}})\\s+(.+)$', 1)) AS mark, trim(regexp_extract(content, '^(#{{1,4}})\\s+(.+)$', 2)) AS title FROM ml),
@@ -146,6 +172,10 @@ sec AS (SELECT doc_id, pos + 1 AS line, CASE WHEN is_full THEN mark ELSE 4 END A
 
 SQL = {
     "fulltext_bigram": _fulltext_sql("true", 10, 300),
+    "fulltext_index": _fulltext_sql("true", 10, 300),
+    "fulltext_append": _fulltext_sql("contains(source, 'src1')", 25, 40),
+    "bigram_frequencies": f"""WITH {LINES}, s AS (SELECT row_number() OVER () AS r, regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM e), i AS (SELECT r, k, unnest(generate_series(1, length(k) - 1)) AS i FROM s),
+b AS (SELECT DISTINCT r, substring(k, i, 2) AS bigram FROM i) SELECT bigram, count(*) AS elements FROM b GROUP BY 1""",
     "fulltext_scoped": _fulltext_sql("contains(source, 'src1') AND lang = 'en'", 25, 40),
     "metadata_score": f"""WITH {TITLED}, s AS (SELECT id, title, CASE WHEN starts_with(lower(title), 'the') THEN 4 WHEN contains(lower(title), 'the') THEN 3 ELSE 0 END
   + 2 * len(list_filter(tags, lambda x: contains(lower(x), 'the'))) + CASE WHEN contains(lower(subdir), 'the') THEN 1 ELSE 0 END AS score FROM t)
@@ -176,7 +206,7 @@ SELECT doc_id, count(*) FILTER (WHERE chars > 50) AS digital, count(*) FILTER (W
 SELECT doc_id, max(CASE WHEN page = 1 THEN h END) AS page1, max(CASE WHEN page = 2 THEN h END) AS page2 FROM p GROUP BY doc_id""",
     "paragraph_lines": f"""WITH {_MARKDOWN}, ml AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM m),
 md AS (SELECT doc_id, pos, content, regexp_replace(content, '[\\s·…．,，.]', '', 'g') AS k FROM ml WHERE content <> ''), pg AS (SELECT doc_id, pos + 1 AS page, content AS text, regexp_replace(content, '[\\s·…．,，.]', '', 'g') AS k FROM md WHERE length(content) >= 20),
-j AS (SELECT pg.doc_id, pg.page, pg.text, md.pos, row_number() OVER (PARTITION BY pg.doc_id, pg.page, pg.text ORDER BY length(md.k) DESC, md.pos) AS n FROM pg JOIN md ON pg.doc_id = md.doc_id AND md.pos < 201 AND md.k <> '' AND (contains(pg.k, md.k) OR contains(md.k, pg.k)) WHERE length(pg.k) >= 10)
+j AS (SELECT pg.doc_id, pg.page, pg.text, md.pos, row_number() OVER (PARTITION BY pg.doc_id, pg.page, pg.text ORDER BY length(md.k) DESC, md.pos) AS n FROM pg JOIN md ON pg.doc_id = md.doc_id AND md.k <> '' AND (contains(pg.k, md.k) OR contains(md.k, pg.k)) WHERE length(pg.k) >= 10)
 SELECT doc_id, page, text, CAST(pos + 1 AS INTEGER) AS md_line FROM j WHERE n = 1""",
     "table_merge": """WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, CAST(max(floor(l_quantity) % 6) AS INTEGER) AS columns, max(l_returnflag) AS head, max(l_linestatus) = 'O' AS ok FROM lineitem GROUP BY 1, 2),
 f AS (SELECT *, CASE WHEN pos = lag(pos) OVER w + 1 AND ok AND lag(ok) OVER w AND (abs(columns - lag(columns) OVER w) <= 2 OR head = lag(head) OVER w) THEN 1 ELSE 0 END AS fits, lag(pos) OVER w AS before FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -44,6 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{context.getCheckpointDir()}/tessera-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the cluster's folder (our own only where none is set): lineage ends, lost executors cost nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package (once a context), for functions that run in their Python workers.
 

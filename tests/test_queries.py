@@ -41,7 +41,7 @@ def test_paragraph_lines(spark):
     want = set()
     for doc, rows in lines.items():
         for p in rows:
-            fits = [m for m in rows if m.pos < 201 and m.k and (m.k in p.k or p.k in m.k)]
+            fits = [m for m in rows if m.k and (m.k in p.k or p.k in m.k)]
             if len(p.content) >= 20 and len(p.k) >= 10 and fits:
                 want.add((doc, p.pos + 1, p.content, max(fits, key=lambda m: (len(m.k), -m.pos)).pos + 1))
     got = QUERIES["paragraph_lines"](spark, SMALL).collect()
