@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from tessera.operators import index as I
 from tessera.plans.common import RATINGS, documents, ratings, table
 from tessera.plans.graph_queries import _D, _H, _T, _edges, _membership
 from tessera.session import shared_folder
-from tessera.sources import files, sinks
+from tessera.sources import buckets, files, sinks, snapshots
 from tessera.streaming import incremental as S
+from tessera.streaming import stateful
 
 
 def partition_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,19 +136,18 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as files that appear in a folder twice, the second time some with other contents; the state that is noted."""
-    path = shared_folder(spark)
+    """Regions as files that appear three times, the last time some with other contents; half of the first uploads fail."""
+    path, key = shared_folder(spark), F.col("r_regionkey")
     regions = table(spark, sf_dir, "region")
-    synced = f"{path}/synced"
-
-    def sink(due: DataFrame) -> None:
-        due.select("md5", "reason").write.mode("append").parquet(synced)
-
-    for turn in (0, 1):
-        rows = regions.where(F.col("r_regionkey") % 2 == 0) if turn else regions
-        rows.select(F.concat("r_name", F.lit(f" {turn}")).alias("value"), F.col("r_regionkey").alias("key")).repartition("key").write.mode("append").partitionBy("key").text(f"{path}/files")
-        S.run_available(S.new_files(spark, f"{path}/files", "*.txt"), S.sync_step(f"{path}/state", sink), f"{path}/checkpoint")
-    return spark.read.parquet(synced).select("md5", "reason")
+    told = regions.select(F.concat(F.lit("name="), "r_name").alias("filename"), F.lit(0).alias("at"), F.when(key % 2 == 0, "completed").otherwise("failed").alias("status"))
+    outcomes = [told.select(F.lit("name=unknown").alias("filename"), "at", "status").limit(1), told, told.limit(0)]
+    for turn, of_turn in enumerate(outcomes):
+        content = F.concat("r_name", F.when((key >= 2) & F.lit(turn == 2), " 1").otherwise(" 0"))
+        regions.select(content.alias("value"), F.col("r_name").alias("name")).repartition("name").write.mode("append").partitionBy("name").text(f"{path}/files")
+        of_turn.write.mode("append").parquet(f"{path}/outcomes")
+        found = stateful.synced(S.new_files(spark, f"{path}/files", "*.txt", by_folder=True), spark.readStream.schema(told.schema).parquet(f"{path}/outcomes"))
+        found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out").select("filename", "md5", "reason")
 
 
 def score_due(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +158,64 @@ def score_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.due_for_score(days, scored, 3).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
-QUERIES = {f.__name__: f for f in (partition_folders, file_listing, json_index, disk_recovery, fresh_outputs, newest_files, session_logs, tool_top, worklist, index_report, extraction_outputs, ratings_append, graph_export, graph_report, stream_daily, stream_sync, score_due)}
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as an index in 256 buckets; the events of users with such keys rewrite the buckets that they fall into."""
+    path = f"{shared_folder(spark)}/index"
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("at"))
+    buckets.create(orders, path, "id", "at", 256)
+    updates = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("value").alias("price"), F.col("event_id").alias("at"))
+    buckets.upsert(updates, path, "id", "at", 256)
+    return buckets.read(spark, path).select("id", "status", "price", F.col("batch").cast("int").alias("batch"), "place")
+
+
+def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels published twice, more the second time; a later write breaks off; read by way of a root that has nothing."""
+    root, labels = shared_folder(spark), table(spark, sf_dir, "labels")
+    snapshots.publish(labels.where("quality = 0"), root)
+    snapshots.publish(labels, root)
+    labels.where("toxic = 1").write.parquet(f"{root}/data/00000003-broken")
+    return snapshots.read(spark, f"{root}/none", fallbacks=(f"{root}/other", root)).groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers published by region, each version with the regions before it, two of them kept."""
+    root = shared_folder(spark)
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")), "c_nationkey")  # 25 nations
+    for region in range(4):
+        snapshots.publish(rows.where(F.col("n_regionkey") <= region).select("c_custkey"), root, keep=2)
+    return snapshots.manifest(spark, root).select("version", "label", "rows", "expired")
+
+
+def _in_turns(spark: SparkSession, turns: list[DataFrame], path: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream makes of rows that come in turns; it ends after each turn and goes on from its checkpoint."""
+    for rows in turns:
+        rows.write.mode("append").parquet(f"{path}/in")
+        out = made(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def stream_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files that are found (with one of two contents) and outcomes of their uploads, in three turns."""
+    e = table(spark, sf_dir, "events")
+    kind, last = F.col("event_type"), e.agg(F.max("event_id")).head()[0] or 0
+    rows = e.select(F.col("user_id").cast("string").alias("filename"), F.col("event_id").alias("at"), F.when(~kind.isin("error", "purchase"), F.md5((F.floor("value") % 2).cast("string"))).alias("md5"), F.when(kind == "error", "failed").when(kind == "purchase", "completed").alias("status"))
+    turns = [rows.where(F.floor(F.col("at") * 3 / (last + 1)) == k) for k in range(3)]
+    return _in_turns(spark, turns, shared_folder(spark), stateful.tracked).withColumnRenamed("at", "seq")
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who wrote three messages before 17:20 and was not scored (by a purchase); rows come up to 90 minutes late, in three turns."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = e.agg(F.min("ts").cast("long"), F.max("ts").cast("long")).head()
+    came = F.col("ts").cast("long") + F.col("event_id") % 90 * 60
+    rows = e.select("user_id", "ts", (F.col("event_type") == "purchase").alias("scored"), F.floor((came - first) * 3 / (last - first + 5401)).alias("turn"))
+    turns = [rows.where(F.col("turn") == k).drop("turn") for k in range(3)]
+    found = _in_turns(spark, turns, shared_folder(spark), lambda m: stateful.scores_due(m, "2 hours", 3))
+    return found.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
+QUERIES = {f.__name__: f for f in (partition_folders, file_listing, json_index, disk_recovery, fresh_outputs, newest_files, session_logs, tool_top, worklist, index_report, extraction_outputs, ratings_append, graph_export, graph_report, stream_daily, stream_sync, score_due, upsert_buckets, snapshot_latest, snapshot_versions, stream_tracked, stream_scores)}
 
 SQL = {
     "partition_folders": "SELECT source, lang, count(*) AS documents, sum(n_chars) AS chars FROM documents GROUP BY 1, 2",
@@ -178,6 +237,20 @@ x AS (SELECT source AS a, target AS b, dx.degree + dy.degree AS score FROM g JOI
 SELECT 0 AS section, '# Graph: ' || (SELECT count(*) FROM v) || ' nodes, ' || (SELECT count(*) FROM g) || ' edges' AS line UNION ALL (SELECT 1, '- ' || node || ': ' || degree FROM d ORDER BY degree DESC, node LIMIT 5)
 UNION ALL SELECT 2, printf('- community %s: %d nodes, cohesion %.4f', community, size, round(2.0::DOUBLE * coalesce(e, 0) / (size * (size - 1)), 4)) FROM n LEFT JOIN i USING (community) UNION ALL SELECT 3, '- ' || a || ' - ' || b || ' (' || score || ')' FROM x""",
     "stream_daily": """SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING CAST(min(CAST(ts AS DATE)) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
-    "stream_sync": "SELECT md5(r_name || ' 0' || chr(10)) AS md5, 'new' AS reason FROM region UNION ALL SELECT md5(r_name || ' 1' || chr(10)), 'new' FROM region WHERE r_regionkey % 2 = 0",
+    "stream_sync": """SELECT 'name=' || r_name AS filename, md5(r_name || CASE WHEN t = 2 AND r_regionkey >= 2 THEN ' 1' ELSE ' 0' END || chr(10)) AS md5,
+  CASE WHEN t = 0 THEN 'new' WHEN t = 2 AND r_regionkey >= 2 THEN 'changed' WHEN r_regionkey % 2 = 0 THEN 'unchanged' WHEN t = 1 THEN 'retry' ELSE 'waiting' END AS reason FROM region, (SELECT unnest([0, 1, 2]) AS t)""",
     "score_due": "WITH d AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, bool_or(event_type = 'purchase') AS scored FROM events GROUP BY 1, 2) SELECT user_id, day, n FROM d WHERE n >= 3 AND NOT scored",
+    "upsert_buckets": """WITH u AS (SELECT user_id AS id, arg_max(event_type, event_id) AS status, arg_max(value, event_id) AS price, min(event_id) AS first FROM events GROUP BY 1)
+SELECT coalesce(u.id, o.o_orderkey) AS id, CASE WHEN u.id IS NOT NULL THEN u.status ELSE o.o_orderstatus END AS status, CASE WHEN u.id IS NOT NULL THEN u.price ELSE o.o_totalprice END AS price,
+  CASE WHEN o.o_orderkey IS NULL THEN 1 ELSE 0 END AS batch, coalesce(o.o_orderkey, u.first) AS place FROM orders o FULL JOIN u ON o.o_orderkey = u.id""",
+    "snapshot_latest": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2",
+    "snapshot_versions": """WITH c AS (SELECT n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey), v AS (SELECT unnest([1, 2, 3, 4]) AS v)
+SELECT CAST(v AS BIGINT) AS version, '1.' || (v - 1) AS label, (SELECT count(*) FROM c WHERE r < v) AS rows, v <= 2 AS expired FROM v""",
+    "stream_tracked": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS filename, event_id AS seq, event_type IN ('error', 'purchase') AS told, event_type = 'purchase' AS good, md5(CAST(CAST(floor(value) AS BIGINT) % 2 AS VARCHAR)) AS md5 FROM events),
+f AS (SELECT filename, seq, md5, lag(md5) OVER w AS before, lag(seq) OVER w AS last_found FROM e WHERE NOT told WINDOW w AS (PARTITION BY filename ORDER BY seq)),
+c AS (SELECT *, max(CASE WHEN before IS NULL OR before <> md5 THEN seq END) OVER (PARTITION BY filename ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_change FROM f),
+o AS (SELECT c.*, x.seq AS told_at, x.good FROM c ASOF LEFT JOIN (SELECT * FROM e WHERE told) x ON c.filename = x.filename AND c.seq > x.seq)
+SELECT filename, seq, md5, CASE WHEN before IS NULL THEN 'new' WHEN before <> md5 THEN 'changed' WHEN told_at IS NULL OR told_at < last_change THEN 'waiting' WHEN good THEN 'unchanged' WHEN last_found < told_at THEN 'retry' ELSE 'waiting' END AS reason FROM o""",
+    "stream_scores": """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type <> 'purchase') AS n, bool_or(event_type = 'purchase') AS scored FROM events WHERE CAST(ts AS TIME) < TIME '17:20' GROUP BY 1, 2)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n FROM d WHERE n >= 3 AND NOT scored AND day + INTERVAL '17 hours 20 minutes' <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
 }

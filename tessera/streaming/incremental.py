@@ -1,4 +1,4 @@
-"""Incremental processing with Structured Streaming: file events, keyed state, daily windows."""
+"""Incremental processing with Structured Streaming: file events and daily windows (state by key: stateful)."""
 
 from __future__ import annotations
 
@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.index import changed
+#: Suffixes of files that are still being written or fetched.
+UNFINISHED = ("tmp", "crdownload")
 
 
-def new_files(spark: SparkSession, root: str, glob: str = "*", per_batch: int = 1000) -> DataFrame:
-    """A stream of files as they appear under root: filename, md5, modified, content. Each file is seen once."""
+def new_files(spark: SparkSession, root: str, glob: str = "*", per_batch: int = 1000, by_folder: bool = False) -> DataFrame:
+    """A stream of files as they appear under root: filename, md5, modified, content. Each file is seen once.
+
+    Files with a suffix of UNFINISHED are left out. by_folder: a file goes by its folder's name, for writers that name their files anew
+    each time, as Spark does.
+    """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).load(root)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.md5("content").alias("md5"), F.col("modificationTime").alias("modified"), "content")
+    done = files.where(~F.lower("path").rlike(rf"\.({'|'.join(UNFINISHED)})$"))
+    return done.select(F.element_at(F.split("path", "/"), -2 if by_folder else -1).alias("filename"), F.md5("content").alias("md5"), F.col("modificationTime").alias("modified"), "content")
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -24,33 +30,6 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     return query
 
 
-def sync_step(state: str, sink: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step: files that the state does not hold as completed with their digest go to sink, and are noted.
-
-    state is a folder of Parquet, a subfolder a batch: a batch that runs again overwrites its own, so a restart leaves no
-    doubles. The state of a file is that of its last batch.
-    """
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        due = changed(batch.drop("content"), read_state(spark, state, number)).withColumn("status", F.lit("completed"))
-        sink(due)
-        due.select("filename", "md5", "status").write.mode("overwrite").parquet(f"{state}/batch={number}")
-
-    return step
-
-
-def read_state(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
-    """filename, md5, status of the last batch (before the given one) that noted each file."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(state)
-    empty = spark.createDataFrame([], "filename string, md5 string, status string")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return empty
-    rows = spark.read.schema("filename string, md5 string, status string, batch int").parquet(state)
-    rows = rows.where(F.col("batch") < before) if before is not None else rows
-    return rows.groupBy("filename").agg(F.max_by(F.struct("md5", "status"), "batch").alias("s")).select("filename", "s.*")
-
-
 def daily(events: DataFrame, late: str | None = "1 day", start: str = "0 seconds") -> DataFrame:
     """events (user_id, ts, others), a stream or not -> day, user_id, n, first: tumbling days that begin at start.
 

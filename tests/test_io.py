@@ -87,26 +87,6 @@ def test_sinks(spark, tmp_path):
     assert lines[0] == "# Graph: 4 nodes, 2 edges" and "- b: 2" in lines
 
 
-def test_stream_of_files(spark, tmp_path):
-    root, state, check, seen = f"{tmp_path}/in", f"{tmp_path}/state", f"{tmp_path}/check", []
-
-    def sink(df):
-        seen.append(sorted((r.filename, r.reason) for r in df.collect()))
-
-    def run():
-        inc.run_available(inc.new_files(spark, root, "*.md"), inc.sync_step(state, sink), check)
-
-    write(f"{root}/a.md", "1")
-    write(f"{root}/b.md", "1")
-    run()
-    write(f"{root}/sub/a.md", "2")
-    write(f"{root}/sub/b.md", "1")
-    run()
-    run()
-    assert seen == [[("a.md", "new"), ("b.md", "new")], [("a.md", "changed")]]
-    assert {r.filename: r.status for r in inc.read_state(spark, state).collect()} == {"a.md": "completed", "b.md": "completed"}
-
-
 def test_stream_equals_batch(spark, tmp_path):
     from conftest import SMALL
 
