@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import shared_folder
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's folder (our own only where none is set)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+from tessera.session import cut as _cut
 
 
 def tags(rows: DataFrame, words: list[tuple[str, str]]) -> DataFrame:
@@ -110,19 +104,29 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
-def reach(edges: DataFrame, start: str, most: int = 6) -> DataFrame:
-    """node, distance: breadth first from start, at most `most` steps."""
-    links = simple(edges)
+def reach(edges: DataFrame, start: str) -> DataFrame:
+    """node, distance: breadth first from start (distance 0), as far as edges lead; start need not be in the graph.
+
+    Each round meets the front's edges alone, and goes on with the ends that no round has seen: what is written is the
+    front, and the rounds end with it. A start of the nodes' own type is compared as it is.
+    """
+    links = simple(edges).where("a <> b")
     both = _cut(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("distance"))
-    front = seen
-    for step in range(1, most + 1):
-        front = both.join(front, both["a"] == front["node"]).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step))
-        front = _cut(front)
+    front = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("distance"))
+    fronts, step = [front], 0
+    while True:
+        step += 1
+        ends = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+        for past in fronts[-2:]:  # in an undirected graph an edge leads from a front to itself, to the one before or to the next
+            ends = ends.join(past.select("node"), "node", "left_anti")
+        front = _cut(ends.withColumn("distance", F.lit(step)))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
-    return seen
+        fronts.append(front)
+    out = fronts[0]
+    for front in fronts[1:]:
+        out = out.unionByName(front)
+    return out
 
 
 def page_rank(edges: DataFrame, rounds: int = 20, keep: float = 0.85) -> DataFrame:
@@ -142,9 +146,10 @@ def page_rank(edges: DataFrame, rounds: int = 20, keep: float = 0.85) -> DataFra
 
 
 def spread_labels(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, community by label propagation: the label most neighbours have, ties to the least; a fixed number of rounds.
+    """node, community by label propagation: the label most neighbours have, ties to the least.
 
-    Deterministic; a community is a label that nodes ended with.
+    Deterministic; a community is a label that nodes ended with. It ends when no label changes, and after `rounds` in any
+    case: labels that move at the same time can swap for ever, so more rounds need not lead to a stable state.
     """
     links = simple(edges).where("a <> b")
     both = _cut(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -224,8 +229,8 @@ def _moved(links: DataFrame, label: DataFrame, total: float, resolution: float,
     options = near.unionByName(stay).groupBy("a", "community").agg(F.sum("w").alias("w")).join(own, "a").join(weight, "community")
     rest = F.when(F.col("community") == F.col("mine"), F.col("all") - F.col("degree")).otherwise(F.col("all"))
     gain = F.round(F.col("w") - resolution * F.col("degree") * rest / total, 9)
-    # ties stay where they are, then go to the least community
-    best = options.withColumn("gain", gain).groupBy("a").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("mine")).cast("int"), F.lit(0) - F.xxhash64("community"))).alias("to"))
+    # ties stay where they are, then go to the community with the least hash
+    best = options.withColumn("gain", gain).groupBy("a").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("mine")).cast("int"), F.bitwise_not(F.xxhash64("community")))).alias("to"))
     turn = F.pmod(F.xxhash64("node"), F.lit(2)) == half
     return label.join(best, label["node"] == best["a"]).select("node", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community"), "degree")
 
@@ -235,7 +240,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 10, levels:
 
     At each level the nodes move in two alternating halves, drawn by a hash, to the neighbouring community with the
     greatest gain of modularity; the best state of a level is kept, its communities become the nodes of the next. It ends
-    when a level gains less than `least`. Every step is a join and an aggregation over the edges; the state is
+    when a level gains less than `least`, and after `levels` levels of `passes` passes in any case. Every step is a join and an aggregation over the edges; the state is
     checkpointed after each pass. Nodes without an edge to another node are not in the result.
     """
     base = edges.where("source <> target AND source IS NOT NULL AND target IS NOT NULL").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(F.col("weight").cast("double")).alias("w"))

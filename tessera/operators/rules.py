@@ -69,24 +69,26 @@ def manipulated(text: Column, words: list[str]) -> Column:
     return T.any_of(text, words)
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 6) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """path (array of nodes) from start to end with the fewest edges, the least of those; no row if there is none.
 
-    Breadth first: each node keeps one path, the least, so the front is never larger than the graph.
+    Breadth first, however far: each node keeps one path, the least, so the front is never larger than the graph, and
+    the rounds end with the front.
     """
     from tessera.operators.graph import _cut, simple
 
     links = simple(edges).where("a <> b")
     both = _cut(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    seen = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("path"))
-    front = seen
-    for _ in range(most):
-        if not seen.where(F.col("node") == end).isEmpty():
-            break
+    front = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("path"))
+    before = front.select("node")
+    while not front.isEmpty():
+        found = front.where(F.col("node") == end)
+        if not found.isEmpty():
+            return found.select("path")
         grown = both.join(front, both["a"] == front["node"]).select(F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        front = _cut(grown.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
-        seen = _cut(seen.unionByName(front))
-    return seen.where(F.col("node") == end).select("path")
+        ends = grown.groupBy("node").agg(F.min("path").alias("path")).join(front.select("node"), "node", "left_anti").join(before, "node", "left_anti")
+        before, front = front.select("node"), _cut(ends)
+    return front.select("path")
 
 
 def visible(nodes: DataFrame, edges: DataFrame, text: str = "", kind: str | None = None, community: str | None = None) -> tuple[DataFrame, DataFrame]:

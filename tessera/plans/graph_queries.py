@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import elements as E
 from tessera.operators import graph as G
 from tessera.operators import relations as R
 from tessera.operators import rules as X
-from tessera.plans.common import LINES, documents
+from tessera.plans.common import LINES, documents, table
 
 #: A vocabulary of typed labels that occur in the synthetic texts, and pairs with a relation.
 WORDS = [
@@ -91,6 +91,31 @@ def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reach(_edges(spark, sf_dir).where("weight > 2"), "attion")
 
 
+def _order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nodes, each linked to its customer's next by key."""
+    o = table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return o.select("o_custkey", F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(w).alias("target")).where("target IS NOT NULL")
+
+
+def _busiest(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last order of the customer with the most orders."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    row = o.orderBy(F.desc("n"), "o_custkey").head()
+    return row["first"], row["last"]
+
+
+def order_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many steps the orders of the busiest customer are from the first: a chain, as long as there are orders."""
+    return G.reach(_order_chain(spark, sf_dir), _busiest(spark, sf_dir)[0])
+
+
+def order_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path from that customer's first order to the last."""
+    first, last = _busiest(spark, sf_dir)
+    return X.shortest_path(_order_chain(spark, sf_dir), first, last).select(F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"))
+
+
 def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.page_rank(_edges(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
 
@@ -196,7 +221,7 @@ def visible_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.visible(nodes, _edges(spark, sf_dir), "E", "noun")[1].select("source", "target", "weight")
 
 
-QUERIES = {f.__name__: f for f in (entity_tags, entity_edges, cooccurrence, comention, edge_dedup, edge_merge, relation_counts, degree, cohesion, cross_community, community_top, connected_components, graph_reach, page_rank, label_communities, knowledge_gaps, dangling_edges, graph_label_search, typed_pairs, god_nodes, community_names, shortest_path, nodes_by_type, community_types, thin_communities, degree_summary, entities_by_file, explain_node, modularity, louvain, edge_confidence, weak_nodes, bare_nodes, visible_graph)}
+QUERIES = {f.__name__: f for f in (entity_tags, entity_edges, cooccurrence, comention, edge_dedup, edge_merge, relation_counts, degree, cohesion, cross_community, community_top, connected_components, graph_reach, order_reach, order_path, page_rank, label_communities, knowledge_gaps, dangling_edges, graph_label_search, typed_pairs, god_nodes, community_names, shortest_path, nodes_by_type, community_types, thin_communities, degree_summary, entities_by_file, explain_node, modularity, louvain, edge_confidence, weak_nodes, bare_nodes, visible_graph)}
 
 _V = "v(type, label) AS (VALUES " + ", ".join(f"('{t}', '{w}')" for t, w in WORDS) + ")"
 _P = "p(source, target, relation) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in PAIRS) + ")"
@@ -204,6 +229,7 @@ _T = f"{LINES}, {_V}, t AS (SELECT doc_id, pos, type, label, content FROM e JOIN
 _H = "h AS (SELECT DISTINCT doc_id, label FROM t), g AS (SELECT a.label AS source, b.label AS target, count(*) AS weight FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.label < b.label GROUP BY 1, 2)"
 _E = f"{_T}, {_P}, {_H}, x AS (SELECT a.doc_id, source, target, relation FROM p JOIN h a ON a.label = source JOIN h b ON b.label = target AND a.doc_id = b.doc_id)"
 _D = "d AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM g UNION ALL SELECT target FROM g) GROUP BY 1)"
+_BUSY = "busy AS (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, o_custkey LIMIT 1)"
 _STRONG = "s AS (SELECT source AS a, target AS b FROM g WHERE weight > 2 UNION SELECT target, source FROM g WHERE weight > 2)"
 
 SQL = {
@@ -222,7 +248,9 @@ SELECT community, size, coalesce(edge_count, 0) AS edge_count, CASE WHEN size >
 WHERE x.type <> y.type ORDER BY score DESC, a, b LIMIT 20""",
     "community_top": f"WITH {_T}, {_H}, {_D}, r AS (SELECT node, type AS community, degree, CAST(row_number() OVER (PARTITION BY type ORDER BY degree DESC, node) AS INTEGER) AS rank FROM d JOIN v ON label = node) SELECT * FROM r WHERE rank <= 3",
     "connected_components": f"WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, other) AS (SELECT label, label FROM v UNION SELECT c.node, s.b FROM c JOIN s ON s.a = c.other) SELECT node, min(other) AS component FROM c GROUP BY 1",
-    "graph_reach": f"WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, distance) AS (SELECT 'attion', 0 UNION SELECT s.b, c.distance + 1 FROM c JOIN s ON s.a = c.node WHERE c.distance < 6) SELECT node, min(distance) AS distance FROM c GROUP BY 1",
+    "graph_reach": f"WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, distance) AS (SELECT 'attion', 0 UNION SELECT s.b, c.distance + 1 FROM c JOIN s ON s.a = c.node WHERE c.distance < (SELECT count(*) FROM v)) SELECT node, min(distance) AS distance FROM c GROUP BY 1",
+    "order_reach": f"WITH {_BUSY} SELECT o_orderkey AS node, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS distance FROM orders WHERE o_custkey = (SELECT o_custkey FROM busy)",
+    "order_path": f"WITH {_BUSY} SELECT string_agg(o_orderkey, '>' ORDER BY o_orderkey) AS path FROM orders WHERE o_custkey = (SELECT o_custkey FROM busy)",
     "knowledge_gaps": f"WITH {_T}, {_H}, {_STRONG}, k AS (SELECT a AS node, count(*) AS degree FROM s GROUP BY 1) SELECT label AS node, coalesce(degree, 0) AS degree FROM v LEFT JOIN k ON node = label WHERE coalesce(degree, 0) <= 1",
     "dangling_edges": f"WITH {_T}, {_H} SELECT g.* FROM g JOIN v a ON a.label = source AND a.type = 'noun' JOIN v b ON b.label = target AND b.type = 'noun'",
     "typed_pairs": f"WITH {_T}, h AS (SELECT DISTINCT doc_id, type, label FROM t) SELECT a.doc_id, a.label AS source, b.label AS target, 'has_action' AS relation FROM h a JOIN h b ON a.doc_id = b.doc_id WHERE a.type = 'noun' AND b.type = 'verb'",
@@ -238,7 +266,7 @@ SELECT node, community FROM lc WHERE step = 10""",
     "community_names": f"""WITH {_V}, m AS (SELECT label AS node, type AS community, row_number() OVER (PARTITION BY type ORDER BY label) AS n FROM v), w AS (SELECT community, n, 0 AS p, node AS w FROM m WHERE n <= 10 UNION ALL SELECT community, n, 1, community FROM m WHERE n <= 10),
 c AS (SELECT community, w, count(*) AS c, min(n * 10 + p) AS f FROM w WHERE length(w) >= 3 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY c DESC, f) AS k FROM c)
 SELECT community, left(string_agg(w, ' ' ORDER BY k), 40) AS name FROM k WHERE k <= 3 GROUP BY 1""",
-    "shortest_path": f"""WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, distance) AS (SELECT 'attion', 0 UNION SELECT s.b, c.distance + 1 FROM c JOIN s ON s.a = c.node WHERE c.distance < 6), d AS (SELECT node, min(distance) AS distance FROM c GROUP BY 1),
+    "shortest_path": f"""WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, distance) AS (SELECT 'attion', 0 UNION SELECT s.b, c.distance + 1 FROM c JOIN s ON s.a = c.node WHERE c.distance < (SELECT count(*) FROM v)), d AS (SELECT node, min(distance) AS distance FROM c GROUP BY 1),
 p(node, path) AS (SELECT 'attion', ['attion'] UNION ALL SELECT s.b, list_append(p.path, s.b) FROM p JOIN s ON s.a = p.node JOIN d ON d.node = s.b AND d.distance = len(p.path))
 SELECT array_to_string(min(path), '>') AS path FROM p WHERE node = 'thtion' HAVING count(*) > 0""",
     "nodes_by_type": f"WITH {_T}, {_H}, {_D} SELECT type, count(*) AS nodes, round(avg(coalesce(degree, 0)), 4) AS mean_degree FROM v LEFT JOIN d ON node = label GROUP BY 1",
