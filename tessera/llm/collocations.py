@@ -31,7 +31,7 @@ _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else _END if b in b".,;:!?\n\x0b\x0c\
 #: Counters of a sketch (a byte each) at least and at most, bytes of text that there is one for, counters of a block.
 LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, _CELLS = 1 << 16, 1 << 26, 8, 1 << 16
 #: Bytes of text of a slice, phrases of an automaton, phrases that a worker holds before it passes counts on.
-_SLICE, _PHRASES, _HELD = 2_000_000, 150_000, 300_000
+_SLICE, _PHRASES, _HELD = 1_000_000, 60_000, 1_000_000
 #: Parts of a language's candidates that are ranked by themselves first.
 _SALTS = 32
 LEAST, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
@@ -100,8 +100,8 @@ def sketch(docs: DataFrame, lower: Broadcast | None, least: int, longest: int, b
     """2^bits counters that saturate at 255: in either half one of each n-gram's, never less than its count.
 
     Without lower they count words and pairs; with it (the sketches of all shorter n-grams) those of length `longest`
-    whose parts may be frequent. A worker adds up its shard and passes on the blocks that it touched; blocks are added up where the shuffle puts them, one
-    after another.
+    whose parts may be frequent. A worker adds up its shard and passes on the blocks that it touched, no counter above
+    `least`; blocks are added up where the shuffle puts them, one after another. A sum reaches `least` where the count does.
     """
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +118,16 @@ def sketch(docs: DataFrame, lower: Broadcast | None, least: int, longest: int, b
                             cells[at] = np.minimum(cells[at] + times, 255)
         if cells is not None:
             blocks = cells.reshape(-1, min(_CELLS, len(cells)))
-            for k in np.flatnonzero(blocks.any(axis=1)):
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], type=pa.int32()), pa.array([blocks[k].tobytes()], type=pa.binary())], names=["block", "cells"])
+            for k in np.flatnonzero(blocks.any(axis=1)):  # a shard's counts matter up to the threshold alone
+                packed = pa.compress(np.minimum(blocks[k], min(least, 255)).tobytes(), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)], type=pa.int32()), pa.array([packed], type=pa.binary())], names=["block", "cells"])
         tidy()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, cells in zip(batch.column("block").to_pylist(), batch.column("cells")):
-                own = np.frombuffer(cells.as_buffer(), dtype=np.uint8)
+                own = np.frombuffer(pa.decompress(cells.as_buffer(), decompressed_size=min(_CELLS, 1 << bits), codec="zstd"), dtype=np.uint8)
                 total[k] = np.minimum(total[k].astype(np.uint16) + own, 255).astype(np.uint8) if k in total else own.copy()
         for k, cells in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([cells.tobytes()], type=pa.binary())], names=["block", "cells"])
@@ -188,7 +189,7 @@ def counted(docs: DataFrame, bound: Broadcast, least: int, longest: int) -> Data
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
-                phrases = list(counts)
+                phrases = sorted(counts)  # neighbours begin alike, which the shuffle's compression makes use of
                 for at in range(0, len(phrases), 100_000):
                     part = phrases[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pc.cast(pa.array(part), pa.binary()), pa.array([counts[p] for p in part], type=pa.int64())], names=["lang", "phrase", "n"])
@@ -212,7 +213,8 @@ def counted(docs: DataFrame, bound: Broadcast, least: int, longest: int) -> Data
         tidy()
 
     made = docs.mapInArrow(run, "lang string, phrase binary, n long")
-    summed = made.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # phrases of a batch are distinct: a sum before the shuffle would find little to add up, and would undo their order
+    summed = made.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return summed.where((F.col("n") >= least) | (F.octet_length("phrase") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
 
 
