@@ -132,6 +132,32 @@ def page_lines(paragraphs: DataFrame, markdown: DataFrame, most_lines: int | Non
     return p.join(best, ["doc_id", "p"]).select("doc_id", "page", "text", (F.col("pos") + 1).alias("md_line"))
 
 
+def pages_to_recognise(pages: DataFrame, digital: DataFrame) -> DataFrame:
+    """pages (doc_id, page, kind) and their digital elements (doc_id, page, type) -> doc_id, page, part.
+
+    part 1: digital pages with a table, part 2: scanned pages. Digital pages of text alone are not among them.
+    """
+    tables = digital.where("type = 'table'").select("doc_id", "page").distinct()
+    with_table = pages.where("kind = 'digital'").join(tables, ["doc_id", "page"], "left_semi").select("doc_id", "page", F.lit(1).alias("part"))
+    return with_table.unionByName(pages.where("kind = 'scanned'").select("doc_id", "page", F.lit(2).alias("part"))).distinct()
+
+
+def united(pages: DataFrame, digital: DataFrame, recognised: DataFrame) -> DataFrame:
+    """The elements (doc_id, page, pos, type, content) of both origins -> the same with part, origin, place.
+
+    A page that is to be recognised has its recognised elements, or, where recognition gave none, the digital ones;
+    others have the digital ones. place numbers a document's elements: pages of text, then those with tables, then scanned ones, each by page.
+    Elements of pages that are not listed are left out.
+    """
+    columns = ["doc_id", "page", "pos", "type", "content"]
+    need = pages_to_recognise(pages, digital)
+    read = recognised.select(*columns, F.lit("recognised").alias("origin")).join(need.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    plain = digital.select(*columns, F.lit("digital").alias("origin")).join(read.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    listed = pages.select("doc_id", "page").distinct().join(need, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("part", F.lit(0)).alias("part"))
+    order = Window.partitionBy("doc_id").orderBy("part", "page", "pos", "type", "content")
+    return plain.unionByName(read).join(listed, ["doc_id", "page"]).withColumn("place", F.row_number().over(order) - 1)
+
+
 def page_hashes(rows: DataFrame) -> DataFrame:
     """rows (doc_id, page, x0, pos, content) -> doc_id, page1, page2: digests of the first two pages' texts.
 

@@ -93,21 +93,30 @@ def validity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.coalesce(reason, F.lit("ok"))).withColumn("ok", F.col("reason") == "ok")
 
 
+def _first_two(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows of each of keys those with the two least (o_pos, o_id); groups are cut down before they are shuffled."""
+    w = Window.partitionBy(*keys).orderBy("o_pos", "o_id")
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n <= 2").drop("__n")
+
+
 def duplicates(new: DataFrame, index: DataFrame) -> DataFrame:
     """new (id, title, issue_date, page1, page2, pdf_byte) -> id, duplicate_of, by: the first match in index (same, pos).
 
     Both page digests equal (none null) or, where no row matches so, the files' digests equal; in either case titles
-    must be identical or differ little and dates must not both be set and differ. The digests are the join's keys; titles
-    are compared only for pairs that meet there. Null digests match nothing.
+    must be identical or differ little and dates must not both be set and differ. A row is no duplicate of one with its own id. Null digests match nothing.
+    Rows that agree in digests, title and date are one kind: kinds are what meets by digest and whose titles are
+    compared. Of a kind's rows in the index the first two are enough, as one may have the row's own id.
     """
-    other = index.select(*(F.col(c).alias(f"o_{c}") for c in ("id", "pos", "title", "issue_date", "page1", "page2", "pdf_byte")))
 
     def matched(keys: list[str], rank: int) -> DataFrame:
-        on = [F.col(k) == F.col(f"o_{k}") for k in keys]
-        met = new.join(other, on).where(F.col("id") != F.col("o_id"))
-        dates = (F.col("issue_date") == "") | (F.col("o_issue_date") == "") | (F.col("issue_date") == F.col("o_issue_date"))
+        kind = [*keys, "title", "issue_date"]
+        listed = index.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*kind, F.col("id").alias("o_id")).agg(F.min("pos").alias("o_pos"))
+        other = _first_two(listed, kind).select(*keys, F.col("title").alias("o_title"), F.col("issue_date").alias("o_date"), "o_pos", "o_id")
+        met = new.select(*kind).distinct().join(other, keys)
+        dates = (F.col("issue_date") == "") | (F.col("o_date") == "") | (F.col("issue_date") == F.col("o_date"))
         close = met.where(dates).where(T.title_similarity(F.col("title"), F.col("o_title")).isin("identical", "small"))
-        return close.groupBy("id").agg(F.min_by("o_id", F.struct("o_pos", "o_id")).alias("duplicate_of")).withColumn("rank", F.lit(rank))
+        found = new.select("id", *kind).join(_first_two(close.select(*kind, "o_pos", "o_id"), kind), kind).where(F.col("id") != F.col("o_id"))
+        return found.groupBy("id").agg(F.min_by("o_id", F.struct("o_pos", "o_id")).alias("duplicate_of")).withColumn("rank", F.lit(rank))
 
     both = matched(["page1", "page2"], 0).unionByName(matched(["pdf_byte"], 1))
     return both.groupBy("id").agg(F.min_by("duplicate_of", "rank").alias("duplicate_of"), F.when(F.min("rank") == 0, "pages").otherwise("bytes").alias("by"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +93,58 @@ def markdown(rows: Column) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(F.concat(F.slice(lines, F.lit(1), F.lit(1)), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")).otherwise("")
 
 
+#: What a place of the grid holds: a cell's first place, one that it spans to the right, one that it spans down.
+OWN, ACROSS, DOWN = 0, 1, -1
+
+
+def placed(rows: list) -> Iterator[tuple[int, int, str, int, int, int]]:
+    """row, col, text, mark, and the row and col of the cell that each place of a table belongs to.
+
+    A fold over the rows that carries what still spans down. A cell goes to the first column that is free, and over as
+    many free columns as it spans; a row span of -1 continues the cell above in its column, or begins one where none is.
+    Spans end with the table, and at places that are taken from above.
+    """
+    open_: dict[int, tuple[int, int, int]] = {}  # column -> rows left, row and column of the cell
+    above: dict[int, tuple[int, int]] = {}
+    for r, row in enumerate(rows):
+        cells = list(row["cells"]) if row["cells"] is not None else []
+        wide, tall = ([1] * len(cells) if row[k] is None or len(row[k]) != len(cells) else [1 if v is None else v for v in row[k]] for k in ("col_span", "row_span"))
+        here = {c: at for c, (_, *at) in open_.items()}
+        made = [(r, c, "", DOWN, *at) for c, at in here.items()]
+        open_ = {c: (left - 1, *at) for c, (left, *at) in open_.items() if left > 1}
+        col = 0
+        for text, w, t in zip(cells, wide, tall):
+            while col in here:
+                col += 1
+            own = tuple(above[col]) if t == -1 and col in above else (r, col)
+            first = col
+            while col < first + max(w, 1) and col not in here:
+                here[col] = own
+                made.append((r, col, (text or "") if own == (r, col) else "", OWN if own == (r, col) else DOWN if own[0] < r else ACROSS, *own))
+                if t > 1:
+                    open_[col] = (t - 1, *own)
+                col += 1
+        above = {c: tuple(at) for c, at in here.items()}
+        yield from sorted(made)
+
+
+def grid(tables: DataFrame, *keys: str) -> DataFrame:
+    """tables (keys, rows: array of ROW) -> keys, row, col, text, mark, master_row, master_col: every place that a cell covers.
+
+    Each table is folded by itself, in batches of rows that Arrow bounds; a null or empty table, and empty rows, give nothing.
+    """
+    kept = [f for f in tables.schema.fields if f.name in keys]
+    names = [f.name for f in kept] + ["row", "col", "text", "mark", "master_row", "master_col"]
+    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["row int, col int, text string, mark int, master_row int, master_col int"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(*key, *place) for *key, rows in batch.itertuples(index=False) if rows is not None for place in placed(rows)]
+            yield pd.DataFrame(found, columns=names)
+
+    return tables.select(*(f.name for f in kept), "rows").mapInPandas(run, shape)
+
+
 def ocr_confidence(rows: DataFrame) -> DataFrame:
     """rows (done_reason, chars, tokens) with confidence: medium if cut off, low if characters a token are odd, else high."""
     rate = F.col("chars") / F.nullif("tokens", F.lit(0))

@@ -63,12 +63,16 @@ def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document that each document repeats, by digests of text halves and of the whole, and by title."""
+    """The first document that each document repeats: by digests of its first and last 200 characters, which some lack, or of the whole.
+
+    Some titles have an edition mark, some dates differ.
+    """
+    n, title = F.col("doc_id"), F.trim(F.substring_index("text", "\n", 1))
+    page = lambda c: F.when(n % 5 != 0, F.sha2(c, 256))
     docs = documents(spark, sf_dir).select(
-        F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.trim(F.substring_index("text", "\n", 1)).alias("title"), F.lit("").alias("issue_date"),
-        F.sha2(F.left("text", F.lit(200)), 256).alias("page1"), F.sha2(F.right("text", F.lit(200)), 256).alias("page2"), F.sha2("text", 256).alias("pdf_byte"))
-    first = docs.groupBy("page1", "page2", "title").agg(F.min_by(F.struct("id", "pos", "issue_date", "pdf_byte"), "id").alias("r")).select("page1", "page2", "title", "r.*")
-    return I.duplicates(docs.where("title <> ''"), first)
+        n.alias("id"), n.alias("pos"), F.when(n % 2 == 0, F.concat(title, F.lit("（试行）"))).otherwise(title).alias("title"), F.when(n % 3 == 0, "").when(n % 3 == 1, "20240115").otherwise("20240220").alias("issue_date"),
+        page(F.left("text", F.lit(200))).alias("page1"), page(F.right("text", F.lit(200))).alias("page2"), F.sha2("text", 256).alias("pdf_byte"))
+    return I.duplicates(docs, docs)
 
 
 def listing_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +176,14 @@ SELECT coalesce(u.id, o.o_orderkey) AS id, CASE WHEN u.id IS NOT NULL THEN u.sta
     "changed_files": """WITH f AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS filename, md5(text) AS md5 FROM documents)
 SELECT filename, md5, CASE WHEN n % 3 = 0 THEN 'new' WHEN n % 5 = 0 THEN 'changed' ELSE 'retry' END AS reason FROM f WHERE n % 3 = 0 OR n % 5 = 0 OR n % 7 = 0""",
     "exact_dup_groups": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "duplicate_of": """WITH d AS (SELECT doc_id AS id, trim(split_part(text, chr(10), 1)) AS title, sha256(left(text, 200)) AS p1, sha256(right(text, 200)) AS p2 FROM documents),
-f AS (SELECT min(id) AS first, title, p1, p2 FROM d GROUP BY title, p1, p2)
-SELECT d.id, f.first AS duplicate_of, 'pages' AS by FROM d JOIN f USING (title, p1, p2) WHERE d.title <> '' AND d.id <> f.first""",
+    "duplicate_of": """WITH d AS (SELECT doc_id AS id, trim(split_part(text, chr(10), 1)) || CASE doc_id % 2 WHEN 0 THEN '（试行）' ELSE '' END AS title, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '20240115' ELSE '20240220' END AS day,
+  CASE WHEN doc_id % 5 <> 0 THEN sha256(left(text, 200)) || sha256(right(text, 200)) END AS pages, sha256(text) AS bytes FROM documents),
+s AS (SELECT *, trim(regexp_replace(regexp_replace(trim(title), '[（(【\\[][^)）\\]]{0,8}?(?:试行|征求意见|修订|版|上册|下册|第.{0,4}次)[^)）\\]]{0,8}[）)】\\]]', '', 'g'), '[（(【\\[][^)）\\]]{0,6}[）)】\\]]', '', 'g')) AS bare FROM d),
+p AS MATERIALIZED (SELECT a.id, b.id AS other, 0 AS rank, a.title AS t, b.title AS u, a.bare AS p, b.bare AS q, a.day AS x, b.day AS y FROM s a JOIN s b ON a.pages = b.pages
+  UNION ALL SELECT a.id, b.id, 1, a.title, b.title, a.bare, b.bare, a.day, b.day FROM s a JOIN s b ON a.bytes = b.bytes),
+k AS MATERIALIZED (SELECT *, left(p, 100) AS a, left(q, 100) AS b FROM p WHERE id <> other AND t <> '' AND u <> '' AND (x = '' OR y = '' OR x = y)),
+l AS (SELECT *, CASE WHEN t = u OR (p <> '' AND p = q) THEN 1 WHEN a = '' OR b = '' THEN 0 ELSE list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda n: CASE WHEN contains(b, substring(a, i, n)) THEN n ELSE 0 END)))) / greatest(length(a), length(b)) END AS near FROM k)
+SELECT id, arg_min(other, (rank, other)) AS duplicate_of, CASE min(rank) WHEN 0 THEN 'pages' ELSE 'bytes' END AS by FROM l WHERE near >= 0.75 GROUP BY id""",
     "listing_dedup": f"WITH {_LINKS} SELECT url, arg_min(title, page_id * 100000 + place) AS title, min(page_id) AS page_id FROM k WHERE url <> '' GROUP BY url",
     "listing_new": f"WITH {_LINKS} SELECT DISTINCT url FROM k WHERE url <> '' AND length(url) % 2 = 1",
     "page_fields": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS paragraphs, starts_with(lower(html), '<!doctype') AS is_html FROM pages",

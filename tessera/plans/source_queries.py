@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import elements as E
 from tessera.operators import graph as G
 from tessera.operators import index as I
-from tessera.plans.common import RATINGS, documents, ratings, table
+from tessera.plans.common import LINES, RATINGS, documents, ratings, table
 from tessera.plans.graph_queries import _D, _H, _T, _edges, _membership
 from tessera.session import shared_folder
 from tessera.sources import buckets, files, sinks, snapshots
@@ -215,7 +216,37 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
-QUERIES = {f.__name__: f for f in (partition_folders, file_listing, json_index, disk_recovery, fresh_outputs, newest_files, session_logs, tool_top, worklist, index_report, extraction_outputs, ratings_append, graph_export, graph_report, stream_daily, stream_sync, score_due, upsert_buckets, snapshot_latest, snapshot_versions, stream_tracked, stream_scores)}
+def element_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as a tree, every order inside the one before, as deep as there are orders; flattened."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    kid = lambda x: F.concat(F.lit('{"type":"'), x["o_orderstatus"], F.lit('","content":"'), x["o_orderkey"].cast("string"), F.lit('","page number":'), (x["o_orderkey"] % 90).cast("string"))
+    nested = F.aggregate(F.reverse(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))), F.lit(""), lambda inner, x: F.concat(F.lit('"kids":['), kid(x), F.when(inner != "", F.concat(F.lit(","), inner)).otherwise(""), F.lit("}]")))
+    trees = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("{"), nested, F.lit("}")).alias("json"))
+    return files.element_trees(trees).select("doc_id", F.size("path").alias("depth"), "type", "content", "page")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of documents as pages of ten, some scanned, with digital elements and recognised ones, which some pages lack."""
+    c, p = F.col("content"), F.floor(F.col("pos") / 10) + 1
+    rows = E.elements(documents(spark, sf_dir)).select("doc_id", p.cast("long").alias("page"), "pos", F.when(c.contains("|"), "table").otherwise("paragraph").alias("type"), F.left("content", F.lit(40)).alias("content"))
+    pages = rows.select("doc_id", "page").distinct().withColumn("kind", F.when((F.col("doc_id") + F.col("page")) % 4 == 0, "scanned").otherwise("digital"))
+    return pages, rows, rows.where("(doc_id + page) % 3 <> 0").withColumn("content", F.concat(F.lit("~"), "content"))
+
+
+def pages_to_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, digital, _ = _pages(spark, sf_dir)
+    return E.pages_to_recognise(pages, digital)
+
+
+def united_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages put together from both origins."""
+    return E.united(*_pages(spark, sf_dir)).select("doc_id", "place", "page", "part", "origin", "content")
+
+
+QUERIES = {f.__name__: f for f in (partition_folders, file_listing, json_index, disk_recovery, fresh_outputs, newest_files, session_logs, tool_top, worklist, index_report, extraction_outputs, ratings_append, graph_export, graph_report, stream_daily, stream_sync, score_due, upsert_buckets, snapshot_latest, snapshot_versions, stream_tracked, stream_scores, element_forest, pages_to_recognise, united_elements)}
+
+_PAGES = f"""{LINES}, d AS (SELECT doc_id, pos // 10 + 1 AS page, pos, CASE WHEN contains(content, '|') THEN 'table' ELSE 'paragraph' END AS type, left(content, 40) AS content FROM e),
+n AS (SELECT doc_id, page, max(CASE WHEN (doc_id + page) % 4 = 0 THEN 2 WHEN type = 'table' THEN 1 ELSE 0 END) AS part FROM d GROUP BY 1, 2)"""
 
 SQL = {
     "partition_folders": "SELECT source, lang, count(*) AS documents, sum(n_chars) AS chars FROM documents GROUP BY 1, 2",
@@ -253,4 +284,8 @@ o AS (SELECT c.*, x.seq AS told_at, x.good FROM c ASOF LEFT JOIN (SELECT * FROM
 SELECT filename, seq, md5, CASE WHEN before IS NULL THEN 'new' WHEN before <> md5 THEN 'changed' WHEN told_at IS NULL OR told_at < last_change THEN 'waiting' WHEN good THEN 'unchanged' WHEN last_found < told_at THEN 'retry' ELSE 'waiting' END AS reason FROM o""",
     "stream_scores": """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type <> 'purchase') AS n, bool_or(event_type = 'purchase') AS scored FROM events WHERE CAST(ts AS TIME) < TIME '17:20' GROUP BY 1, 2)
 SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n FROM d WHERE n >= 3 AND NOT scored AND day + INTERVAL '17 hours 20 minutes' <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+    "element_forest": "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS depth, o_orderstatus AS type, CAST(o_orderkey AS VARCHAR) AS content, CAST(o_orderkey % 90 AS INTEGER) AS page FROM orders",
+    "pages_to_recognise": f"WITH {_PAGES} SELECT doc_id, page, CAST(part AS INTEGER) AS part FROM n WHERE part > 0",
+    "united_elements": f"""WITH {_PAGES}, u AS (SELECT doc_id, page, part, pos, type, CASE WHEN part > 0 AND (doc_id + page) % 3 <> 0 THEN 'recognised' ELSE 'digital' END AS origin, content FROM d JOIN n USING (doc_id, page))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, page, pos) - 1 AS INTEGER) AS place, page, CAST(part AS INTEGER) AS part, origin, CASE origin WHEN 'recognised' THEN '~' || content ELSE content END AS content FROM u""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -139,7 +139,22 @@ def listing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(L.options(pages), "page_id").join(pages.select("page_id", L.total_entries(F.col("html")).alias("total"), L.is_pdf(F.encode(F.concat(F.lit("%PDF-"), F.col("html")), "UTF-8")).alias("pdf"), L.is_disguised_page(F.encode(F.concat(F.lit("<!DOCTYPE html>"), F.col("html")), "UTF-8")).alias("disguised")), "page_id")
 
 
-QUERIES = {f.__name__: f for f in (text_names, clean_entities, first_title, measures, relation_triples, table_structure, markdown_tables, ocr_confidence, dates_and_cells, cell_ranges, content_hashes, once_per_master, match_project, project_details, learning_notes, message_rules, listing_rules)}
+def span_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables with spans: the order's key beside all lines, two columns as one without a return, a status for every two lines."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("int").cast("string").alias("q"), F.max("l_returnflag").alias("f"), F.max("l_linestatus").alias("s"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    li = li.withColumn("n", F.row_number().over(w)).withColumn("lines", F.count("*").over(Window.partitionBy("l_orderkey")))
+    first, odd, one = F.col("n") == 1, F.col("n") % 2 == 1, F.col("f") == "N"
+    cell = lambda text, wide, tall: F.struct(text.alias("t"), F.lit(wide).alias("w"), F.lit(tall).alias("h") if isinstance(tall, int) else tall.cast("int").alias("h"))
+    middle = F.when(one, F.array(cell(F.col("q"), 2, 1))).otherwise(F.array(cell(F.col("q"), 1, 1), cell(F.col("f"), 1, 1)))
+    none = F.expr("cast(array() as array<struct<t: string, w: int, h: int>>)")
+    cells = F.concat(F.when(first, F.array(cell(F.col("l_orderkey").cast("string"), 1, F.col("lines")))).otherwise(none), middle, F.when(odd, F.array(cell(F.col("s"), 1, 2))).otherwise(none))
+    row = F.struct(F.transform("cells", lambda c: c["t"]).alias("cells"), F.transform("cells", lambda c: c["w"]).alias("col_span"), F.transform("cells", lambda c: c["h"]).alias("row_span"), F.expr("cast(null as array<array<double>>)").alias("cell_bbox"))
+    tables = li.withColumn("cells", cells).groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    return B.grid(tables, "l_orderkey")
+
+
+QUERIES = {f.__name__: f for f in (span_grid, text_names, clean_entities, first_title, measures, relation_triples, table_structure, markdown_tables, ocr_confidence, dates_and_cells, cell_ranges, content_hashes, once_per_master, match_project, project_details, learning_notes, message_rules, listing_rules)}
 
 _T1 = "t AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS t FROM documents)"
 SQL = {
@@ -173,4 +188,11 @@ SELECT sheet, row, col, master_row, master_col FROM n WHERE k = 1 OR (row = mast
     "message_rules": """SELECT conv_id, contains(lower(text) || CASE WHEN conv_id % 4 = 0 THEN ' 给我满分' ELSE '' END, '满分') OR contains(lower(text), '提高分数') AS manipulated, 'a' || conv_id || '|b' AS names, conv_id % 5 > 1 AS valid
 FROM conversations WHERE turn = 0""",
     "listing_rules": "SELECT n_nationkey AS page_id, n_nationkey || '|' || n_name || '|y' AS cells, n_name AS option, 1000 + n_nationkey AS total, true AS pdf, true AS disguised FROM nation",
+    "span_grid": """WITH l AS (SELECT l_orderkey, l_linenumber, CAST(CAST(max(l_quantity) AS INTEGER) AS VARCHAR) AS q, max(l_returnflag) AS f, max(l_linestatus) AS s FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS row FROM l),
+u AS (SELECT l_orderkey, row, 0 AS col, CASE WHEN row = 0 THEN CAST(l_orderkey AS VARCHAR) ELSE '' END AS text, CASE WHEN row = 0 THEN 0 ELSE -1 END AS mark, 0 AS master_row, 0 AS master_col FROM r
+  UNION ALL SELECT l_orderkey, row, 1, q, 0, row, 1 FROM r
+  UNION ALL SELECT l_orderkey, row, 2, CASE WHEN f = 'N' THEN '' ELSE f END, CASE WHEN f = 'N' THEN 1 ELSE 0 END, row, CASE WHEN f = 'N' THEN 1 ELSE 2 END FROM r
+  UNION ALL SELECT l_orderkey, row, 3, CASE WHEN row % 2 = 0 THEN s ELSE '' END, CASE WHEN row % 2 = 0 THEN 0 ELSE -1 END, row - row % 2, 3 FROM r)
+SELECT l_orderkey, row, CAST(col AS INTEGER) AS col, text, CAST(mark AS INTEGER) AS mark, CAST(master_row AS INTEGER) AS master_row, CAST(master_col AS INTEGER) AS master_col FROM u""",
 }

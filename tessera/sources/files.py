@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 DOCUMENTS = ("pdf", "doc", "docx")
 
 
@@ -76,42 +78,37 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.posexplode("documents").alias("pos", "d")).select("pos", "d.*")
 
 
-_KID = "type: string, content: string, `page number`: int, page: int, page_number: int, `heading level`: int, heading_level: int, `bounding box`: array<double>"
-
-
-def element_schema(depth: int) -> str:
-    """The DDL type of an element tree of so many levels."""
-    inner = f"struct<{_KID}>"
-    for _ in range(depth - 1):
-        inner = f"struct<{_KID}, kids: array<{inner}>>"
-    return inner
-
+def element_trees(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, json) -> doc_id, path (places from the root), type, content, page, level, x0: trees of any depth, flattened.
 
-def element_trees(rows: DataFrame, depth: int = 4) -> DataFrame:
-    """rows (doc_id, json) -> doc_id, path (places from the root), type, content, page, level, x0: trees flattened.
-
-    Children stand under kids, elements or flat_elements; page and level under any of their spellings. Levels beyond
-    depth are not read.
+    Children stand under kids, elements or flat_elements, the first of these that is a list; page and level under any of their spellings.
+    The trees are taken apart level by level until none has children; what is carried on, and written between the
+    levels, are the children alone. Text that is no JSON, and values of another type than expected, give nothing or null.
     """
-    kind = f"array<{element_schema(depth)}>"
-    top = F.from_json("json", f"kids {kind}, elements {kind}, flat_elements {kind}")
-    level = rows.select("doc_id", F.posexplode(F.coalesce(top["kids"], top["elements"], top["flat_elements"])).alias("at", "e")).select("doc_id", F.array("at").alias("path"), "e")
-    out = None
-    for k in range(depth):
-        e = F.col("e")
-        flat = level.select(
-            "doc_id", "path", e["type"].alias("type"), e["content"].alias("content"), F.coalesce(e["page number"], e["page"], e["page_number"]).alias("page"),
-            F.coalesce(e["heading level"], e["heading_level"]).alias("level"), F.get(e["bounding box"], F.lit(0)).alias("x0"))
-        out = flat if out is None else out.unionByName(flat)
-        if k < depth - 1:
-            level = level.select("doc_id", "path", F.posexplode(e["kids"]).alias("at", "e")).select("doc_id", F.concat("path", F.array("at")).alias("path"), "e")
-    return out
+    children = lambda v: F.coalesce(*(F.try_variant_get(v, f"$.{k}", "array<variant>") for k in ("kids", "elements", "flat_elements")))
+    get = lambda kind, *names: F.coalesce(*(F.try_variant_get("v", f"$['{n}']", kind) for n in names))
+    own = [get("string", "type").alias("type"), get("string", "content").alias("content"), get("int", "page number", "page", "page_number").alias("page"), get("int", "heading level", "heading_level").alias("level"), F.try_variant_get("v", "$['bounding box'][0]", "double").alias("x0")]
+    flat = None
+    front = rows.select("doc_id", F.array().cast("array<int>").alias("path"), children(F.try_parse_json("json")).alias("kids"))
+    while True:
+        level = front.select("doc_id", "path", F.posexplode("kids").alias("at", "v")).select("doc_id", F.concat("path", F.array("at")).alias("path"), "v")
+        level = cut(level.select("doc_id", "path", *own, children(F.col("v")).alias("kids")))
+        here = level.drop("kids")
+        flat = here if flat is None else flat.unionByName(here)
+        front = level.where(F.size("kids") > 0).select("doc_id", "path", "kids")
+        if front.isEmpty():
+            return flat
 
 
 def session_logs(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines logs: file, first timestamp of the session, number of lines and of tool calls."""
+    """JSON-lines logs: file, the first line's timestamp, number of lines and of tool calls.
+
+    The first line is the one that the reader meets first in the file's first block; a file without lines has no row.
+    """
     rows = spark.read.schema("timestamp timestamp, role string, tool string, content string").json(path).withColumn("file", F.col("_metadata.file_path"))
-    return rows.groupBy("file").agg(F.min("timestamp").alias("started"), F.count("*").alias("lines"), F.count("tool").alias("tool_calls"))
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # ids grow along a block
+    rows = rows.withColumn("place", place)
+    return rows.groupBy("file").agg(F.min_by("timestamp", "place").alias("started"), F.count("*").alias("lines"), F.count("tool").alias("tool_calls"))
 
 
 def tool_counts(spark: SparkSession, path: str, top: int = 10) -> DataFrame:

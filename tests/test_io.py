@@ -47,10 +47,20 @@ def test_index_and_trees(spark, tmp_path):
     assert [(r.doc_id, r.path, r.type, r.page, r.level, r.x0) for r in got] == [(1, [0], "heading", 1, 2, None), (1, [0, 0], "paragraph", 2, None, None), (1, [1], "table", 3, None, 5.0), (2, [0], "x", None, None, None)]
 
 
+def test_deep_trees(spark):
+    tree = {"content": "39", "page": 39}
+    for k in range(38, -1, -1):
+        tree = {"type": "t", "content": str(k), "page_number": "x" if k == 5 else k, "kids" if k % 2 else "elements": [tree, {"content": f"{k}b"}] if k % 7 == 0 else [tree], "flat_elements": [{"content": "not these"}]}
+    rows = spark.createDataFrame([(1, json.dumps({"kids": [tree]})), (2, "{"), (3, None), (4, '{"kids": 7, "elements": [{"kids": "no"}]}'), (5, '{"kids": []}'), (6, "[1]")], "doc_id long, json string")
+    got = {(r.doc_id, len(r.path)): (r.content, r.page) for r in files.element_trees(rows).where("path[size(path) - 1] = 0").collect()}
+    assert got == {(1, k + 1): (str(k), None if k == 5 else k) for k in range(40)} | {(4, 1): (None, None)}
+    assert files.element_trees(rows).where("doc_id = 1").count() == 40 + 6 and files.element_trees(rows.limit(0)).count() == 0
+
+
 def test_session_logs(spark, tmp_path):
     write(f"{tmp_path}/s/a.jsonl", '{"timestamp":"2024-01-01T10:00:00Z","tool":"t"}\n{"timestamp":"2024-01-01T09:00:00Z"}\n')
     r = files.session_logs(spark, f"{tmp_path}/s").first()
-    assert (r.lines, r.tool_calls, r.started.hour) == (2, 1, 9)
+    assert (r.lines, r.tool_calls, r.started.hour) == (2, 1, 10)  # the first line's time, not the least
 
 
 def test_workbook_and_document(spark, tmp_path):

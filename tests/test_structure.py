@@ -38,6 +38,60 @@ def test_table_structure(spark):
     assert [r.confidence for r in B.ocr_confidence(ocr).collect()] == ["high", "medium", "low"]
 
 
+def brute_grid(rows):
+    """A table of places filled cell by cell, each cell over the rectangle that it spans but for what is taken."""
+    taken, out = {}, {}
+    for r, (cells, wide, tall) in enumerate(rows):
+        col = 0
+        for text, w, t in zip(cells, wide, tall):
+            while (r, col) in taken:
+                col += 1
+            first = col
+            own = taken[r - 1, first] if t == -1 and (r - 1, first) in taken else (r, first)
+            while col < first + max(w, 1) and (r, col) not in taken:
+                for down in range(max(t, 1)):
+                    if r + down < len(rows) and ((r + down, col) not in taken):
+                        taken[r + down, col] = own
+                        here = (r + down, col)
+                        out[here] = (text if here == own else "", 0 if here == own else -1 if own[0] < r + down else 1, *own)
+                col += 1
+    return {(r, c, *v) for (r, c), v in out.items()}
+
+
+def test_grid_of_random_tables(spark):
+    import random
+
+    draw = random.Random(4)
+    tables = []
+    for k in range(150):
+        rows = []
+        for _ in range(draw.randrange(6)):
+            n = draw.randrange(5)
+            rows.append(([f"c{draw.randrange(99)}" for _ in range(n)], [draw.choice([1, 1, 2, 3]) for _ in range(n)], [draw.choice([1, 1, 1, 2, 3, -1]) for _ in range(n)]))
+        tables.append((k, rows))
+    df = spark.createDataFrame([(k, [(*row, None) for row in rows]) for k, rows in tables] + [(-1, None)], f"id int, rows array<{B.ROW}>").withColumn("other", F.lit(1))
+    got = {}
+    for r in B.grid(df, "id").collect():
+        got.setdefault(r.id, []).append((r.row, r.col, r.text, r.mark, r.master_row, r.master_col))
+    for k, rows in tables:
+        assert set(got.get(k, [])) == brute_grid(rows) and len(got.get(k, [])) == len(brute_grid(rows)), rows
+    assert -1 not in got
+    ill = spark.createDataFrame([(1, [(["a", None], [1], None, None), (None, None, None, None)])], f"id int, rows array<{B.ROW}>")
+    assert [tuple(r) for r in B.grid(ill, "id").collect()] == [(1, 0, 0, "a", 0, 0, 0), (1, 0, 1, "", 0, 0, 1)]
+
+
+def test_united_pages(spark):
+    from tessera.operators import elements as E
+
+    pages = spark.createDataFrame([(1, p, k) for p, k in ((1, "scanned"), (2, "digital"), (3, "digital"), (4, "digital"), (5, "scanned"))], "doc_id long, page long, kind string")
+    shape = "doc_id long, page long, pos int, type string, content string"
+    digital = spark.createDataFrame([(1, 1, 0, "paragraph", "d1"), (1, 2, 0, "paragraph", "d2"), (1, 3, 0, "table", "d3"), (1, 4, 0, "table", "d4"), (1, 5, 0, "paragraph", "d5"), (1, 9, 0, "table", "unlisted")], shape)
+    recognised = spark.createDataFrame([(1, 1, 1, "paragraph", "r1b"), (1, 1, 0, "paragraph", "r1a"), (1, 2, 0, "paragraph", "not asked for"), (1, 4, 0, "table", "r4")], shape)
+    assert sorted((r.page, r.part) for r in E.pages_to_recognise(pages, digital).collect()) == [(1, 2), (3, 1), (4, 1), (5, 2)]
+    got = E.united(pages, digital, recognised).orderBy("place").collect()
+    assert [(r.place, r.content, r.origin[0]) for r in got] == [(0, "d2", "d"), (1, "d3", "d"), (2, "r4", "r"), (3, "r1a", "r"), (4, "r1b", "r"), (5, "d5", "d")]
+
+
 def test_positions(spark):
     e = spark.createDataFrame([(1, 0, "heading", "１ Scope"), (1, 1, "paragraph", "same words here"), (1, 2, "paragraph", "same words here"), (1, 3, "table", "h1 h2\n1 2"), (1, 4, "table", "zz"), (2, 0, "paragraph", "alone")], "doc_id long, pos int, type string, content string")
     t = spark.createDataFrame([(1, 0, "heading", "1 scope", 3, "1 scope"), (1, 1, "paragraph", "same words here", 4, None), (1, 2, "paragraph", "same words here", 5, None), (1, 3, "table", "other", 6, None), (1, 4, "table", "h1 h2\n9 9", 7, None)], "doc_id long, tpos int, type string, content string, page int, section_path string")
