@@ -132,6 +132,11 @@ def page_lines(paragraphs: DataFrame, markdown: DataFrame, most_lines: int | Non
     return p.join(best, ["doc_id", "p"]).select("doc_id", "page", "text", (F.col("pos") + 1).alias("md_line"))
 
 
+def page_totals(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, page, others) -> doc_id, pages (distinct page numbers), last_page."""
+    return rows.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.max("page").alias("last_page"))
+
+
 def pages_to_recognise(pages: DataFrame, digital: DataFrame) -> DataFrame:
     """pages (doc_id, page, kind) and their digital elements (doc_id, page, type) -> doc_id, page, part.
 

@@ -11,6 +11,7 @@ from tessera.functions import text as T
 KINDS = (("征求意见稿", "draft", "draft"), ("反馈意见表", "feedback", "reference"), ("征求意见反馈表", "feedback", "reference"), ("起草说明", "explanation", "reference"))
 CATEGORIES = (("化学药品", "化学药"), ("化学药物", "化学药"), ("中药", "中药"), ("天然药物", "中药"), ("生物制品", "生物制品"))
 DRUG_TYPES = ("注射剂", "原料药", "制剂", "口服")
+OLDER_CATEGORIES, OLDER_DRUG_TYPES, TRIAL = (("疫苗", "疫苗"),), ("注射剂", "原料药", "口服", "制剂"), "试行"
 TAGS = ("稳定性", "配伍", "注射剂", "原料药", "制剂", "化学药", "中药", "生物制品", "研究技术", "指导原则")
 GENERAL, OTHER = "通用", "其他"
 FOLDERS = (
@@ -31,25 +32,29 @@ def folder(title: Column) -> Column:
     return _first(title, FOLDERS, OTHER)
 
 
-def metadata(files: DataFrame) -> DataFrame:
+def metadata(files: DataFrame, older: bool = False) -> DataFrame:
     """files (filename, others) with id, title, issue_date, doc_type, status, category, drug_types, tags, folder.
 
     issue_date is the eight digits at the start ('' if none). The id is that of category, date and kind, and so the
-    same for two documents that share these; `key` adds the title.
+    same for two documents that share these; `key` adds the title. older: by the rules of earlier indexes, which know vaccines as a category, hold
+    trial editions active whatever they are, list the kinds of drugs in another order, and name undated documents by their title.
     """
+    categories, drug_types = (CATEGORIES + OLDER_CATEGORIES, OLDER_DRUG_TYPES) if older else (CATEGORIES, DRUG_TYPES)
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
     date = F.regexp_extract(stem, r"^(\d{8})", 1)
     title = F.regexp_replace(stem, r"^\d{8}\s*[-—]\s*", "")
     kind, status = F.lit("main"), F.lit("active")
     for word, k, s in KINDS:
         kind, status = F.when(title.contains(word), k).otherwise(kind), F.when(title.contains(word), s).otherwise(status)
-    category = _first(title, CATEGORIES, GENERAL)
+    status = F.when(title.contains(TRIAL), "active").otherwise(status) if older else status
+    category = _first(title, categories, GENERAL)
 
     def held(words: tuple) -> Column:
         return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(title, w))
 
-    types = F.when(F.size(held(DRUG_TYPES)) > 0, held(DRUG_TYPES)).otherwise(F.array(F.lit(GENERAL)))
+    types = F.when(F.size(held(drug_types)) > 0, held(drug_types)).otherwise(F.array(F.lit(GENERAL)))
     name = F.concat_ws("_", F.lit("guidance"), category, F.when(date != "", date), kind)
+    name = F.when(date != "", name).otherwise(F.concat_ws("_", F.lit("guidance"), T.safe_filename(title), kind)) if older else name
     return files.select(
         "*", name.alias("id"), F.concat_ws("_", name, F.left(F.sha2(title, 256), F.lit(8))).alias("key"), title.alias("title"), date.alias("issue_date"),
         kind.alias("doc_type"), status.alias("status"), category.alias("category"), types.alias("drug_types"), F.array_sort(held(TAGS)).alias("tags"), folder(title).alias("folder"),

@@ -24,6 +24,18 @@ def unseen(found: DataFrame, visited: DataFrame, key: str) -> DataFrame:
     return found.join(visited.select(key), key, "left_anti")
 
 
+#: Fixed value: what the title of a draft for comment holds.
+DRAFT = "征求意见稿"
+
+
+def drafts(found: DataFrame, visited: DataFrame, word: str = DRAFT) -> DataFrame:
+    """Of links (page_id, place, url, title) those whose title holds word and whose address is not visited, each address once.
+
+    An address counts by its first link whose title holds word; null titles and empty addresses are left out.
+    """
+    return unseen(first_links(found.where(F.contains("title", F.lit(word)))), visited, "url")
+
+
 def fields(pages: DataFrame) -> DataFrame:
     """Title, language, number of paragraphs, and whether the content is HTML."""
     return pages.select(

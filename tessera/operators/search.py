@@ -80,6 +80,11 @@ def keyword_context(lines: DataFrame, keywords: list[str], around: int = 2) -> D
     return near.groupBy("doc_id", "at").agg(F.first("keyword").alias("keyword"), context.alias("context")).select("doc_id", (F.col("at") + 1).alias("line_number"), "keyword", "context")
 
 
+def ranked(found: DataFrame, *order: Column) -> DataFrame:
+    """found (the few rows of a top-k) with rank, from 1, by order."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+
+
 def summary_first(summary: DataFrame, detail: DataFrame, key: str) -> DataFrame:
     """All of summary, and of detail what has no row there."""
     return summary.unionByName(detail.join(summary.select(key).distinct(), key, "left_anti"))

@@ -150,7 +150,8 @@ def god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def community_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _membership(spark)
+    """Names of the types of the labels that the documents hold, from their words."""
+    nodes = _tags(spark, sf_dir).select(F.col("label").alias("node"), F.col("type").alias("community")).distinct()
     return X.community_labels(nodes.select("node", F.concat_ws(" ", "node", "community").alias("label")), nodes)
 
 
@@ -263,7 +264,7 @@ SELECT node, round(rank, 6) AS rank FROM r WHERE step = 20""",
 SELECT step + 1, node, community FROM (SELECT step, node, community, row_number() OVER (PARTITION BY node ORDER BY n DESC, community) AS k FROM (SELECT any_value(step) AS step, node, community, count(*) AS n FROM
   (SELECT lc.step, s.a AS node, lc.community FROM lc JOIN s ON s.b = lc.node UNION ALL SELECT lc.step, lc.node, lc.community FROM lc) WHERE step < 10 GROUP BY node, community)) WHERE k = 1)
 SELECT node, community FROM lc WHERE step = 10""",
-    "community_names": f"""WITH {_V}, m AS (SELECT label AS node, type AS community, row_number() OVER (PARTITION BY type ORDER BY label) AS n FROM v), w AS (SELECT community, n, 0 AS p, node AS w FROM m WHERE n <= 10 UNION ALL SELECT community, n, 1, community FROM m WHERE n <= 10),
+    "community_names": f"""WITH {_T}, m AS (SELECT label AS node, type AS community, row_number() OVER (PARTITION BY type ORDER BY label) AS n FROM (SELECT DISTINCT type, label FROM t)), w AS (SELECT community, n, 0 AS p, node AS w FROM m WHERE n <= 10 UNION ALL SELECT community, n, 1, community FROM m WHERE n <= 10),
 c AS (SELECT community, w, count(*) AS c, min(n * 10 + p) AS f FROM w WHERE length(w) >= 3 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY c DESC, f) AS k FROM c)
 SELECT community, left(string_agg(w, ' ' ORDER BY k), 40) AS name FROM k WHERE k <= 3 GROUP BY 1""",
     "shortest_path": f"""WITH RECURSIVE {_T}, {_H}, {_STRONG}, c(node, distance) AS (SELECT 'attion', 0 UNION SELECT s.b, c.distance + 1 FROM c JOIN s ON s.a = c.node WHERE c.distance < (SELECT count(*) FROM v)), d AS (SELECT node, min(distance) AS distance FROM c GROUP BY 1),

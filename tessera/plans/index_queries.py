@@ -85,6 +85,20 @@ def listing_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.unseen(found, found.where(F.char_length("url") % 2 == 0), "url").select("url")
 
 
+def listing_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose title holds a word and whose address has not been visited: of the pages before, every third was."""
+    found = L.links(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return L.drafts(found, found.where("page_id % 3 = 0").select("url").distinct(), "on").select("url", "title", "page_id")
+
+
+def older_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata by the rules of earlier indexes."""
+    title = F.element_at(F.array(*map(F.lit, (*_TITLES, "疫苗口服制剂研究（试行）起草说明"))), (F.col("doc_id") % (len(_TITLES) + 1) + 1).cast("int"))
+    date = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("2024"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("15 — ")))
+    found = I.metadata(documents(spark, sf_dir).select("doc_id", F.concat(date, title, F.lit(".md")).alias("filename")), older=True)
+    return found.select("doc_id", "id", "status", "category", F.array_join("drug_types", ",").alias("drug_types"))
+
+
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fields(table(spark, sf_dir, "pages").select("page_id", "html"))
 
@@ -153,7 +167,7 @@ def date_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "event_type", "value")
 
 
-QUERIES = {f.__name__: f for f in (doc_counts, status_counts, filename_metadata, anti_join_new, upsert_latest, changed_files, exact_dup_groups, duplicate_of, listing_dedup, listing_new, page_fields, date_normalise, threshold_check, range_join_cells, batch_normalise, right_neighbour, title_similarity, extraction_validity, error_marks, date_filter)}
+QUERIES = {f.__name__: f for f in (doc_counts, status_counts, filename_metadata, anti_join_new, upsert_latest, changed_files, exact_dup_groups, duplicate_of, listing_dedup, listing_new, listing_drafts, older_metadata, page_fields, date_normalise, threshold_check, range_join_cells, batch_normalise, right_neighbour, title_similarity, extraction_validity, error_marks, date_filter)}
 
 
 _LINKS = """k AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS title,
@@ -186,6 +200,13 @@ l AS (SELECT *, CASE WHEN t = u OR (p <> '' AND p = q) THEN 1 WHEN a = '' OR b =
 SELECT id, arg_min(other, (rank, other)) AS duplicate_of, CASE min(rank) WHEN 0 THEN 'pages' ELSE 'bytes' END AS by FROM l WHERE near >= 0.75 GROUP BY id""",
     "listing_dedup": f"WITH {_LINKS} SELECT url, arg_min(title, page_id * 100000 + place) AS title, min(page_id) AS page_id FROM k WHERE url <> '' GROUP BY url",
     "listing_new": f"WITH {_LINKS} SELECT DISTINCT url FROM k WHERE url <> '' AND length(url) % 2 = 1",
+    "listing_drafts": f"WITH {_LINKS}, f AS (SELECT url, arg_min(title, page_id * 100000 + place) AS title, min(page_id) AS page_id FROM k WHERE url <> '' AND contains(title, 'on') GROUP BY url) SELECT * FROM f WHERE url NOT IN (SELECT url FROM k WHERE page_id % 3 = 0)",
+    "older_metadata": f"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '2024' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '15' END AS day, [{', '.join(repr(t) for t in _TITLES)}, '疫苗口服制剂研究（试行）起草说明'][doc_id % {len(_TITLES) + 1} + 1] AS t FROM documents),
+k AS (SELECT *, CASE WHEN contains(t, '起草说明') THEN 'explanation' WHEN contains(t, '反馈意见表') THEN 'feedback' WHEN contains(t, '征求意见稿') THEN 'draft' ELSE 'main' END AS kind,
+  CASE WHEN regexp_matches(t, '化学药品|化学药物') THEN '化学药' WHEN regexp_matches(t, '中药|天然药物') THEN '中药' WHEN contains(t, '生物制品') THEN '生物制品' WHEN contains(t, '疫苗') THEN '疫苗' ELSE '通用' END AS category,
+  list_filter(['注射剂', '原料药', '口服', '制剂'], lambda w: contains(t, w)) AS dt FROM n)
+SELECT doc_id, 'guidance_' || CASE WHEN day <> '' THEN category || '_' || day ELSE t END || '_' || kind AS id, CASE WHEN contains(t, '试行') THEN 'active' WHEN kind IN ('explanation', 'feedback') THEN 'reference' WHEN kind = 'draft' THEN 'draft' ELSE 'active' END AS status,
+  category, CASE WHEN len(dt) > 0 THEN array_to_string(dt, ',') ELSE '通用' END AS drug_types FROM k""",
     "page_fields": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS paragraphs, starts_with(lower(html), '<!doctype') AS is_html FROM pages",
     "date_normalise": "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS date FROM orders",
     "threshold_check": """SELECT l_orderkey, l_linenumber, l_discount AS value, CASE WHEN contains(p_type, 'BRUSHED TIN') THEN 0.3::DOUBLE WHEN contains(p_type, 'STEEL') THEN 0.0::DOUBLE ELSE 0.05::DOUBLE END AS "limit"

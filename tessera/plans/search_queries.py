@@ -50,6 +50,17 @@ def bigram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.frequencies(spark, root)
 
 
+def search_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of the search by rank."""
+    found = S.fulltext(E.elements(documents(spark, sf_dir)), FULLTEXT, 25, 40)
+    return S.ranked(found, F.desc("relevance"), F.col("doc_id"), F.col("pos")).select("rank", "doc_id", "pos")
+
+
+def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of ten lines that have something on them."""
+    return E.page_totals(E.elements(documents(spark, sf_dir)).select("doc_id", (F.floor(F.col("pos") / 10) + 1).alias("page")))
+
+
 def _fulltext_sql(where: str, top_k: int, chars: int) -> str:
     return f"""
 WITH {LINES}, q AS (SELECT unnest([{_BIGRAMS}]) AS b),
@@ -161,7 +172,7 @@ def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.merge_across_pages(tables.withColumn("confident", F.col("s") == "O")).select("doc_id", "pos", "merge_into")
 
 
-QUERIES = {f.__name__: f for f in (fulltext_bigram, fulltext_scoped, fulltext_index, fulltext_append, bigram_frequencies, metadata_score, retrieval_rank, keyword_context, keyword_df, element_counters, running_index, section_index, section_path, section_totals, language_detect, page_classify, page_hash, paragraph_lines, table_merge)}
+QUERIES = {f.__name__: f for f in (search_ranks, page_totals, fulltext_bigram, fulltext_scoped, fulltext_index, fulltext_append, bigram_frequencies, metadata_score, retrieval_rank, keyword_context, keyword_df, element_counters, running_index, section_index, section_path, section_totals, language_detect, page_classify, page_hash, paragraph_lines, table_merge)}
 
 _SECTIONS = f"""{_MARKDOWN}, ml AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM m),
 mk AS (SELECT *, length(regexp_extract(content, '^(#{{1,4}})\\s+(.+)$', 1)) AS mark, trim(regexp_extract(content, '^(#{{1,4}})\\s+(.+)$', 2)) AS title FROM ml),
@@ -172,6 +183,8 @@ sec AS (SELECT doc_id, pos + 1 AS line, CASE WHEN is_full THEN mark ELSE 4 END A
 
 SQL = {
     "fulltext_bigram": _fulltext_sql("true", 10, 300),
+    "search_ranks": f"SELECT CAST(row_number() OVER (ORDER BY relevance DESC, doc_id, pos) AS INTEGER) AS rank, doc_id, CAST(pos AS INTEGER) AS pos FROM ({_fulltext_sql('true', 25, 40)})",
+    "page_totals": f"WITH {LINES} SELECT doc_id, count(DISTINCT pos // 10 + 1) AS pages, max(pos // 10 + 1) AS last_page FROM e GROUP BY 1",
     "fulltext_index": _fulltext_sql("true", 10, 300),
     "fulltext_append": _fulltext_sql("contains(source, 'src1')", 25, 40),
     "bigram_frequencies": f"""WITH {LINES}, s AS (SELECT row_number() OVER () AS r, regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM e), i AS (SELECT r, k, unnest(generate_series(1, length(k) - 1)) AS i FROM s),

@@ -243,7 +243,15 @@ def united_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.united(*_pages(spark, sf_dir)).select("doc_id", "place", "page", "part", "origin", "content")
 
 
-QUERIES = {f.__name__: f for f in (partition_folders, file_listing, json_index, disk_recovery, fresh_outputs, newest_files, session_logs, tool_top, worklist, index_report, extraction_outputs, ratings_append, graph_export, graph_report, stream_daily, stream_sync, score_due, upsert_buckets, snapshot_latest, snapshot_versions, stream_tracked, stream_scores, element_forest, pages_to_recognise, united_elements)}
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation, in UTF-8, in GBK or in neither; read back as texts."""
+    n, path = F.col("n_nationkey"), shared_folder(spark)
+    lines = F.when(n % 3 == 0, F.concat(F.lit("稳定性 "), "n_name")).when(n % 3 == 1, F.concat(F.unhex(F.lit("CEC8B6A8D0D4")).cast("string"), F.lit(" "), "n_name")).otherwise(F.unhex(F.lit("FFFEFF")).cast("string"))
+    table(spark, sf_dir, "nation").select(lines.alias("value"), n.alias("key")).repartition("key").write.partitionBy("key").text(path)
+    return files.texts(spark, path, "*.txt").select(F.regexp_extract("path", r"key=(\d+)", 1).cast("long").alias("key"), "text")
+
+
+QUERIES = {f.__name__: f for f in (partition_folders, file_listing, json_index, disk_recovery, fresh_outputs, newest_files, session_logs, tool_top, worklist, index_report, extraction_outputs, ratings_append, graph_export, graph_report, stream_daily, stream_sync, score_due, upsert_buckets, snapshot_latest, snapshot_versions, stream_tracked, stream_scores, element_forest, pages_to_recognise, united_elements, text_files)}
 
 _PAGES = f"""{LINES}, d AS (SELECT doc_id, pos // 10 + 1 AS page, pos, CASE WHEN contains(content, '|') THEN 'table' ELSE 'paragraph' END AS type, left(content, 40) AS content FROM e),
 n AS (SELECT doc_id, page, max(CASE WHEN (doc_id + page) % 4 = 0 THEN 2 WHEN type = 'table' THEN 1 ELSE 0 END) AS part FROM d GROUP BY 1, 2)"""
@@ -288,4 +296,5 @@ SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n FROM d WHERE n >= 3 AND NOT
     "pages_to_recognise": f"WITH {_PAGES} SELECT doc_id, page, CAST(part AS INTEGER) AS part FROM n WHERE part > 0",
     "united_elements": f"""WITH {_PAGES}, u AS (SELECT doc_id, page, part, pos, type, CASE WHEN part > 0 AND (doc_id + page) % 3 <> 0 THEN 'recognised' ELSE 'digital' END AS origin, content FROM d JOIN n USING (doc_id, page))
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, page, pos) - 1 AS INTEGER) AS place, page, CAST(part AS INTEGER) AS part, origin, CASE origin WHEN 'recognised' THEN '~' || content ELSE content END AS content FROM u""",
+    "text_files": "SELECT CAST(n_nationkey AS BIGINT) AS key, CASE n_nationkey % 3 WHEN 2 THEN '' ELSE '稳定性 ' || n_name || chr(10) END AS text FROM nation",
 }

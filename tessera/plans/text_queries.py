@@ -154,7 +154,27 @@ def span_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.grid(tables, "l_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (span_grid, text_names, clean_entities, first_title, measures, relation_triples, table_structure, markdown_tables, ocr_confidence, dates_and_cells, cell_ranges, content_hashes, once_per_master, match_project, project_details, learning_notes, message_rules, listing_rules)}
+def concept_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts with the studies that they bear on, in a sentence for each order that names one of either."""
+    concepts, studies = list(R.REGULATED), sorted({s for of in R.REGULATED.values() for s in of})
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    o = table(spark, sf_dir, "orders")
+    text = F.concat(pick(concepts, F.col("o_orderkey")), F.lit("要求"), pick(studies, F.floor(F.col("o_orderkey") / 3)), F.lit("与"), pick(studies, F.col("o_custkey")))
+    return R.regulations(o.select(F.col("o_orderkey").alias("doc_id"), text.alias("content")))
+
+
+_CONCEPTS, _STUDIES = list(R.REGULATED), sorted({s for of in R.REGULATED.values() for s in of})
+
+
+def last_of_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event, where events of one key follow one another."""
+    from tessera.operators.index import first_rows
+
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return first_rows(e, ["user_id"], "event_id", last=True).select("user_id", "event_id", "event_type", "value")
+
+
+QUERIES = {f.__name__: f for f in (concept_studies, last_of_key, span_grid, text_names, clean_entities, first_title, measures, relation_triples, table_structure, markdown_tables, ocr_confidence, dates_and_cells, cell_ranges, content_hashes, once_per_master, match_project, project_details, learning_notes, message_rules, listing_rules)}
 
 _T1 = "t AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS t FROM documents)"
 SQL = {
@@ -195,4 +215,8 @@ u AS (SELECT l_orderkey, row, 0 AS col, CASE WHEN row = 0 THEN CAST(l_orderkey A
   UNION ALL SELECT l_orderkey, row, 2, CASE WHEN f = 'N' THEN '' ELSE f END, CASE WHEN f = 'N' THEN 1 ELSE 0 END, row, CASE WHEN f = 'N' THEN 1 ELSE 2 END FROM r
   UNION ALL SELECT l_orderkey, row, 3, CASE WHEN row % 2 = 0 THEN s ELSE '' END, CASE WHEN row % 2 = 0 THEN 0 ELSE -1 END, row - row % 2, 3 FROM r)
 SELECT l_orderkey, row, CAST(col AS INTEGER) AS col, text, CAST(mark AS INTEGER) AS mark, CAST(master_row AS INTEGER) AS master_row, CAST(master_col AS INTEGER) AS master_col FROM u""",
+    "concept_studies": f"""WITH p(source, target) AS (VALUES {", ".join(f"('{c}', '{x}')" for c, of in R.REGULATED.items() for x in of)}), c AS (SELECT {_CONCEPTS} AS c, {_STUDIES} AS s),
+t AS (SELECT o_orderkey AS doc_id, c[o_orderkey % {len(_CONCEPTS)} + 1] || '要求' || s[(o_orderkey // 3) % {len(_STUDIES)} + 1] || '与' || s[o_custkey % {len(_STUDIES)} + 1] AS content FROM orders, c)
+SELECT doc_id, source, 'regulates' AS relation, target FROM t JOIN p ON contains(content, source) AND contains(content, target)""",
+    "last_of_key": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1",
 }
