@@ -58,11 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each result but the last goes to the shared checkpoint folder as Parquet."""
+    """All stages over the documents table; each result but the last goes to the shared checkpoint folder as Parquet.
+
+    A result is emptied once the next one is written, so that at most two copies of the corpus lie there; the last one stays, as
+    the returned rows are read from it.
+    """
     shared_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            spark.createDataFrame([], docs.schema).coalesce(1).write.mode("overwrite").parquet(before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
