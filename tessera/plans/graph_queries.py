@@ -197,6 +197,12 @@ def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.louvain(_edges(spark, sf_dir))
 
 
+def greedy_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of suppliers by mergers: two are linked as often as orders have lines of both."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("string").alias("label"))
+    return G.greedy_modularity(G.together(li, "l_orderkey"))
+
+
 def edge_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of edges by confidence, which here is their weight."""
     return R.confidence_report(_judged(spark, sf_dir))
@@ -222,7 +228,7 @@ def visible_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.visible(nodes, _edges(spark, sf_dir), "E", "noun")[1].select("source", "target", "weight")
 
 
-QUERIES = {f.__name__: f for f in (entity_tags, entity_edges, cooccurrence, comention, edge_dedup, edge_merge, relation_counts, degree, cohesion, cross_community, community_top, connected_components, graph_reach, order_reach, order_path, page_rank, label_communities, knowledge_gaps, dangling_edges, graph_label_search, typed_pairs, god_nodes, community_names, shortest_path, nodes_by_type, community_types, thin_communities, degree_summary, entities_by_file, explain_node, modularity, louvain, edge_confidence, weak_nodes, bare_nodes, visible_graph)}
+QUERIES = {f.__name__: f for f in (entity_tags, entity_edges, cooccurrence, comention, edge_dedup, edge_merge, relation_counts, degree, cohesion, cross_community, community_top, connected_components, graph_reach, order_reach, order_path, page_rank, label_communities, knowledge_gaps, dangling_edges, graph_label_search, typed_pairs, god_nodes, community_names, shortest_path, nodes_by_type, community_types, thin_communities, degree_summary, entities_by_file, explain_node, modularity, louvain, greedy_communities, edge_confidence, weak_nodes, bare_nodes, visible_graph)}
 
 _V = "v(type, label) AS (VALUES " + ", ".join(f"('{t}', '{w}')" for t, w in WORDS) + ")"
 _P = "p(source, target, relation) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{r}')" for a, b, r in PAIRS) + ")"

@@ -134,3 +134,33 @@ def test_compatibility_form(spark):
     rows = ["ＡＢＣ　１２", "ﬁne", "①②", "plain", "é", None, ""]
     got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", T.nfkc(F.col("t")).alias("n")).collect()
     assert all(r.n == (None if r.t is None else unicodedata.normalize("NFKC", r.t)) for r in got)
+
+
+def test_greedy_modularity(spark):
+    """Cliques in a ring come apart, and planted groups are found as well as they were planted, and no merger of two communities would gain."""
+    import random
+
+    draw = random.Random(8)
+    ring = [(f"n{c}_{a}", f"n{c}_{b}", 1.0) for c in range(4) for a in range(5) for b in range(a)] + [(f"n{c}_0", f"n{(c + 1) % 4}_1", 1.0) for c in range(4)] + [("leaf", "n0_2", 1.0), ("n0_0", "n0_0", 9.0), (None, "n0_0", 1.0), ("p", "q", 1.0)]
+    found = {r.node: r.community for r in G.greedy_modularity(spark.createDataFrame(ring, "source string, target string, weight double")).collect()}
+    groups = {}
+    for node, community in found.items():
+        groups.setdefault(community, set()).add(node)
+    want = [{f"n{c}_{a}" for a in range(5)} for c in range(4)]
+    want[0].add("leaf")
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, [*want, {"p", "q"}]))
+    planted = [(f"{a:03}", f"{b:03}", 1.0) for a in range(40) for b in range(a) if draw.random() < (0.8 if a % 4 == b % 4 else 0.03)]
+    df = spark.createDataFrame(planted, "source string, target string, weight double")
+    greedy = G.greedy_modularity(df)
+    truth = spark.createDataFrame([(f"{a:03}", str(a % 4)) for a in range(40)], "node string, community string")
+    q = [G.modularity(df, m).first()[0] for m in (greedy, truth)]
+    assert q[0] >= 0.98 * q[1] > 0.4
+    member = {r.node: r.community for r in greedy.collect()}
+    degree, between = {}, {}
+    for a, b, w in planted:
+        for x in (a, b):
+            degree[member[x]] = degree.get(member[x], 0) + w
+        between[frozenset((member[a], member[b]))] = between.get(frozenset((member[a], member[b])), 0) + w
+    total = sum(degree.values())
+    assert all(w - degree[min(p)] * degree[max(p)] / total <= 1e-6 for p, w in between.items() if len(p) == 2)
+    assert G.greedy_modularity(df.limit(0)).count() == 0
