@@ -167,7 +167,9 @@ def spread_labels(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataF
 
 
 def search_labels(nodes: DataFrame, text: str, top_k: int = 10) -> DataFrame:
-    return nodes.where(F.lower("label").contains(text.lower())).orderBy("label").limit(top_k)
+    """The first nodes by label whose label holds text, and matches: how many there are in all."""
+    held = nodes.where(F.lower("label").contains(text.lower()))
+    return held.orderBy("label").limit(top_k).crossJoin(held.agg(F.count("*").alias("matches")))  # top_k rows and one
 
 
 def gaps(edges: DataFrame, nodes: DataFrame) -> DataFrame:

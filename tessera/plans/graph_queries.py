@@ -262,7 +262,7 @@ WHERE x.type <> y.type ORDER BY score DESC, a, b LIMIT 20""",
     "dangling_edges": f"WITH {_T}, {_H} SELECT g.* FROM g JOIN v a ON a.label = source AND a.type = 'noun' JOIN v b ON b.label = target AND b.type = 'noun'",
     "typed_pairs": f"WITH {_T}, h AS (SELECT DISTINCT doc_id, type, label FROM t) SELECT a.doc_id, a.label AS source, b.label AS target, 'has_action' AS relation FROM h a JOIN h b ON a.doc_id = b.doc_id WHERE a.type = 'noun' AND b.type = 'verb'",
     "god_nodes": f"WITH {_T}, {_H}, {_D} SELECT node, node AS label, degree FROM d WHERE node <> 'attion' ORDER BY degree DESC, node LIMIT 5",
-    "graph_label_search": f"WITH {_T} SELECT DISTINCT type, label FROM t WHERE contains(lower(label), 'ti') ORDER BY label LIMIT 10",
+    "graph_label_search": f"WITH {_T}, m AS (SELECT DISTINCT type, label FROM t WHERE contains(lower(label), 'ti')) SELECT type, label, (SELECT count(*) FROM m) AS matches FROM m ORDER BY label LIMIT 10",
     "page_rank": f"""WITH RECURSIVE {_T}, {_H}, b AS (SELECT source AS a, target AS b FROM g UNION SELECT target, source FROM g), o AS (SELECT a, count(*) AS out FROM b GROUP BY 1), k AS (SELECT count(*) AS n FROM o),
 r(step, node, rank) AS (SELECT 0, a, 1.0::DOUBLE / n FROM o, k UNION ALL SELECT any_value(r.step) + 1, b.b, 0.15::DOUBLE / any_value(k.n) + 0.85::DOUBLE * sum(r.rank / o.out) FROM r JOIN b ON b.a = r.node JOIN o ON o.a = r.node, k WHERE r.step < 20 GROUP BY b.b)
 SELECT node, round(rank, 6) AS rank FROM r WHERE step = 20""",

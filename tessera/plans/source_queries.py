@@ -251,7 +251,24 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.texts(spark, path, "*.txt").select(F.regexp_extract("path", r"key=(\d+)", 1).cast("long").alias("key"), "text")
 
 
-QUERIES = {f.__name__: f for f in (partition_folders, file_listing, json_index, disk_recovery, fresh_outputs, newest_files, session_logs, tool_top, worklist, index_report, extraction_outputs, ratings_append, graph_export, graph_report, stream_daily, stream_sync, score_due, upsert_buckets, snapshot_latest, snapshot_versions, stream_tracked, stream_scores, element_forest, pages_to_recognise, united_elements, text_files)}
+def archive_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents archived by source and language, then all documents: what is there stays, the rest is added."""
+    path, d = f"{shared_folder(spark)}/archive", documents(spark, sf_dir).select("doc_id", "source", "lang", "n_chars")
+    labelled = d.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    sinks.archived(labelled.withColumn("n_chars", -F.col("n_chars")), path, "doc_id", "source", "lang")
+    sinks.archived(d, path, "doc_id", "source", "lang")
+    return spark.read.schema(d.schema).parquet(path).select("doc_id", "source", "lang", "n_chars")
+
+
+def graph_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of strong edges published, then that of all; the newest nodes."""
+    root, edges, nodes = shared_folder(spark), _edges(spark, sf_dir), _membership(spark)
+    for some in (edges.where("weight > 2"), edges):
+        sinks.latest_graph(nodes.select("node"), some, nodes, root)
+    return snapshots.read(spark, f"{root}/nodes").select("node", "community", "degree")
+
+
+QUERIES = {f.__name__: f for f in (partition_folders, file_listing, json_index, disk_recovery, fresh_outputs, newest_files, session_logs, tool_top, worklist, index_report, extraction_outputs, ratings_append, graph_export, graph_report, stream_daily, stream_sync, score_due, upsert_buckets, snapshot_latest, snapshot_versions, stream_tracked, stream_scores, element_forest, pages_to_recognise, united_elements, text_files, archive_once, graph_latest)}
 
 _PAGES = f"""{LINES}, d AS (SELECT doc_id, pos // 10 + 1 AS page, pos, CASE WHEN contains(content, '|') THEN 'table' ELSE 'paragraph' END AS type, left(content, 40) AS content FROM e),
 n AS (SELECT doc_id, page, max(CASE WHEN (doc_id + page) % 4 = 0 THEN 2 WHEN type = 'table' THEN 1 ELSE 0 END) AS part FROM d GROUP BY 1, 2)"""
@@ -297,4 +314,6 @@ SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n FROM d WHERE n >= 3 AND NOT
     "united_elements": f"""WITH {_PAGES}, u AS (SELECT doc_id, page, part, pos, type, CASE WHEN part > 0 AND (doc_id + page) % 3 <> 0 THEN 'recognised' ELSE 'digital' END AS origin, content FROM d JOIN n USING (doc_id, page))
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, page, pos) - 1 AS INTEGER) AS place, page, CAST(part AS INTEGER) AS part, origin, CASE origin WHEN 'recognised' THEN '~' || content ELSE content END AS content FROM u""",
     "text_files": "SELECT CAST(n_nationkey AS BIGINT) AS key, CASE n_nationkey % 3 WHEN 2 THEN '' ELSE '稳定性 ' || n_name || chr(10) END AS text FROM nation",
+    "archive_once": "SELECT doc_id, source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN -n_chars ELSE n_chars END AS n_chars FROM documents",
+    "graph_latest": f"WITH {_T}, {_H}, {_D} SELECT label AS node, type AS community, coalesce(degree, 0) AS degree FROM v LEFT JOIN d ON node = label",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as G
+from tessera.sources.snapshots import absent, publish
 
 
 def partitioned(rows: DataFrame, path: str, *columns: str, mode: str = "append") -> None:
@@ -13,6 +15,31 @@ def partitioned(rows: DataFrame, path: str, *columns: str, mode: str = "append")
     rows.hint("rebalance", *columns).write.mode(mode).partitionBy(*columns).parquet(path)
 
 
+def archived(rows: DataFrame, path: str, key: str, *columns: str) -> None:
+    """Adds rows to the folders column=value at path, but those whose key the same folder has already: what is there stays as it is.
+
+    Of new rows that share a key and a folder one is written, the first by a hash. Only the archive's keys and folders are read.
+    """
+    spark = rows.sparkSession
+    rest = [c for c in rows.columns if c not in (key, *columns)]
+    new = rows.groupBy(key, *columns).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__row")).select(key, *columns, "__row.*")
+    try:
+        there = spark.read.schema(rows.schema).parquet(path).select(key, *columns)
+    except AnalysisException as error:
+        if not absent(error):
+            raise
+        there = None
+    fresh = new if there is None else new.join(there, [F.equal_null(new[c], there[c]) for c in (key, *columns)], "left_anti")
+    partitioned(fresh, path, *columns)
+
+
+def latest_graph(nodes: DataFrame, edges: DataFrame, membership: DataFrame, root: str) -> int:
+    """The graph's tables published as a version of root/nodes and one of root/edges; readers of the newest see whole ones alone."""
+    full = nodes.join(membership, "node", "left").join(G.degrees(edges), "node", "left").fillna(0, ["degree"])
+    publish(edges, f"{root}/edges")
+    return publish(full, f"{root}/nodes")
+
+
 def json_index(rows: DataFrame, path: str, version: int) -> None:
     """One JSON document a row with the version of the write."""
     rows.withColumn("index_version", F.lit(version)).write.mode("overwrite").json(path)
