@@ -79,11 +79,14 @@ def report(nodes: DataFrame, edges: DataFrame, membership: DataFrame, top: int =
 
 
 def index_files(rows: DataFrame, path: str, version: int, updated: str, per_file: int = 10_000) -> None:
-    """rows (documents of an index) as JSON objects with a header: version, last_updated, documents; about per_file a file."""
+    """rows (documents of an index) as JSON objects with a header: version, last_updated, documents; about per_file a file.
+
+    A file holds one object, however many of them a task writes: readers of whole files meet no second one.
+    """
     files = -(-rows.count() // per_file) or 1
     chunk = F.pmod(F.xxhash64("id"), F.lit(files))
     objects = rows.groupBy(chunk.alias("chunk")).agg(F.collect_list(F.struct(*rows.columns)).alias("documents"))
-    objects.select(F.lit(str(version)).alias("version"), F.lit(updated).alias("last_updated"), "documents").write.mode("overwrite").json(path)
+    objects.select(F.lit(str(version)).alias("version"), F.lit(updated).alias("last_updated"), "documents").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def outputs(docs: DataFrame, path: str) -> None:

@@ -97,6 +97,20 @@ def test_sinks(spark, tmp_path):
     assert lines[0] == "# Graph: 4 nodes, 2 edges" and "- b: 2" in lines
 
 
+def test_index_of_many_files(spark, tmp_path):
+    """More objects than tasks that write them: every document comes back."""
+    from tessera.sources import files
+
+    rows = spark.range(200).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("title"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        sinks.index_files(rows, f"{tmp_path}/x", 3, "2024-01-15T00:00:00", per_file=10)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(int(r.id) for r in files.index(spark, f"{tmp_path}/x").select("id").collect()) == list(range(200))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from conftest import SMALL
 
