@@ -164,3 +164,11 @@ def test_greedy_modularity(spark):
     total = sum(degree.values())
     assert all(w - degree[min(p)] * degree[max(p)] / total <= 1e-6 for p, w in between.items() if len(p) == 2)
     assert G.greedy_modularity(df.limit(0)).count() == 0
+
+
+def test_greedy_modularity_size_guess(spark):
+    """Rounds do not multiply the size that the optimizer guesses for the state: it would outgrow the driver."""
+    path = [(f"{a:03}", f"{a + 1:03}", 1.0 + a % 7) for a in range(60)]
+    found = G.greedy_modularity(spark.createDataFrame(path, "source string, target string, weight double"))
+    assert found.count() == 61
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
