@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from tessera.plans.registry import QUERIES, SQL
 
@@ -49,6 +50,29 @@ def test_paragraph_lines(spark):
     assert any((page - 1) % 4 != 1 for _, page, _, _ in want)
 
 
+def test_containment_of_long_texts(spark):
+    """Both ways of pairing find the same lines, and no list of pieces carries the texts along."""
+    import random
+
+    from tessera.operators import elements as E
+
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abé漢") for _ in range(draw.randint(1, 9))) for _ in range(40)]
+    lines = [(d, "".join(draw.choices(words, k=draw.choice((1, 2, 3, 4, 300))))) for d in range(3) for _ in range(40)]
+    paragraphs = [(d, i, t[1 : draw.randint(8, 30)] + draw.choice(("", "z"))) for i, (d, t) in enumerate(lines)]
+    p = spark.createDataFrame(paragraphs, "doc_id int, page long, text string")
+    m = spark.createDataFrame([(d, i, t) for i, (d, t) in enumerate(lines)], "doc_id int, pos int, content string")
+    want = set()
+    for d, page, text in paragraphs:
+        fits = [(len(t), -i) for i, (e, t) in enumerate(lines) if e == d and (t in text or text in t)]
+        if len(text) >= 10 and fits:
+            want.add((d, page, text, 1 - max(fits)[1]))
+    assert {x[3] for x in want} and all({tuple(r) for r in E.page_lines(p, m, most=most).collect()} == want for most in (0, 1 << 26))
+    short, long = (m.select("doc_id", F.col("content").alias(c)).distinct() for c in "st")
+    plan = E.contained(short, long, "doc_id", most=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and not [x for x in plan.splitlines() if "Generate explode" in x and "t#" in x.split("[", 2)[-1]]
+
+
 def test_range_join_cells(spark):
     ranges = {}
     for c in spark.read.parquet(f"{SMALL}/customer.parquet").select("c_custkey", "c_nationkey").collect():
