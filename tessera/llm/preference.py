@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow import Numbers, mapped, sums, tidy
 from tessera.llm.common import crc_bucket, table, text_of
+from tessera.session import shared_folder, stored
 
 #: Classes of characters: other, lower-case, upper-case and other letters, digits, marks, blanks, line ends, sentence ends, commas, further punctuation, symbols, bars and hashes, brackets and quotes.
 _CLASSES = 14
@@ -122,43 +124,114 @@ def threshold(raw: np.ndarray, weight: np.ndarray, share: float) -> float:
     return float(raw[order[k]] + raw[order[min(k + 1, len(raw) - 1)]]) / 2
 
 
-def train(x: np.ndarray, label: np.ndarray, of_label: dict[int, int], pairs: int = 200_000) -> Model:
-    """A model of rows with labels 0 and 1; of_label: how many labelled rows the sample of each label stands for."""
-    if len(set(label.tolist())) < 2:
-        return Model(np.zeros(0))
-    x = x.astype(np.float64)
-    mean, spread = x.mean(axis=0), x.std(axis=0)
-    spread = np.where(spread > 1e-9, spread, np.inf)  # what never varies says nothing
-    z = np.clip((x - mean) / spread, -8, 8)
-    w = bradley_terry(z[label == 1], z[label == 0], pairs) / spread
-    raw = (x * w).sum(axis=1)
-    each = np.where(label == 1, of_label[1] / (label == 1).sum(), of_label[0] / (label == 0).sum())
-    return Model(w, threshold(raw, each, of_label[0] / (of_label[0] + of_label[1])), max(float(raw.std()) / 2, 1e-9))
+def _drawn(good: int, bad: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of `pairs` pairs (all, if they are fewer), every row in about as many as any other of its side."""
+    if good * bad <= pairs:
+        return np.repeat(np.arange(good), bad), np.tile(np.arange(bad), good)
+    draw, pairs = np.random.default_rng(11), max(pairs, good, bad)
+    return tuple(np.concatenate([draw.permutation(n) for _ in range(-(-pairs // n))])[:pairs] for n in (good, bad))
+
+
+def _rows(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=np.float16).reshape(-1, DIM).astype(np.float64)
+
+
+def _groups(stored_rows: DataFrame, function: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """v: what function gives for the good and the bad rows of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for good, bad in zip(batch.column("good"), batch.column("bad")):
+                yield pa.RecordBatch.from_arrays([pa.array([function(_rows(good.as_py()), _rows(bad.as_py()))], type=pa.list_(pa.float64()))], names=["v"])
+        tidy()
+
+    return stored_rows.select("good", "bad").mapInArrow(run, "v array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, pairs: int = 200_000) -> Model:
+def _total(parts: DataFrame) -> np.ndarray:
+    """The sum of v: a vector for each group of thousands of rows reaches the driver."""
+    got = parts.toArrow().column("v").to_pylist()
+    return np.sum(got, axis=0) if got else np.zeros(0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, pairs: int = 200_000, passes: int = 30, decay: float = 1e-3) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, quality 0 or 1; other values and nulls teach nothing).
 
-    per_label bounds the sample: at most so many labels of either value, and so many of their documents' rows, chosen by
-    hashes; pairs bounds the preference pairs drawn from them. Only the sample's features reach the driver.
+    All labelled rows teach. They are dealt by a hash into groups of about per_label rows of either label; in each group every
+    row is in pairs, of which `pairs` bounds the number (a group that has one label alone has none). Each of the passes, until the
+    steps are small, adds up the gradient over all groups; the curvature by which it is scaled is one group's, which
+    changes the way to the optimum and not the optimum. Features are kept in the shared folder, two bytes each.
     """
     named = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
     of_label = {r["label"]: r["count"] for r in named.groupBy("label").count().collect()}
     if len(of_label) < 2:
         return Model(np.zeros(0))
-    sample = [named.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
-    chosen = F.broadcast(sample[0].union(sample[1]))
+    groups = -(-sum(of_label.values()) // (2 * per_label))
 
     def work(_: pa.RecordBatch, texts: list[str]) -> dict[str, pa.Array]:
         return {"x": pa.array([r.astype(np.float16).tobytes() for r in features(texts)], type=pa.binary())}
 
-    found = mapped(docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id"), "text", work, "x binary", keep_text=False)
-    parts = [found.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(per_label).select("label", "x") for k in (0, 1)]
-    got = parts[0].union(parts[1]).toArrow()
-    x = np.stack([np.frombuffer(v.as_buffer(), dtype=np.float16) for v in got.column("x")]) if got.num_rows else np.zeros((0, DIM))
-    model = train(x, got.column("label").to_numpy(), of_label, pairs)
+    def pack(group: pa.Table) -> pa.Table:
+        label, x = group.column("label").to_pylist(), group.column("x").to_pylist()
+        sides = [b"".join(sorted(v for k, v in zip(label, x) if k == side)) for side in (1, 0)]
+        return pa.table({"g": pa.array([group.column("g")[0].as_py()], type=pa.int64()), "good": pa.array(sides[:1], type=pa.binary()), "bad": pa.array(sides[1:], type=pa.binary())})
+
+    found = mapped(docs.select("doc_id", text_of().alias("text")).join(named, "doc_id"), "text", work, "x binary", keep_text=False)
+    dealt = found.select("label", "x", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"))
+    kept = stored(dealt.groupBy("g").applyInArrow(pack, "g long, good binary, bad binary"), f"{shared_folder(docs.sparkSession)}/features")
+
+    def moments(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        n = len(_drawn(len(good), len(bad), pairs)[0]) if len(good) and len(bad) else 0
+        return np.concatenate([[len(good), len(bad), n], good.sum(axis=0) + bad.sum(axis=0), (good**2).sum(axis=0) + (bad**2).sum(axis=0)])
+
+    first = kept.where((F.octet_length("good") > 0) & (F.octet_length("bad") > 0)).orderBy("g").limit(1).toArrow()
+    if not first.num_rows:
+        return Model(np.zeros(0))
+    total = _total(_groups(kept, moments))
+    n, drawn = total[:2].sum(), total[2]
+    mean = total[3 : 3 + DIM] / n
+    spread = np.sqrt(np.maximum(total[3 + DIM :] / n - mean**2, 0))
+    spread = np.where(spread > 1e-6, spread, np.inf)  # what never varies says nothing
+    scaled = lambda x: np.clip((x - mean) / spread, -8, 8)
+    good, bad = (scaled(_rows(first.column(k)[0].as_py())) for k in ("good", "bad"))
+    between = good.mean(axis=0) - bad.mean(axis=0)
+    # no logistic loss curves more than a quarter; twice that, and a share of plain steps for few rows, leaves room for groups that differ
+    plain = DIM / (DIM + len(good) + len(bad))
+    curve = np.linalg.inv((1 - plain) * (np.cov(good.T, bias=True) + np.cov(bad.T, bias=True) + np.outer(between, between)) / 2 + (decay + plain + 1e-2) * np.eye(DIM))
+    w = ahead = np.zeros(DIM)
+    speed = rate = 1.0
+    best = (math.inf, w, w)
+    for _ in range(passes):
+
+        def slope(good: np.ndarray, bad: np.ndarray, at: np.ndarray = ahead) -> np.ndarray:
+            if not len(good) or not len(bad):
+                return np.zeros(1 + DIM)
+            good, bad = scaled(good), scaled(bad)
+            i, j = _drawn(len(good), len(bad), pairs)
+            lead = np.clip((good @ at)[i] - (bad @ at)[j], -500, 500)
+            pull = 1 / (1 + np.exp(lead))
+            return np.concatenate([[np.logaddexp(0, -lead).sum()], np.bincount(j, weights=pull, minlength=len(bad)) @ bad - np.bincount(i, weights=pull, minlength=len(good)) @ good])
+
+        got = _total(_groups(kept, slope)) / drawn
+        loss, gradient = got[0] + decay / 2 * ahead @ ahead, got[1:] + decay * ahead
+        if loss > best[0]:  # too far: shorter steps from the best place so far
+            rate, speed, w = rate / 4, 1.0, best[1]
+            ahead = w - rate * curve @ best[2]
+            continue
+        best = (loss, ahead, gradient)
+        new = ahead - rate * curve @ gradient
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        ahead, moved = new + (speed - 1) / faster * (new - w), float(np.abs(new - w).max())
+        w, speed = new, faster
+        if moved < 1e-3:
+            break
+    weight = best[1] / spread
+    raw = _groups(kept, lambda good, bad: np.concatenate([(good * weight).sum(axis=1), (bad * weight).sum(axis=1)])).select(F.explode("v").alias("raw"))
+    raw = stored(raw, f"{shared_folder(docs.sparkSession)}/raw")
+    at = raw.agg(F.percentile_approx("raw", total[1] / n, 100_000).alias("at"), F.stddev_pop("raw").alias("spread")).first()
+    above = raw.where(F.col("raw") > at["at"]).agg(F.min("raw")).first()[0]
     tidy()
-    return model
+    return Model(weight, at["at"] if above is None else (at["at"] + above) / 2, max(at["spread"] / 2, 1e-9))
 
 
 def rank(docs: DataFrame, model: Model) -> DataFrame:

@@ -217,3 +217,21 @@ def test_chance_is_exact(spark):
     n, total, terms = 9 * 10**17 + 7, 3 * 10**18 + 1, 10**6 + 3
     row = spark.range(1).select(divergence.chance(F.lit(n), F.lit(total), F.lit(terms)).alias("p")).first()
     assert row.p == 1 + 10**9 * (n + 5) // (total + 5 * terms)
+
+
+def test_quality_learns_from_all_rows(spark):
+    """Rows beyond per_label teach: what tells good from bad in all rows is learned from groups of twenty rows a label."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("calm words "), F.col("id"))).otherwise(F.concat(F.lit("### $$$ "), F.col("id"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    once = preference.fit(docs, labels, per_label=20)
+    # all labels turned but those of the 60 first by hash, among which a sample of 20 a label would lie
+    first = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).limit(60).collect()]
+    turned = labels.withColumn("quality", F.when(F.col("doc_id").isin(first), F.col("quality")).otherwise(1 - F.col("quality")))
+    other = preference.fit(docs, turned, per_label=20)
+    good, bad = preference.features(["calm words 7", "### $$$ 7"])
+    assert (good - bad) @ once.weight > 0 > (good - bad) @ other.weight
+    rows = preference.rank(docs, once).join(labels, "doc_id")
+    assert rows.where("predicted <> quality").count() <= 4
+    assert rows.where("predicted = 1").count() in range(196, 205)
