@@ -235,3 +235,16 @@ def test_quality_learns_from_all_rows(spark):
     rows = preference.rank(docs, once).join(labels, "doc_id")
     assert rows.where("predicted <> quality").count() <= 4
     assert rows.where("predicted = 1").count() in range(196, 205)
+
+
+def test_quality_features_meet_labels_without_texts(spark, docs, monkeypatch):
+    """Features come straight from the texts: no join, and so no shuffle of texts, lies below them; duplicates pair as before."""
+    plans, real = [], preference.mapped
+
+    def spy(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(preference, "mapped", spy)
+    model = preference.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert len(model.weight) == preference.DIM and plans and not any("Join" in p for p in plans)
