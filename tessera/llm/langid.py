@@ -33,6 +33,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 #: Size of the hashed space of letter n-grams, and their greatest length.
 DIM, LONGEST = 8192, 3
 UNKNOWN = "und"
+#: Bytes of text that are predicted at a time: the arrays of their n-grams take some fifty times as much.
+SLICE = 250_000
 _SEED = (0, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -211,7 +213,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         said, score = shared.value.predict(texts)
         return {"lang_pred": pa.array(said, type=pa.string()), "score": pa.array(score)}
 
-    return mapped(docs, "text", work, "lang_pred string, score double")
+    return mapped(docs, "text", work, "lang_pred string, score double", SLICE)
 
 
 def taught(docs: DataFrame) -> DataFrame:

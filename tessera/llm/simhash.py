@@ -27,6 +27,8 @@ from tessera.llm.components import components
 THRESHOLD = 4
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _SHINGLE = 4
+#: Bytes of text that get fingerprints at a time: the hashes of their shingles take some hundred times as much.
+SLICE = 250_000
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -278,7 +280,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     def work(_: pa.RecordBatch, texts: list[str]) -> dict[str, pa.Array]:
         return {"fp": pa.array(fingerprints(texts).view(np.int64))}
 
-    return mapped(docs, "text", work, "fp long")
+    return mapped(docs, "text", work, "fp long", SLICE)
 
 
 def _grouped(rows: DataFrame) -> DataFrame:

@@ -686,3 +686,26 @@ def test_escape_round_trip(spark):
     df = spark.createDataFrame(rows, "t string").select("t", chat.escape(F.col("t")).alias("e"))
     for r in df.select("t", "e", chat.unescape(F.col("e")).alias("u")).collect():
         assert r.u == r.t and not any(c in r.e for c in chat.CONTROL)
+
+
+def test_slices_bound_a_workers_memory(spark, docs, monkeypatch):
+    """What language identification and fingerprints take for the slices that they ask for, in a worker beside others."""
+    import inspect
+    import tracemalloc
+
+    asked, default = [], inspect.signature(langid.mapped).parameters["most"].default
+    for module in (langid, simhash):
+        real = module.mapped
+        monkeypatch.setattr(module, "mapped", lambda df, text, function, schema, most=default, real=real, **kw: asked.append(most) or real(df, text, function, schema, most, **kw))
+    model = langid.train(["en", "de"] * 3, langid.frequencies(["the cat sat", "der hund bellt"] * 3).astype(np.float16))
+    langid.identify(docs, model)
+    simhash.fingerprinted(docs)
+    assert len(asked) == 2
+    draw = np.random.default_rng(3)
+    for work, most in zip((model.predict, simhash.fingerprints), asked):
+        texts = [" ".join(f"w{k}" for k in draw.integers(0, 5000, 400)) for _ in range(most // 2300)]
+        tracemalloc.start()
+        work(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6
