@@ -1,7 +1,7 @@
 """Byte-level BPE with given ranks: merges folded by higher-order functions over the bytes of distinct words.
 
-The ranks are a literal in the plan: pair (left id, right id) -> id of the merged token, packed as a table with
-displaced rows, so that a look-up is two array reads. Words common in the corpus are encoded once for all; what they
+The ranks are a row that a scalar subquery reads: pair (left id, right id) -> id of the merged token, packed as a table
+with displaced rows, so that a look-up is two array reads. Words common in the corpus are encoded once for all; what they
 leave over is encoded where it stands, once for a slice of texts. Decoding concatenates the tokens' bytes.
 """
 
@@ -147,7 +147,22 @@ def encode_word(word: Column, ranks: Ranks) -> Column:
     """
     # one copy of each literal, however often the expressions below name it
     literals = F.struct(_longs(ranks.base).alias("base"), _longs(ranks.table).alias("packed"), _longs(ranks.byte_ids).alias("first"))
-    return _let(literals, lambda t: _fold_word(word, t["base"], t["packed"], t["first"]))
+    return _encoded(word, literals)
+
+
+def _encoded(word: Column, arrays: Column) -> Column:
+    return _let(arrays, lambda t: _fold_word(word, t["base"], t["packed"], t["first"]))
+
+
+def with_arrays(df: DataFrame, ranks: Ranks, name: str = "__ranks") -> DataFrame:
+    """df with the arrays of ranks as a column, for one use of it in a projection that drops it: a scalar subquery.
+
+    Spark's optimizer puts the subquery where the column is used, so no row carries it. A plan describes a literal by
+    all its values, and the driver keeps the descriptions of past plans; of a subquery it names the columns.
+    """
+    arrays = {"base": ranks.base, "packed": ranks.table, "first": ranks.byte_ids}
+    row = pa.table({k: pa.array([v], type=pa.list_(pa.int64())) for k, v in arrays.items()})
+    return df.select("*", df.sparkSession.createDataFrame(row).select(F.struct(*arrays)).scalar().alias(name))
 
 
 def _fold_word(word: Column, base: Column, packed: Column, first: Column) -> Column:
@@ -247,7 +262,7 @@ def common_words(docs: DataFrame, pattern: str, ranks: Ranks, most: int) -> list
         if room < 0:
             break
         least = row["level"]
-    coded = counted.where(F.col("level") >= least).select("word", encode_word(F.col("word"), ranks).cast("array<int>").alias("ids"))
+    coded = with_arrays(counted.where(F.col("level") >= least), ranks).select("word", _encoded(F.col("word"), F.col("__ranks")).cast("array<int>").alias("ids"))
     return coded.toArrow().to_batches(max_chunksize=1 << 16)
 
 
@@ -375,7 +390,8 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, most: int = 1 << 20, pac
     rows = docs.drop("ids", "ids_le", "decoded") if packed else docs.drop("ids")
     kept = [f for f in rows.schema.fields if not packed or f.name != "text"]
     listed = mapped(rows, "text", split, "__refs array<int>, __rest array<string>, __long array<array<int>>", _SLICE, keep_text=not packed)
-    folded = listed.withColumn("__own", F.concat(F.transform("__rest", lambda w: encode_word(w, ranks).cast("array<int>")), "__long")).drop("__rest", "__long")
+    own = F.concat(F.transform("__rest", lambda w: _encoded(w, F.col("__ranks")).cast("array<int>")), "__long")
+    folded = with_arrays(listed, ranks).withColumn("__own", own).drop("__rest", "__long", "__ranks")
     names = [f.name for f in kept]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -306,6 +306,15 @@ def test_bpe_tokens_apart(spark):
             assert list(r.ids) == want.encode_ordinary(r.text)
 
 
+def test_bpe_plans_hold_no_ranks(spark, odd):
+    """The driver keeps descriptions of past plans: they name the arrays of ranks, and don't list them."""
+    ranks, pattern = bpe.public_ranks()
+    encoded = bpe.digests(bpe.encode(odd.select("text"), ranks, pattern, 10, packed=True))
+    assert len(encoded._jdf.queryExecution().toString()) < 200_000
+    # no row carries the arrays: they are read where they are used
+    assert "__ranks" not in encoded._jdf.queryExecution().executedPlan().toString()
+
+
 def test_heap_agrees_with_fold(spark, encoding):
     ranks, _ = bpe.public_ranks()
     words = ["thanedble", " Éreaneux", "aaaaaaaaaaaaaaaaaaaab", "日本語", "\x1c\x85", "ererererere"]
