@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters that are not ASCII white space (space, tab to carriage return).
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: What stands between words.
+BETWEEN = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,10 +11,9 @@ Shards are drawn by a hash of doc_id and hold about SHARD tokens, however the te
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import Numbers, mix, slices, small_batches, sums
-from tessera.llm.common import WORD, crc_bucket, cut, table, text_of
+from tessera.llm.common import BETWEEN, crc_bucket, cut, table, text_of
 
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Groups, and classes of a group.
 WIDTH = 24
 CLASSES = WIDTH * WIDTH
@@ -41,6 +39,8 @@ ROUNDS, RATE, BATCH = 3, 0.15, 8192
 #: Rows that are updated or scored at a time; no result depends on it.
 FEW = 1024
 _SLICE = 1_000_000
+#: Words that a task remembers from slice to slice; no result depends on it.
+MOST_MET = 1 << 17
 #: Training tokens of a shard, and shards whose moves are summed up in one step.
 SHARD, STEP = 1_000_000, 64
 _END, _BEFORE = 0x51ED270B1B0E25A1, 0x2545F4914F6CDD1D
@@ -81,16 +81,17 @@ class Counts:
         return out
 
     def classes(self, words: list[str]) -> np.ndarray:
-        seen: dict[str, int] = {}
+        own, by_ending = self.own.get, _Endings()
+        return np.fromiter((own(w) or by_ending[w[-2:]] for w in words), dtype=np.int64, count=len(words))
 
-        def by_ending(end: str) -> int:
-            if end not in seen:
-                h = xxhash.xxh64_intdigest(end.encode("utf-8", "surrogatepass"), 42)
-                seen[end] = ((h - (1 << 64)) if h >> 63 else h) % ENDINGS + 1 + OWN
-            return seen[end]
 
-        own = self.own.get
-        return np.fromiter((own(w) or by_ending(w[-2:]) for w in words), dtype=np.int64, count=len(words))
+class _Endings(dict):
+    """The class of each ending, worked out when it is first asked for."""
+
+    def __missing__(self, end: str) -> int:
+        h = xxhash.xxh64_intdigest(end.encode("utf-8", "surrogatepass"), 42)
+        self[end] = kind = ((h - (1 << 64)) if h >> 63 else h) % ENDINGS + 1 + OWN
+        return kind
 
 
 def _hash(words: list[str]) -> np.ndarray:
@@ -103,8 +104,10 @@ def count(training: DataFrame, most: int) -> tuple[Counts, DataFrame]:
     At most `most` words, the most frequent, come to the driver and are broadcast; the table serves the rest.
     """
     spark = training.sparkSession
-    lower = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = training.select(F.explode(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))).alias("word"))
+    text = text_of()
+    # lower() is the faster one, and changes A-Z alone where there is nothing but ASCII
+    lower = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    words = training.select(F.explode(F.split(lower, BETWEEN)).alias("word")).where("word <> ''")
     counted = cut(words.groupBy("word").count())
     ends = training.count()
     own = {r["word"]: k + 1 for k, r in enumerate(counted.orderBy(F.desc("count"), "word").limit(OWN).collect())}
@@ -130,32 +133,59 @@ def count(training: DataFrame, most: int) -> tuple[Counts, DataFrame]:
     return Counts(int(class_total.sum()), int(class_distinct.sum()), ends, own, class_total, class_distinct, hashes[order], known, n), counted
 
 
+class Met:
+    """The words of a task's slices so far, each with its hash, class and (with_counts) count; number 0 is the end.
+
+    Most words of a slice were in the slices before it. Beyond MOST_MET words the next slice begins anew.
+    """
+
+    def __init__(self, counts: Counts, with_counts: bool = False) -> None:
+        self.counts, self.with_counts = counts, with_counts
+        self.begin()
+
+    def begin(self) -> None:
+        self.numbers, self.words = Numbers({b"": 0}), [""]
+        self.hashes, self.kind = np.array([_END], dtype=np.uint64), np.zeros(1, dtype=np.int64)
+        self.count = np.array([self.counts.ends], dtype=np.int64)
+
+    def numbered(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's words."""
+        if len(self.words) > MOST_MET:
+            self.begin()
+        number = self.numbers.__getitem__
+        # bytes.lower() changes A-Z alone, and bytes.split() cuts at the white space of WORD
+        each = [list(map(number, t.encode("utf-8", "surrogatepass").lower().split())) for t in texts]
+        new = list(islice(self.numbers, len(self.words), None))
+        words = [w.decode("utf-8", "surrogatepass") for w in new]
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], dtype=np.uint64)
+        self.words += words
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.kind = np.concatenate([self.kind, self.counts.classes(words)])
+        if self.with_counts:
+            self.count = np.concatenate([self.count, self.counts.look_up(words, hashes)])
+        return each
+
+
 @dataclass
 class Tokens:
-    """A slice's tokens in sequence, each text's followed by its end (code 0)."""
+    """A slice's tokens in sequence, each text's followed by its end (code 0); codes are numbers of words met."""
 
     words: list[str]
     hashes: np.ndarray
     kind: np.ndarray
+    count: np.ndarray
     code: np.ndarray
     length: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str], counts: Counts) -> "Tokens":
-        known = Numbers({b"": 0})
-        number = known.__getitem__
-        each = [list(map(number, _WORD.findall(t.encode("utf-8", "surrogatepass").lower()))) for t in texts]
+    def of(cls, texts: list[str], met: Met) -> "Tokens":
+        each = met.numbered(texts)
         length = np.array([len(x) + 1 for x in each], dtype=np.int64)
         code = np.zeros(int(length.sum()), dtype=np.int64)
         inside = np.ones(len(code), dtype=bool)
         inside[np.cumsum(length) - 1] = False
         code[inside] = np.fromiter(chain.from_iterable(each), dtype=np.int64, count=int(inside.sum()))
-        words = [w.decode("utf-8", "surrogatepass") for w in known]
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], dtype=np.uint64)
-        hashes[0] = _END
-        kind = counts.classes(words)
-        kind[0] = 0
-        return cls(words, hashes, kind, code, length)
+        return cls(met.words, met.hashes, met.kind, met.count, code, length)
 
     def features(self, dim: int) -> np.ndarray:
         """Rows of the weight table (of dim rows) for each token's history: last word, last two, the one before (skip), last two classes."""
@@ -202,12 +232,14 @@ class Model:
 
     @staticmethod
     def scores(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """All scores less the greatest, a row for each history; weights is one half of the table."""
+        """All scores less the greatest, a column for each history; weights is one half of the table."""
         z = weights.take(rows[:, 0], axis=0)
         for k in range(1, FEATURES):
             z += weights.take(rows[:, k], axis=0)
         z += bias
-        z -= z.max(axis=1, keepdims=True)
+        # numpy goes along long rows many times faster than along many rows of WIDTH
+        z = np.ascontiguousarray(z.T)
+        z -= z.max(axis=0)
         return z
 
     def log_chance(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -215,8 +247,8 @@ class Model:
         out = np.zeros(len(kind), dtype=np.float64)
         for weights, (r, bias, k) in zip(self.halves(self.weights), self.parts(rows, kind)):
             z = self.scores(weights, r, bias)
-            out += z[np.arange(len(k)), k]
-            out -= np.log(np.exp(z, out=z).sum(axis=1))
+            out += z[k, np.arange(len(k))]
+            out -= np.log(np.exp(z, out=z).sum(axis=0))
         return out
 
     def learn(self, rows: np.ndarray, kind: np.ndarray, seen: np.ndarray) -> None:
@@ -229,10 +261,14 @@ class Model:
 
     def _step(self, weights: np.ndarray, r: np.ndarray, bias: np.ndarray, k: np.ndarray, seen: np.ndarray, places: np.ndarray) -> None:
         """A step of one half of the table; places is room for a number for each of its rows."""
-        gradient = self.scores(weights, r, bias)
-        np.exp(gradient, out=gradient)
-        gradient /= gradient.sum(axis=1, keepdims=True)
-        gradient[np.arange(len(k)), k] -= 1
+        columns = np.empty((WIDTH, len(k)), dtype=np.float64)
+        for at in range(0, len(k), FEW):
+            to = min(at + FEW, len(k))
+            gradient = self.scores(weights, r[at:to], bias if bias.ndim == 1 else bias[at:to])
+            np.exp(gradient, out=gradient)
+            gradient /= gradient.sum(axis=0)
+            gradient[k[at:to], np.arange(to - at)] -= 1
+            columns[:, at:to] = gradient
         flat = r.ravel(order="F")
         touched = np.zeros(len(places), dtype=bool)
         touched[flat] = True
@@ -240,21 +276,26 @@ class Model:
         places[own] = np.arange(len(own))
         place = places.take(flat)
         # a column of gradients at a time: bincount adds up far faster than sums over sorted rows
-        columns = np.ascontiguousarray(gradient.T, dtype=np.float64)
-        added = np.empty((WIDTH, len(own)), dtype=np.float32)
+        added, tiled = np.empty((WIDTH, len(own)), dtype=np.float32), np.empty((FEATURES, len(k)), dtype=np.float64)
         for column in range(WIDTH):
-            added[column] = np.bincount(place, weights=np.tile(columns[column], FEATURES), minlength=len(own))
+            tiled[:] = columns[column]
+            added[column] = np.bincount(place, weights=tiled.ravel(), minlength=len(own))
         total = np.ascontiguousarray(added.T)
+        # a row as one item, which is put in its place whole
+        row = np.dtype((np.void, weights.itemsize * WIDTH))
+        seen_rows, weight_rows = seen.view(row).ravel(), weights.view(row).ravel()
         for at in range(0, len(own), FEW):  # few rows at a time stay in the processor's cache
             some, step = own[at : at + FEW], total[at : at + FEW]
             squares = step * step
             squares += seen.take(some, axis=0)
-            seen[some] = squares
+            seen_rows[some] = squares.view(row).ravel()
             squares += np.float32(1e-4)
             np.sqrt(squares, out=squares)
             step /= squares
             step *= np.float32(RATE)
-            weights[some] = weights.take(some, axis=0) - step
+            new = weights.take(some, axis=0)
+            new -= step
+            weight_rows[some] = new.view(row).ravel()
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +334,7 @@ def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
         start = spark.sparkContext.broadcast(model)
 
         def move(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own, seen, tokens, now, all_tokens = Model(), None, 0, None, 0
+            own, seen, tokens, now, all_tokens, met = Model(), None, 0, None, 0, Met(shared_counts.value)
             moved = np.zeros_like(start.value.weights)
 
             def add() -> int:
@@ -318,7 +359,7 @@ def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
                     now, tokens = part.column("shard")[0].as_py(), 0
                     own.weights, own.group_bias, own.class_bias = start.value.weights.copy(), start.value.group_bias, start.value.class_bias
                     seen = np.zeros_like(own.weights)
-                t = Tokens.of(texts, shared_counts.value)
+                t = Tokens.of(texts, met)
                 own.learn(t.features(own.rows), t.kind[t.code], seen)
                 tokens += len(t.code)
             if tokens:
@@ -359,12 +400,11 @@ def score(docs: DataFrame, model: Model, counts: Counts, counted: DataFrame) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, have = shared.value
+        met = Met(have, with_counts=True)
         class_room = np.log10(have.class_total + have.class_distinct + 1)
         for part, texts in slices(batches, "text", _SLICE):
-            t = Tokens.of(texts, have)
-            n = have.look_up(t.words, t.hashes)
-            n[0] = have.ends
-            of = n[t.code]
+            t = Tokens.of(texts, met)
+            of = t.count[t.code]
             ready = np.log10(np.maximum(of, 0) + 1.0)
             kind = t.kind[t.code]
             rows = t.features(own.rows)

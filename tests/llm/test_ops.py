@@ -381,6 +381,30 @@ def test_lm_chances_sum_to_one():
         assert math.isclose(np.exp(model.log_chance(rows, np.arange(lm.CLASSES))).sum(), 1, rel_tol=1e-5)
 
 
+@pytest.mark.parametrize("most", [0, 3, 1 << 17])
+def test_lm_words_are_looked_up_once(monkeypatch, most):
+    """A task hashes and looks up a word when it is first met, or first met again after it began anew; the tokens are the same."""
+    monkeypatch.setattr(lm, "MOST_MET", most)
+    asked = []
+
+    class Counted(lm.Counts):
+        def look_up(self, words, hashes):
+            asked.extend(words)
+            return np.array([len(w) for w in words], dtype=np.int64)
+
+    own = {"ab": 1, "\xe9": 2}
+    counts = Counted(0, 0, 7, own, np.zeros(lm.CLASSES), np.zeros(lm.CLASSES), np.zeros(0, np.uint64), None, np.zeros(0))
+    met, slices = lm.Met(counts, with_counts=True), [["AB \xc9 c\x0bab", ""], ["c \xe9\x1cx", "ab"], ["ab  c\t"], ["d"]]
+    for texts in slices:
+        t = lm.Tokens.of(texts, met)
+        want = [w for text in texts for w in [*words_of(text.translate(LOWER)), ""]]
+        assert [t.words[c] for c in t.code] == want and t.length.tolist() == [len(words_of(x)) + 1 for x in texts]
+        assert t.count[t.code].tolist() == [len(w) or 7 for w in want]
+        assert t.kind[t.code].tolist() == [counts.classes([w])[0] if w else 0 for w in want]
+        assert t.hashes[t.code].tolist() == [xxhash.xxh64_intdigest(w) if w else lm._END for w in want]
+    assert most < 4 or sorted(asked) == sorted({w for texts in slices for text in texts for w in words_of(text.translate(LOWER))})
+
+
 def test_lm_does_not_depend_on_partitions(spark, docs):
     scores = []
     for n in (1, 7):
