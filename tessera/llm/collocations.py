@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from operator import itemgetter
 
 import ahocorasick
@@ -32,6 +33,8 @@ _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else _END if b in b".,;:!?\n\x0b\x0c\
 LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, _CELLS = 1 << 16, 1 << 26, 8, 1 << 16
 #: Bytes of text of a slice, phrases of an automaton, phrases that a worker holds before it passes counts on.
 _SLICE, _PHRASES, _HELD = 1_000_000, 60_000, 1_000_000
+#: Bytes of text that there is a part of the phrases for: what a task adds up at a time follows from it.
+_BYTES_A_PART = 8_000_000
 #: Parts of a language's candidates that are ranked by themselves first.
 _SALTS = 32
 LEAST, LONGEST, TOP, INSIDE = 10, 3, 2000, 50
@@ -75,21 +78,43 @@ def cells_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> shift).astype(np.int64), half + (mix(h) >> shift).astype(np.int64)
 
 
+def _packed(raw: bytes | memoryview) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: memoryview) -> pa.Buffer:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd")
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes of the numbers, then all next ones, and so on: the high ones are nearly all zero."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
+
+
+def _from_planes(raw: pa.Buffer, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def frequent(lang: str, ids: np.ndarray, known: list[bytes], sketches: list[np.ndarray], least: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """n, starts, hashes of the n-grams whose parts of n - 1 words may all be frequent, and with a sketch they themselves.
 
     sketches: one of words and pairs, then one of each greater length; without one of its own an n-gram counts by its parts.
+    They were made for the same least.
     """
-    enough, before = min(least, 255), None
+    before = None
     for n, starts, h in gram_hashes(lang, ids, known, longest):
         if before is not None:
             keep = before[starts] & before[starts + 1]
             starts, h = starts[keep], h[keep]
         if max(n - 2, 0) < len(sketches):
-            cells = sketches[max(n - 2, 0)]
-            one, two = cells_of(h, len(cells).bit_length() - 1)
-            keep = cells[one] >= enough
-            keep[keep] = cells[two[keep]] >= enough
+            enough = sketches[max(n - 2, 0)]
+            one, two = cells_of(h, (8 * len(enough)).bit_length() - 1)
+            keep = _is_set(enough, one)
+            keep[keep] = _is_set(enough, two[keep])
             starts, h = starts[keep], h[keep]
         yield n, starts, h
         before = np.zeros(len(ids) + 1, dtype=bool)
@@ -97,12 +122,14 @@ def frequent(lang: str, ids: np.ndarray, known: list[bytes], sketches: list[np.n
 
 
 def sketch(docs: DataFrame, lower: Broadcast | None, least: int, longest: int, bits: int) -> np.ndarray:
-    """2^bits counters that saturate at 255: in either half one of each n-gram's, never less than its count.
+    """Which of 2^bits counters reach least, a bit each: in either half one counts each n-gram, never less than its count.
 
     Without lower they count words and pairs; with it (the sketches of all shorter n-grams) those of length `longest`
-    whose parts may be frequent. A worker adds up its shard and passes on the blocks that it touched, no counter above
-    `least`; blocks are added up where the shuffle puts them, one after another. A sum reaches `least` where the count does.
+    whose parts may be frequent. A worker adds up its shard and passes on the blocks that it touched (the distances of the
+    counters that are not zero, and those counters), no counter above `least`; blocks are added up where the shuffle puts
+    them, one after another. A sum reaches `least` where the count does; counters and least end at 255.
     """
+    enough = min(least, 255)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = None
@@ -119,38 +146,47 @@ def sketch(docs: DataFrame, lower: Broadcast | None, least: int, longest: int, b
         if cells is not None:
             blocks = cells.reshape(-1, min(_CELLS, len(cells)))
             for k in np.flatnonzero(blocks.any(axis=1)):  # a shard's counts matter up to the threshold alone
-                packed = pa.compress(np.minimum(blocks[k], min(least, 255)).tobytes(), codec="zstd", asbytes=True)
+                at = np.flatnonzero(blocks[k])
+                packed = _packed(_planes(np.diff(at, prepend=0).astype(np.uint16)) + np.minimum(blocks[k][at], enough).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([int(k)], type=pa.int32()), pa.array([packed], type=pa.binary())], names=["block", "cells"])
         tidy()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, cells in zip(batch.column("block").to_pylist(), batch.column("cells")):
-                own = np.frombuffer(pa.decompress(cells.as_buffer(), decompressed_size=min(_CELLS, 1 << bits), codec="zstd"), dtype=np.uint8)
-                total[k] = np.minimum(total[k].astype(np.uint16) + own, 255).astype(np.uint8) if k in total else own.copy()
+            for k, packed in zip(batch.column("block").to_pylist(), batch.column("cells")):
+                raw = _unpacked(memoryview(packed.as_buffer()))
+                n = len(raw) // 3
+                at = np.cumsum(_from_planes(raw[: 2 * n], np.uint16), dtype=np.int64)
+                cells = total.setdefault(k, np.zeros(min(_CELLS, 1 << bits), dtype=np.uint8))
+                cells[at] = np.minimum(cells[at].astype(np.uint16) + np.frombuffer(raw[2 * n :], dtype=np.uint8), 255)
         for k, cells in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([cells.tobytes()], type=pa.binary())], names=["block", "cells"])
+            bit = np.packbits(cells >= enough, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([bit], type=pa.binary())], names=["block", "cells"])
         tidy()
 
     kind = "block int, cells binary"
     found = docs.mapInArrow(shard, kind).repartition("block").mapInArrow(add, kind).toArrow()
-    out = np.zeros(1 << bits, dtype=np.uint8)
-    width = min(_CELLS, len(out))
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    width = min(_CELLS // 8, len(out))
     for k, cells in zip(found.column("block").to_pylist(), found.column("cells")):
         out[k * width : (k + 1) * width] = np.frombuffer(cells.as_buffer(), dtype=np.uint8)
     return out
 
 
-def sketches(docs: DataFrame, least: int, longest: int, most_cells: int = MOST_CELLS) -> Broadcast:
+def _bytes_of(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+
+
+def sketches(docs: DataFrame, least: int, longest: int, most_cells: int = MOST_CELLS, size: int | None = None) -> Broadcast:
     """A sketch of words and pairs, and one of each greater length up to longest: each pass leaves out what the last ruled out.
 
-    A sketch's size follows the texts' size up to most_cells. Where the corpus outgrows that, more n-grams pass than are
+    A sketch's size follows the texts' size (in bytes; None: worked out here) up to most_cells. Where the corpus outgrows that, more n-grams pass than are
     frequent: that costs time and shuffle, up to those of a plain count, not truth.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    size = _bytes_of(docs) if size is None else size
     bits = min(max((size // BYTES_A_CELL).bit_length(), LEAST_CELLS.bit_length() - 1), most_cells.bit_length() - 1)
     shared = spark.sparkContext.broadcast([sketch(docs, None, least, min(longest, 2), bits)])
     for n in range(3, longest + 1):
@@ -181,18 +217,62 @@ def matches(text: str, phrases: list[str]) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame, bound: Broadcast, least: int, longest: int) -> DataFrame:
-    """lang, phrase, n: exact counts of the phrases of up to longest words that occur `least` times, and of all words ("")."""
+def _heads(lines: pa.Array) -> np.ndarray:
+    """A hash of each line's first two words (or of the one that it has); lines end with a line feed."""
+    starts, data = np.frombuffer(lines.buffers()[1], dtype=np.int32)[: len(lines) + 1].astype(np.int64), np.frombuffer(lines.buffers()[2], dtype=np.uint8)
+    ends = starts[1:] - 1
+    blanks = np.append(np.flatnonzero(data == 0x20), [len(data)] * 2)
+    ends = np.minimum(ends, blanks[np.searchsorted(blanks, starts[:-1]) + 1])
+    place = np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
+    total = np.zeros(len(place) + 1, dtype=np.uint64)
+    np.cumsum(mix(np.arange(int(np.diff(starts).max())))[place] * data[: len(place)], out=total[1:])
+    return total[ends] - total[starts[:-1]]
+
+
+def parcels(held: dict[str, dict[str, int]], parts: int) -> Iterator[tuple[int, list[str], list[int], bytes, bytes]]:
+    """Part, its languages, how many phrases each has, the phrases of one after another (packed) and their counts (packed).
+
+    The part follows from the language and the first two words; phrases of a part are in order, which their packing makes use of.
+    """
+    langs, lang = list(held), np.repeat(np.arange(len(held)), [len(own) for own in held.values()])
+    lines = pc.binary_join_element_wise(pa.array(list(chain.from_iterable(held.values())), type=pa.string()), "", "\n")
+    counts = np.fromiter(chain.from_iterable(own.values() for own in held.values()), dtype=np.int64, count=len(lang))
+    seeds = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 3) for x in langs], dtype=np.uint64)
+    part = (mix(_heads(lines) ^ seeds[lang]) % np.uint64(parts)).astype(np.int64) * len(langs) + lang
+    order = pc.sort_indices(lines).to_numpy()
+    order = order[np.argsort(part[order], kind="stable")]
+    part, counts, lines = part[order], counts[order], lines.take(pa.array(order))
+    ends, text = np.frombuffer(lines.buffers()[1], dtype=np.int32), memoryview(lines.buffers()[2])
+    edges = np.flatnonzero(np.diff(part // len(langs), prepend=-1, append=-1)).tolist()
+    for begin, end in zip(edges[:-1], edges[1:]):
+        some, n = np.unique(part[begin:end] % len(langs), return_counts=True)
+        yield int(part[begin] // len(langs)), [langs[k] for k in some], n.tolist(), _packed(text[ends[begin] : ends[end]]), _packed(_planes(counts[begin:end]))
+
+
+def unpacked(langs: list[str], sizes: list[int], phrases: memoryview, counts: memoryview) -> pa.Table:
+    """lang, phrase, n of a parcel."""
+    text, n = np.frombuffer(_unpacked(phrases), dtype=np.uint8), _from_planes(_unpacked(counts), np.int64)
+    breaks = np.flatnonzero(text == 0x0A)
+    ends = np.concatenate([[0], breaks - np.arange(len(breaks))]).astype(np.int32)
+    phrase = pa.StringArray.from_buffers(len(n), pa.py_buffer(ends), pa.py_buffer(np.delete(text, breaks)))
+    return pa.table({"lang": pa.array(langs, type=pa.string()).take(pa.array(np.repeat(np.arange(len(langs)), sizes))), "phrase": phrase, "n": n})
+
+
+def counted(docs: DataFrame, bound: Broadcast, least: int, longest: int, size: int | None = None) -> DataFrame:
+    """lang, phrase, n: exact counts of the phrases of up to longest words that occur `least` times, and of all words ("").
+
+    What a worker has counted goes to the shuffle in parcels, one a part; the phrases of a part are added up together.
+    size: bytes of all texts, which the number of parts follows (None: worked out here).
+    """
+    parts = (_bytes_of(docs) if size is None else size) // _BYTES_A_PART + 1
+    kind = pa.schema([("part", pa.int32()), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("phrases", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                phrases = sorted(counts)  # neighbours begin alike, which the shuffle's compression makes use of
-                for at in range(0, len(phrases), 100_000):
-                    part = phrases[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pc.cast(pa.array(part), pa.binary()), pa.array([counts[p] for p in part], type=pa.int64())], names=["lang", "phrase", "n"])
+            for parcel in parcels(held, parts) if held else ():
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(parcel, kind)], schema=kind)
             held.clear()
 
         for part, texts in slices(batches, "text", _SLICE):
@@ -212,10 +292,15 @@ def counted(docs: DataFrame, bound: Broadcast, least: int, longest: int) -> Data
         yield from flush()
         tidy()
 
-    made = docs.mapInArrow(run, "lang string, phrase binary, n long")
-    # phrases of a batch are distinct: a sum before the shuffle would find little to add up, and would undo their order
-    summed = made.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return summed.where((F.col("n") >= least) | (F.octet_length("phrase") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
+    def add(group: pa.Table) -> pa.Table:
+        columns = [group.column(c) for c in ("langs", "sizes", "phrases", "counts")]
+        each = [unpacked(x.as_py(), k.as_py(), memoryview(p.as_buffer()), memoryview(n.as_buffer())) for x, k, p, n in zip(*columns)]
+        total = pa.concat_tables(each).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        keep = pc.or_(pc.greater_equal(total.column("n_sum"), least), pc.equal(total.column("phrase"), ""))
+        return total.filter(keep).rename_columns(["lang", "phrase", "n"])
+
+    made = docs.mapInArrow(run, "part int, langs array<string>, sizes array<long>, phrases binary, counts binary")
+    return made.groupBy("part").applyInArrow(add, "lang string, phrase string, n long")
 
 
 def _joined(words: Column, start: Column | int, length: Column | int) -> Column:
@@ -253,8 +338,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     has no rows. top None: all candidates. Counts may have up to 15 digits.
     """
     docs = docs.select(text_of().alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    bound = sketches(docs, least, longest, most_cells)
-    counts = cut(counted(docs, bound, least, longest))
+    size = _bytes_of(docs)
+    bound = sketches(docs, least, longest, most_cells, size)
+    counts = cut(counted(docs, bound, least, longest, size))
     bound.destroy()
     kept = scored(counts).join(longest_inside(counts), ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True)))
     total = counts.where(F.col("phrase") == "").select("lang", F.col("n"))

@@ -91,6 +91,32 @@ def test_matches_overlap():
     assert collocations.matches(" a a a a \n a b a b a ", ["a", "a a", "a b a", "b", "zz"]).tolist() == [7, 3, 2, 2, 0]
 
 
+@pytest.mark.parametrize("most_cells", [1 << 12, 1 << 20])
+def test_sketches_are_shared_as_bits(docs, most_cells, monkeypatch):
+    """What workers get of a sketch is which counters reach the threshold, an eighth of the counters' bytes."""
+    monkeypatch.setattr(collocations, "LEAST_CELLS", 1 << 10)
+    df = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    assert all(len(b) <= most_cells // 8 and b.any() for b in collocations.sketches(df, 10, 3, most_cells).value)
+
+
+def test_parcels(docs):
+    """Counts come back from their parcels, in far fewer bytes and rows than one a phrase; phrases that begin alike share a part."""
+    held = {"en": Counter(), "": Counter({"": 0, "x\x00 y": 1 << 40, "\x85": 3}), "日": Counter({"é 😀 z": 12, "é 😀": 13, "é": 1, "é 😀x": 2, "w" * 70_000 + " b": 5})}
+    for r in docs.collect():
+        words = (r.text or "").split()
+        held["en"].update(w for n in (1, 2, 3) for w in map(" ".join, zip(*[words[k:] for k in range(n)])))
+    for parts in (1, 7):
+        made, got, part_of = list(collocations.parcels(held, parts)), Counter(), {}
+        for part, langs, sizes, phrases, n in made:
+            for lang, phrase, k in zip(*[c.to_pylist() for c in collocations.unpacked(langs, sizes, memoryview(phrases), memoryview(n)).columns]):
+                assert (lang, phrase) not in got
+                got[lang, phrase] = k
+                assert part_of.setdefault((lang, *phrase.split(" ")[:2]), part) == part
+        assert got == {(lang, p): k for lang, own in held.items() for p, k in own.items()} and len(made) == len({m[0] for m in made}) == parts
+        # half of the phrases' bytes alone, without their counts and a row's fixed part
+        assert sum(len(m[3]) + len(m[4]) for m in made) < sum(len(p.encode()) for own in held.values() for p in own) / 2
+
+
 def test_collocations_odd(odd):  # noqa: F811
     got = collocations.collocations(odd).collect()
     assert {(r.lang, r.phrase) for r in got if r["rank"] == 1} == {tuple(x[:1] + x[2:3]) for x in brute_collocations([(g, t) for _, t, g, _ in ODD]) if x[1] == 1}
