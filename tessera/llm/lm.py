@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain, islice
 
 import numpy as np
@@ -36,8 +36,11 @@ LEAST_ROWS, MOST_ROWS, WORDS_A_ROW = 1 << 14, 1 << 16, 8
 #: Features of a history, rows of a block of weights.
 FEATURES, BLOCK = 4, 256
 ROUNDS, RATE, BATCH = 3, 0.15, 8192
-#: Rows that are updated or scored at a time; no result depends on it.
-FEW = 1024
+#: Rows that are updated or scored at a time, and rows of a run that are added up at once; no result depends on them.
+FEW, FOLD = 1024, 32
+#: Scores below this in size need no shift before exp() in single precision.
+LARGE = 60
+_ONES = np.ones(WIDTH, dtype=np.float32)
 _SLICE = 1_000_000
 #: Words that a task remembers from slice to slice; no result depends on it.
 MOST_MET = 1 << 17
@@ -55,6 +58,15 @@ def ending_class(word: Column) -> Column:
     return F.pmod(F.xxhash64(F.right(word, F.lit(2))), F.lit(ENDINGS)).cast("int") + 1 + OWN
 
 
+class _Endings(dict):
+    """The class of each ending, worked out when it is first asked for."""
+
+    def __missing__(self, end: str) -> int:
+        h = xxhash.xxh64_intdigest(end.encode("utf-8", "surrogatepass"), 42)
+        self[end] = kind = ((h - (1 << 64)) if h >> 63 else h) % ENDINGS + 1 + OWN
+        return kind
+
+
 @dataclass
 class Counts:
     """What the base score and the second factor need: totals, class totals, and the most frequent words' counts."""
@@ -68,6 +80,7 @@ class Counts:
     hashes: np.ndarray
     words: pa.Array
     count: np.ndarray
+    endings: _Endings = field(default_factory=_Endings)
 
     def look_up(self, words: list[str], hashes: np.ndarray) -> np.ndarray:
         """Each word's count, or -1 where it is not among the most frequent. Hashes find, texts decide."""
@@ -81,17 +94,12 @@ class Counts:
         return out
 
     def classes(self, words: list[str]) -> np.ndarray:
-        own, by_ending = self.own.get, _Endings()
-        return np.fromiter((own(w) or by_ending[w[-2:]] for w in words), dtype=np.int64, count=len(words))
-
-
-class _Endings(dict):
-    """The class of each ending, worked out when it is first asked for."""
-
-    def __missing__(self, end: str) -> int:
-        h = xxhash.xxh64_intdigest(end.encode("utf-8", "surrogatepass"), 42)
-        self[end] = kind = ((h - (1 << 64)) if h >> 63 else h) % ENDINGS + 1 + OWN
-        return kind
+        if len(self.endings) > MOST_MET:
+            self.endings.clear()
+        out = np.fromiter(map(self.endings.__getitem__, [w[-2:] for w in words]), dtype=np.int64, count=len(words))
+        for k in [k for k, w in enumerate(words) if w in self.own]:
+            out[k] = self.own[words[k]]
+        return out
 
 
 def _hash(words: list[str]) -> np.ndarray:
@@ -155,9 +163,9 @@ class Met:
         number = self.numbers.__getitem__
         # bytes.lower() changes A-Z alone, and bytes.split() cuts at the white space of WORD
         each = [list(map(number, t.encode("utf-8", "surrogatepass").lower().split())) for t in texts]
-        new = list(islice(self.numbers, len(self.words), None))
-        words = [w.decode("utf-8", "surrogatepass") for w in new]
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], dtype=np.uint64)
+        new = list(islice(reversed(self.numbers), len(self.numbers) - len(self.words)))[::-1]
+        words = b"\n".join(new).decode("utf-8", "surrogatepass").split("\n") if new else []  # no word holds a line feed
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))
         self.words += words
         self.hashes = np.concatenate([self.hashes, hashes])
         self.kind = np.concatenate([self.kind, self.counts.classes(words)])
@@ -206,6 +214,36 @@ def in_group(rows: np.ndarray, group: np.ndarray, dim: int) -> np.ndarray:
     return ((rows.astype(np.uint32) + group.astype(np.uint32)[:, None] * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B) >> np.uint32(33 - dim.bit_length())).astype(np.uint16)
 
 
+def row_sums(values: np.ndarray, take: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each run of take (from one of starts to its end, not empty): the sum of the rows of values that it names.
+
+    Whole rows are added, one of each run at a time; runs longer than FOLD are summed up in pieces, then the pieces.
+    """
+    out = values.take(take.take(starts), axis=0)
+    longer = np.flatnonzero(ends - starts > 1)
+    if not len(longer):
+        return out
+    starts, ends = starts.take(longer), ends.take(longer)
+    pieces = -(-(ends - starts) // FOLD)
+    first = np.cumsum(pieces) - pieces
+    begin = np.repeat(starts - FOLD * first, pieces) + FOLD * np.arange(pieces.sum())
+    length = np.minimum(FOLD, np.repeat(ends, pieces) - begin).astype(np.uint8)
+    order = np.argsort(FOLD - length, kind="stable")  # the longest first
+    begin = begin.take(order)
+    left = len(length) - np.cumsum(np.bincount(length, minlength=FOLD + 1))
+    part = values.take(take.take(begin), axis=0)
+    for k in range(1, FOLD):
+        if not left[k]:
+            break
+        part[: left[k]] += values.take(take.take(begin[: left[k]] + k), axis=0)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    # a row as one item, which is put in its place whole
+    row = np.dtype((np.void, out.itemsize * out.shape[1]))
+    np.put(out.view(row), longer, row_sums(part, place, first, first + pieces).view(row))
+    return out
+
+
 class Model:
     """For groups, and for classes inside them: weights (table_rows by WIDTH each) and biases."""
 
@@ -232,55 +270,49 @@ class Model:
 
     @staticmethod
     def scores(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        """All scores less the greatest, a column for each history; weights is one half of the table."""
+        """All scores, a row for each history; weights is one half of the table."""
         z = weights.take(rows[:, 0], axis=0)
         for k in range(1, FEATURES):
             z += weights.take(rows[:, k], axis=0)
         z += bias
-        # numpy goes along long rows many times faster than along many rows of WIDTH
-        z = np.ascontiguousarray(z.T)
-        z -= z.max(axis=0)
         return z
 
     def log_chance(self, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """The natural logarithm of the chance of each history's class kind."""
         out = np.zeros(len(kind), dtype=np.float64)
         for weights, (r, bias, k) in zip(self.halves(self.weights), self.parts(rows, kind)):
-            z = self.scores(weights, r, bias)
+            # numpy goes along long rows many times faster than along many rows of WIDTH, and sums do not depend on the place
+            z = np.ascontiguousarray(self.scores(weights, r, bias).T)
+            z -= z.max(axis=0)
             out += z[k, np.arange(len(k))]
             out -= np.log(np.exp(z, out=z).sum(axis=0))
         return out
 
     def learn(self, rows: np.ndarray, kind: np.ndarray, seen: np.ndarray) -> None:
         """One pass of gradient steps (scaled by the squares seen so far) over tokens in batches."""
-        places = np.zeros(self.rows, dtype=np.int64)
         for at in range(0, len(kind), BATCH):
             parts = self.parts(rows[at : at + BATCH], kind[at : at + BATCH])
             for weights, part, squares in zip(self.halves(self.weights), parts, self.halves(seen)):
-                self._step(weights, *part, squares, places)
+                self._step(weights, *part, squares)
 
-    def _step(self, weights: np.ndarray, r: np.ndarray, bias: np.ndarray, k: np.ndarray, seen: np.ndarray, places: np.ndarray) -> None:
-        """A step of one half of the table; places is room for a number for each of its rows."""
-        columns = np.empty((WIDTH, len(k)), dtype=np.float64)
+    def _step(self, weights: np.ndarray, r: np.ndarray, bias: np.ndarray, k: np.ndarray, seen: np.ndarray) -> None:
+        """A step of one half of the table."""
+        gradients = np.empty((len(k), WIDTH), dtype=np.float32)
         for at in range(0, len(k), FEW):
             to = min(at + FEW, len(k))
-            gradient = self.scores(weights, r[at:to], bias if bias.ndim == 1 else bias[at:to])
-            np.exp(gradient, out=gradient)
-            gradient /= gradient.sum(axis=0)
-            gradient[k[at:to], np.arange(to - at)] -= 1
-            columns[:, at:to] = gradient
-        flat = r.ravel(order="F")
-        touched = np.zeros(len(places), dtype=bool)
-        touched[flat] = True
-        own = np.flatnonzero(touched)
-        places[own] = np.arange(len(own))
-        place = places.take(flat)
-        # a column of gradients at a time: bincount adds up far faster than sums over sorted rows
-        added, tiled = np.empty((WIDTH, len(own)), dtype=np.float32), np.empty((FEATURES, len(k)), dtype=np.float64)
-        for column in range(WIDTH):
-            tiled[:] = columns[column]
-            added[column] = np.bincount(place, weights=tiled.ravel(), minlength=len(own))
-        total = np.ascontiguousarray(added.T)
+            z = self.scores(weights, r[at:to], bias if bias.ndim == 1 else bias[at:to])
+            if not -LARGE < z.min() <= z.max() < LARGE:
+                z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            # a product with ones adds up short rows many times faster than sum() does
+            np.multiply(z, (1 / (z @ _ONES))[:, None], out=gradients[at:to])
+        gradients[np.arange(len(k)), k] -= 1
+        flat = r.ravel()
+        order = np.argsort(flat, kind="stable")
+        flat = flat.take(order)
+        edges = np.concatenate([[0], np.flatnonzero(flat[1:] != flat[:-1]) + 1, [len(flat)]])
+        own = flat.take(edges[:-1]).astype(np.int64)
+        total = row_sums(gradients, order // FEATURES, edges[:-1], edges[1:])
         # a row as one item, which is put in its place whole
         row = np.dtype((np.void, weights.itemsize * WIDTH))
         seen_rows, weight_rows = seen.view(row).ravel(), weights.view(row).ravel()

@@ -381,6 +381,41 @@ def test_lm_chances_sum_to_one():
         assert math.isclose(np.exp(model.log_chance(rows, np.arange(lm.CLASSES))).sum(), 1, rel_tol=1e-5)
 
 
+def test_lm_row_sums(monkeypatch):
+    """Sums of rows by runs of any length, and in pieces, against plain sums."""
+    rng = np.random.default_rng(3)
+    for fold, lengths in ((2, [1, 7, 2, 1, 31]), (32, [1] * 50 + [33, 32, 31, 1025, 5000]), (32, [1, 1]), (32, [])):
+        monkeypatch.setattr(lm, "FOLD", fold)
+        ends = np.cumsum(np.array(lengths, dtype=np.int64))
+        starts, take, values = ends - lengths, rng.integers(0, 900, sum(lengths)), rng.normal(size=(900, 3)).astype(np.float32)
+        got = lm.row_sums(values, take, starts.astype(np.int64), ends)
+        assert got.shape == (len(lengths), 3)
+        assert all(np.allclose(g, values[take[a:b]].astype(float).sum(axis=0), atol=1e-4) for g, a, b in zip(got, starts, ends))
+
+
+@pytest.mark.parametrize("size", [0.1, 500.0])
+def test_lm_learns_as_by_single_gradients(size):
+    """A batch's step is that of the sum of its tokens' gradients, also where scores are too large for a bare exp()."""
+    rng = np.random.default_rng(5)
+    model, n = lm.Model(lm_counts()), 300
+    model.weights[:] = rng.normal(0, size, model.weights.shape)
+    rows, kind = rng.integers(0, model.rows, (n, lm.FEATURES)).astype(np.uint16), rng.integers(0, lm.CLASSES, n)
+    rows[::2] = rows[0]
+    want, total = model.weights.astype(float), np.zeros(model.weights.shape)
+    for half, (r, bias, k) in enumerate(model.parts(rows, kind)):
+        for i in range(n):
+            z = want[r[i].astype(int) + half * model.rows].sum(axis=0) + (bias if bias.ndim == 1 else bias[i])
+            g = np.exp(z - z.max())
+            g /= g.sum()
+            g[k[i]] -= 1
+            np.add.at(total, r[i].astype(int) + half * model.rows, g)
+    seen = np.zeros_like(model.weights)
+    model.learn(rows, kind, seen)
+    moved = np.abs(total) > 1e-3  # below that a step's size rests on rounding
+    assert np.allclose(seen, total**2, rtol=1e-3, atol=1e-3)
+    assert np.allclose(model.weights[moved], (want - lm.RATE * total / np.sqrt(total**2 + 1e-4))[moved], rtol=1e-4, atol=2e-3)
+
+
 @pytest.mark.parametrize("most", [0, 3, 1 << 17])
 def test_lm_words_are_looked_up_once(monkeypatch, most):
     """A task hashes and looks up a word when it is first met, or first met again after it began anew; the tokens are the same."""
