@@ -172,3 +172,29 @@ def test_greedy_modularity_size_guess(spark):
     found = G.greedy_modularity(spark.createDataFrame(path, "source string, target string, weight double"))
     assert found.count() == 61
     assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+
+
+def test_greedy_modularity_rounds(spark, monkeypatch):
+    """A community that many name takes them in one round: the rounds are not as many as its members."""
+    import random
+
+    draw, write, written = random.Random(5), G.stored, []
+    apart = [(f"{c}-{a:02}", f"{c}-{b:02}", float(draw.randint(5, 15))) for c in range(6) for a in range(40) for b in range(a)]
+    monkeypatch.setattr(G, "stored", lambda df, path: written.append(path.split("/")[-1]) or write(df, path))
+    found = G.greedy_modularity(spark.createDataFrame(apart, "source string, target string, weight double")).collect()
+    assert {r.node: r.community[0] for r in found} == {f"{c}-{a:02}": str(c) for c in range(6) for a in range(40)}
+    assert len({r.community for r in found}) == 6
+    assert sum(name.startswith("links") for name in written) <= 10
+
+
+def test_greedy_modularity_together(spark):
+    """Those that join a pair in one round still gain by it: the next best is better for some once others have joined."""
+    named = [("h", "p", 30.0, 20.0, 0.0, 40.0), ("p", "h", 30.0, 20.0, 0.0, 40.0)]
+    named += [("x", "h", 20.0, 15.0, 1.0, 10.0), ("y", "h", 20.0, 15.0, 14.0, 10.0), ("z", "p", 20.0, 15.0, 9.0, 30.0), ("far", "x", 5.0, 4.0, 0.0, 6.0)]
+    df = spark.createDataFrame(named, "a string, b string, w double, gain double, second double, degree double")
+    # room by hand at a total of 200: x 19 * 200 / 10 - 80 = 300, y 6 * 200 / 10 - 80 = 40, z 11 * 200 / 30 - 80 < 0
+    assert {(r["from"], r["to"]) for r in G._joining(df, 200.0, 1.0).collect()} == {("h", "h"), ("p", "h"), ("x", "h"), ("y", "h")}
+    # at 180 y has room for 28, at 140 for 4: less than x brings
+    assert {r["from"] for r in G._joining(df, 180.0, 1.0).collect()} == {"h", "p", "x", "y"}
+    assert {r["from"] for r in G._joining(df, 140.0, 1.0).collect()} == {"h", "p", "x"}
+    assert {r["from"] for r in G._joining(df, 140.0, 0.0).collect()} == {"h", "p", "x", "y", "z"}
